@@ -97,6 +97,10 @@ _TIER = ("case when total_claim_cost = 0 then 'zero_cost' when total_claim_cost
          "when total_claim_cost < 5000 then 'medium' else 'high' end")
 _AGE = "case when age_years < 18 then 'pediatric' when age_years < 65 then 'adult' else 'senior' end"
 
+_ZEROED = ("total_encounters", "total_claim_cost", "avg_claim_cost", "total_out_of_pocket", "emergency_visits",
+           "total_conditions", "chronic_conditions", "total_medications", "active_medications",
+           "total_medication_cost")
+
 _COMMON: dict[str, str] = {
     **{f"raw_{t}": RAW_SQL[t].format(**{s: s for s in _STAR}) for t in CORE},
     **{f"typed_{t}": _typed(t) for t in CORE},
@@ -145,15 +149,10 @@ _COMMON: dict[str, str] = {
         from medications group by patient_id""",
     "patient_mart": f"""
         select p.patient_id, gender, race, ethnicity, state, age_years, {_AGE} as age_group, is_deceased,
-          coalesce(total_encounters, 0) as total_encounters, coalesce(total_claim_cost, 0) as total_claim_cost,
-          coalesce(avg_claim_cost, 0) as avg_claim_cost, coalesce(total_out_of_pocket, 0) as total_out_of_pocket,
-          coalesce(emergency_visits, 0) as emergency_visits, first_encounter_date, last_encounter_date,
-          coalesce(total_conditions, 0) as total_conditions, coalesce(chronic_conditions, 0) as chronic_conditions,
-          coalesce(total_medications, 0) as total_medications, coalesce(active_medications, 0) as active_medications,
-          coalesce(total_medication_cost, 0) as total_medication_cost
-        from patients p left join encounter_metrics e on p.patient_id = e.patient_id
-          left join condition_metrics c on p.patient_id = c.patient_id
-          left join medication_metrics m on p.patient_id = m.patient_id""",
+          first_encounter_date, last_encounter_date, {", ".join(f"coalesce({c}, 0) as {c}" for c in _ZEROED)}
+        from patients p
+          {" ".join(f"left join {m} on p.patient_id = {m}.patient_id"
+                    for m in ("encounter_metrics", "condition_metrics", "medication_metrics"))}""",
 }
 _NEEDS = {
     **{f"raw_{t}": () for t in CORE},
@@ -252,7 +251,7 @@ TIER_COUNTS = "select cost_tier, count(*) as n from claims group by 1"
 AGE_COSTS = f"""
     select age_group, count(*) as claims, {mean("total_claim_cost", 0)} as avg_cost, {mean("out_of_pocket", 0)} as avg_oop
     from claims where age_group is not null group by 1"""
-PIPELINE_COUNTS = """
+LIVE_COUNTS = """
     select count(*) as claims_rows, count(distinct patient_id) as patients, count(distinct provider_id) as providers,
       count(distinct state) as states from claims"""
 PROVIDER_KPIS = f"""
@@ -391,7 +390,7 @@ CHECKS = " union all ".join([
 ])
 ALL = ("claims", "patient_mart", "conditions", "medications", "patients", "encounters")
 
-PIPELINE = f"""
+DAILY_RUN = f"""
     select 'land' as step, table_name, n_rows as rows, 'ok' as status from ({RAW_COUNTS})
     union all select 'land', unnest(['procedures', 'observations']), null, 'skipped'
     union all select 'validate', table_name, n_rows, 'pass' from ({RAW_COUNTS})
@@ -448,7 +447,7 @@ ORACLES: dict[str, str] = {
     "result_envelope": of_claims(
         f"select *, count(*) over () as total from ({claims_summary(1000, among('encounter_class', ['emergency']))})"),
     "cached_reads": of_claims(CLAIMS_STATS),
-    "run_pipeline": over(PIPELINE, *RAW_NAMES, *ALL),
+    "daily_run": over(DAILY_RUN, *RAW_NAMES, *ALL),
     **{f"transform_{t}": PROCESSED[t] for t in CORE},
     **{f"stg_{t}": PROCESSED[t] for t in CORE},
     "cost_tier": over(
@@ -493,9 +492,9 @@ ORACLES: dict[str, str] = {
         f"select {whole('total_providers')} as total_providers, '$' || {whole('network_total')} as network_total, "
         f"'$' || {whole('network_avg_cost')} as network_avg_cost, "
         f"{fixed('network_payer_pct')} || '%' as network_payer_coverage from ({PROVIDER_KPIS})"),
-    "pipeline_cards": of_claims(
+    "live_count_cards": of_claims(
         "select " + ", ".join(f"{whole(x)} as {x}" for x in ("claims_rows", "patients", "providers", "states"))
-        + f" from ({PIPELINE_COUNTS})"),
+        + f" from ({LIVE_COUNTS})"),
     "mart_claims_summary": of_claims(doubles(CLAIM_COLUMNS, "claims")),
     "mart_patient_metrics": of_patients(doubles(PATIENT_COLUMNS, "patient_mart")),
     "encounter_metrics": over(doubles([
@@ -538,7 +537,7 @@ ORACLES: dict[str, str] = {
     "chronic_distribution": of_patients(chronic("true")),
     "chronic_distribution_filtered": of_patients(chronic(patient_rows(**PATIENT_CHOICE))),
     "provider_kpis": of_claims(PROVIDER_KPIS),
-    "pipeline_counts": of_claims(PIPELINE_COUNTS),
+    "live_counts": of_claims(LIVE_COUNTS),
     "distinct_states": of_patients("select distinct state from patient_mart where state is not null"),
     "dedupe_by_key": _first_of("lineitem", ["l_orderkey", "l_linenumber"], [
         "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",

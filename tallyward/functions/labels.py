@@ -41,7 +41,7 @@ def fixed_point(value: Column, digits: int) -> Column:
 
 
 def fmt_money(amount: Column) -> Column:
-    """``$1.2M`` from a million, ``$450K`` from a thousand, else ``$830``. NULL stays NULL."""
+    """Millions with one decimal and an M, thousands with a K, smaller amounts in full. NULL stays NULL."""
     amount = amount.cast("double")
     millions = F.format_string("$%.1fM", amount / 1_000_000)
     thousands = F.concat(F.lit("$"), F.bround(amount / 1_000, 0).cast("bigint").cast("string"), F.lit("K"))

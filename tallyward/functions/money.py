@@ -16,9 +16,12 @@ def total(column: str, scale: int) -> Column:
 
 
 def mean(column: str, scale: int) -> Column:
-    """Rounded mean over the non-NULL values; NULL on empty input."""
-    exact = F.col(column).cast("decimal(28,2)")
-    return F.round(F.try_divide(F.sum(exact), F.count(column)), scale).cast("double")
+    """Rounded mean over the non-NULL values of an amount or a count; NULL on empty input.
+
+    Only the finished sum is widened, so a total of the same column shares its accumulator.
+    """
+    exact = F.sum(column).cast("decimal(28,2)")
+    return F.round(F.try_divide(exact, F.count(column)), scale).cast("double")
 
 
 def ratio_pct(part: str, whole: str, scale: int = 1) -> Column:

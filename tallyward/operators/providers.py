@@ -28,22 +28,36 @@ def _with_provider(claims: DataFrame) -> DataFrame:
     return known(claims, "provider_id")
 
 
+def _with_distincts(top: DataFrame, claims: DataFrame, **counted: str) -> DataFrame:
+    """Add distinct counts to a row-limited list of providers.
+
+    They are taken from the claims of the listed providers only. The list is broadcast: its row
+    limit (at most 100) bounds it whatever the data. Counting spreads over (provider, value)
+    before it comes together per provider, so a provider with a third of all claims does not
+    land in one task.
+    """
+    theirs = claims.join(F.broadcast(top.select("provider_id")), "provider_id", "left_semi")
+    distincts = theirs.groupBy("provider_id").agg(
+        *[F.count_distinct(column).alias(name) for name, column in counted.items()])
+    return distincts.join(F.broadcast(top), "provider_id")
+
+
 def top_providers(claims: DataFrame, limit: int = 10) -> DataFrame:
     check_limit(limit, 1, 100)
-    return _with_provider(claims).groupBy("provider_id").agg(
+    billed = [F.desc_nulls_last("total_billed"), F.col("provider_id")]
+    top = _with_provider(claims).groupBy("provider_id").agg(
         F.count("*").alias("total_claims"),
         total("total_claim_cost", 2).alias("total_billed"),
         mean("total_claim_cost", 2).alias("avg_claim_cost"),
-        F.count_distinct("patient_id").alias("unique_patients"),
-    ).orderBy(F.desc_nulls_last("total_billed"), "provider_id").limit(limit)
+    ).orderBy(*billed).limit(limit)
+    listed = _with_distincts(top, claims, unique_patients="patient_id")
+    return listed.select(*top.columns, "unique_patients").orderBy(*billed)
 
 
 def provider_leaderboard(claims: DataFrame, top_n: int = 25, metric: str = "Total Billed") -> DataFrame:
     """The top providers by billed amount, then ranked among themselves by ``metric``.
 
-    The distinct counts are spread over (provider, patient) before they come together per
-    provider, so one provider with a third of the claims does not land in one task. The rank
-    window sees at most ``top_n`` (50) rows.
+    The rank window sees at most ``top_n`` (50) rows.
     """
     check_limit(top_n, 10, 50)
     if metric not in RANKINGS:
@@ -54,12 +68,13 @@ def provider_leaderboard(claims: DataFrame, top_n: int = 25, metric: str = "Tota
         mean("total_claim_cost", 0).alias("avg_cost"),
         total("payer_coverage", 0).alias("total_payer_coverage"),
         total("out_of_pocket", 0).alias("total_oop"),
-        F.count_distinct("patient_id").alias("unique_patients"),
-        F.count_distinct("encounter_class").alias("encounter_types"),
     ).orderBy(F.desc_nulls_last("total_billed"), "provider_id").limit(top_n)
+    listed = _with_distincts(top, claims, unique_patients="patient_id", encounter_types="encounter_class")
     order = Window.orderBy(F.desc_nulls_last(RANKINGS[metric]), "provider_id")
-    return top.withColumn("rank", F.row_number().over(order)).withColumn(
-        "short_id", short_id(F.col("provider_id"))).orderBy("rank")
+    return listed.select(
+        *top.columns, "unique_patients", "encounter_types",
+        F.row_number().over(order).alias("rank"), short_id(F.col("provider_id")).alias("short_id"),
+    ).orderBy("rank")
 
 
 def provider_detail_table(claims: DataFrame, top_n: int = 25, metric: str = "Total Billed") -> DataFrame:

@@ -308,7 +308,7 @@ QUERIES: dict[str, Query] = {
     "processed_sizes": processed_sizes,
     "result_envelope": lambda ws: with_total(c.claims_summary(ws.claims(), 1000, encounter_class="emergency")),
     "cached_reads": cached_reads,
-    "run_pipeline": lambda ws: _run(ws)[1],
+    "daily_run": lambda ws: _run(ws)[1],
     # transforms and staging
     **{f"transform_{t}": (lambda ws, t=t: as_double(ws.transformed(t))) for t in TRANSFORMS},
     **{model: (lambda ws, model=model: as_double(ws.staged(model))) for model in STAGING_MODELS},
@@ -330,7 +330,7 @@ QUERIES: dict[str, Query] = {
     "claims_cards": lambda ws: c.claims_cards(ws.claims()),
     "patient_cards": lambda ws: p.patient_cards(ws.patients()),
     "provider_cards": lambda ws: v.provider_cards(ws.claims()),
-    "pipeline_cards": lambda ws: o.pipeline_cards(ws.claims()),
+    "live_count_cards": lambda ws: o.live_count_cards(ws.claims()),
     # marts
     "mart_claims_summary": lambda ws: as_double(ws.build_claims()),
     "mart_patient_metrics": lambda ws: as_double(ws.build_patients()),
@@ -364,7 +364,7 @@ QUERIES: dict[str, Query] = {
     "chronic_distribution": lambda ws: p.chronic_distribution(ws.patients()),
     "chronic_distribution_filtered": lambda ws: p.chronic_distribution(ws.patients(), **PATIENT_CHOICE),
     "provider_kpis": lambda ws: v.provider_kpis(ws.claims()),
-    "pipeline_counts": lambda ws: o.pipeline_counts(ws.claims()),
+    "live_counts": lambda ws: o.live_counts(ws.claims()),
     "distinct_states": lambda ws: p.distinct_states(ws.patients()),
     "dedupe_by_key": lambda ws: one_row_per_key(
         star_table(ws.spark, ws.sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]),

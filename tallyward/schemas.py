@@ -10,7 +10,7 @@ MONEY = DecimalType(18, 2)
 LANDED_TABLES = ("patients", "encounters", "conditions", "medications", "procedures", "observations")
 CORE_TABLES = LANDED_TABLES[:4]
 
-# Raw CSV header -> (processed column, type). Ids, ZIP and clinical codes stay text so that
+# Raw CSV header -> (processed column, type). Ids, ZIP and clinical codes stay text so that
 # leading zeros and long codes survive.
 RAW_COLUMNS: dict[str, dict[str, tuple[str, str]]] = {
     "patients": {

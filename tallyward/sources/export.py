@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,8 +16,7 @@ def envelope(listing: DataFrame, field: str) -> DataFrame:
 
 def with_total(listing: DataFrame) -> DataFrame:
     """The rows of a limited listing, each with the number of rows returned."""
-    counted = listing.agg(F.count("*").alias("total"))
-    return listing.withColumn("total", counted.scalar())
+    return listing.withColumn("total", F.count("*").over(Window.partitionBy()))
 
 
 def write_json(df: DataFrame, path: str) -> None:

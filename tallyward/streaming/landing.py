@@ -33,7 +33,8 @@ def start_incremental_landing(
     Conditions and medications carry no key and append straight to the processed Parquet.
     Patients and encounters must stay unique within their day however many batches bring it:
     each batch is kept under its number (a replay replaces it) and the days it touched are
-    rewritten from all their batches, so the outcome equals the one-shot snapshot.
+    rewritten from all their batches, so the outcome equals the one-shot snapshot. Only the
+    touched days are listed and read.
     """
     spark = raw.sparkSession
     transform = TRANSFORMS[table]
@@ -47,12 +48,10 @@ def start_incremental_landing(
     arrived = f"{lake}/_arrived/{table}"
 
     def rewrite_days(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id)).write.partitionBy("batch_id", *DAY)
+        (batch.withColumn("batch_id", F.lit(batch_id)).write.partitionBy(*DAY, "batch_id")
             .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(arrived))
-        here = spark.read.parquet(arrived)
-        touched = here.where(F.col("batch_id") == batch_id).select(*DAY).distinct().collect()
-        for year, month, day in touched:
-            rows = here.where((F.col("year") == year) & (F.col("month") == month) & (F.col("day") == day))
+        for year, month, day in batch.select(*DAY).distinct().collect():
+            rows = spark.read.parquet(f"{arrived}/year={year}/month={month}/day={day}")
             write_processed(transform(rows, as_of, run_ts), lake, table, dt.date(year, month, day))
 
     return (
