@@ -66,25 +66,42 @@ def _write_sources(ws: Workspace, root: str, tables: tuple[str, ...] = CORE_TABL
 
 
 def _landed(ws: Workspace, tables: tuple[str, ...] = CORE_TABLES) -> tuple[Zones, list[z.Snapshot]]:
-    zones = ws.zones(_database())
-    return zones, [z.land_raw(ws.raw(t), zones.raw, t, ws.as_of) for t in tables]
+    def land() -> tuple[Zones, list[z.Snapshot]]:
+        zones = ws.zones(_database())
+        return zones, [z.land_raw(ws.raw(t), zones.raw, t, ws.as_of) for t in tables]
 
+    return ws.once(f"land {tables}", land)
 
-def _database() -> str:
-    return f"claims_{dt.datetime.now():%Y%m%d%H%M%S%f}"
+
+def _transformed(ws: Workspace) -> tuple[Zones, list[z.Snapshot]]:
+    zones, _ = _landed(ws)
+    return zones, ws.once("transform", lambda: transform_day(ws.spark, zones, ws.as_of, ws.as_of, ws.run_ts))[0]
 
 
 def _loaded(ws: Workspace) -> tuple[Zones, dict[str, int]]:
-    zones, _ = _landed(ws)
-    transform_day(ws.spark, zones, ws.as_of, ws.as_of, ws.run_ts)
-    return zones, w.load_warehouse(
-        ws.spark, zones.processed, zones.database, CORE_TABLES, ws.as_of, zones.warehouse)
+    zones, _ = _transformed(ws)
+    return zones, ws.once("load", lambda: w.load_warehouse(
+        ws.spark, zones.processed, zones.database, CORE_TABLES, ws.as_of, zones.warehouse))
 
 
 def _modelled(ws: Workspace) -> tuple[Zones, dict[str, int]]:
     zones, _ = _loaded(ws)
     w.create_staging_views(ws.spark, zones.database)
-    return zones, w.materialize_marts(ws.spark, zones.database, zones.warehouse, patient_buckets=8)
+    return zones, ws.once("model", lambda: w.materialize_marts(
+        ws.spark, zones.database, zones.warehouse, patient_buckets=8))
+
+
+def _ran(ws: Workspace) -> tuple[Zones, DataFrame]:
+    def run() -> tuple[Zones, DataFrame]:
+        zones = ws.zones(_database())
+        _write_sources(ws, zones.source)
+        return zones, run_pipeline(ws.spark, zones, ws.as_of, ws.run_ts)
+
+    return ws.once("run", run)
+
+
+def _database() -> str:
+    return f"claims_{dt.datetime.now():%Y%m%d%H%M%S%f}"
 
 
 # --- scans, sinks, catalog -------------------------------------------------------------------
@@ -130,20 +147,18 @@ def missing_tables(ws: Workspace) -> DataFrame:
 
 
 def read_raw_partition(ws: Workspace) -> DataFrame:
-    zones, _ = _landed(ws, ("conditions",))
+    zones, _ = _landed(ws)
     day = z.read_raw_partition(ws.spark, zones.raw, "conditions", ws.as_of)
     return transform_conditions(day, ws.as_of, ws.run_ts)
 
 
 def write_processed(ws: Workspace) -> DataFrame:
-    zones = ws.zones(_database())
-    written = [z.write_processed(ws.transformed(t), zones.processed, t, ws.as_of) for t in CORE_TABLES]
-    return mf.landed(ws.spark, written).withColumnsRenamed({"table": "table_name", "rows": "n_rows"})
+    _, snapshots = _transformed(ws)
+    return mf.landed(ws.spark, snapshots).withColumnsRenamed({"table": "table_name", "rows": "n_rows"})
 
 
 def read_processed_partition(ws: Workspace) -> DataFrame:
-    zones = ws.zones(_database())
-    z.write_processed(ws.transformed("encounters"), zones.processed, "encounters", ws.as_of)
+    zones, _ = _transformed(ws)
     return as_double(z.read_processed_partition(ws.spark, zones.processed, "encounters", ws.as_of))
 
 
@@ -153,9 +168,10 @@ def load_warehouse(ws: Workspace) -> DataFrame:
 
 def crawl_catalog(ws: Workspace) -> DataFrame:
     zones, _ = _landed(ws)
-    tables = w.crawl_catalog(ws.spark, zones.database, zones.raw, LANDED_TABLES, "csv")
+    database = _database()
+    tables = w.crawl_catalog(ws.spark, database, zones.raw, LANDED_TABLES, "csv")
     return _union([
-        w.source(ws.spark, zones.database, t).groupBy("year", "month", "day").agg(F.count("*").alias("n_rows"))
+        w.source(ws.spark, database, t).groupBy("year", "month", "day").agg(F.count("*").alias("n_rows"))
         .select(F.lit(t).alias("table_name"), "year", "month", "day", "n_rows") for t in tables])
 
 
@@ -174,9 +190,7 @@ def materialize(ws: Workspace) -> DataFrame:
 
 
 def processed_sizes(ws: Workspace) -> DataFrame:
-    zones = ws.zones(_database())
-    for table in CORE_TABLES:
-        z.write_processed(ws.transformed(table), zones.processed, table, ws.as_of)
+    zones, _ = _transformed(ws)
     sizes = z.processed_sizes(ws.spark, zones.processed, CORE_TABLES, ws.as_of)
     return sizes.select("table_name", (F.col("bytes") > 0).alias("has_bytes"))
 
@@ -188,14 +202,8 @@ def cached_reads(ws: Workspace) -> DataFrame:
     return c.claims_stats(ws.spark.table(f"{zones.database}_marts.mart_claims_summary"))
 
 
-def _run(ws: Workspace) -> tuple[Zones, DataFrame]:
-    zones = ws.zones(_database())
-    _write_sources(ws, zones.source)
-    return zones, run_pipeline(ws.spark, zones, ws.as_of, ws.run_ts)
-
-
 def run_summary_record(ws: Workspace) -> DataFrame:
-    zones, _ = _run(ws)
+    zones, _ = _ran(ws)
     record = run_summary(ws.spark, zones, ws.as_of)
     return record.select("run_date", (F.col("raw_object_count") > 0).alias("has_raw"), F.explode("quality_results"),
                          "processed_sizes").select(
@@ -244,7 +252,7 @@ def validate_raw(ws: Workspace) -> DataFrame:
 
 
 def raw_partition_present(ws: Workspace) -> DataFrame:
-    zones, _ = _landed(ws, ("patients",))
+    zones, _ = _landed(ws)
     found = z.raw_partition_present(ws.spark, zones.raw, "patients", ws.as_of)
     return _counted(ws, {"patients": int(found > 0)})
 
@@ -282,11 +290,11 @@ def ingest_error_alarm_stream(ws: Workspace) -> DataFrame:
 
 
 def _stream_landing(ws: Workspace, table: str) -> DataFrame:
-    zones, _ = _landed(ws, (table,))
-    checkpoint = ws.scratch("checkpoint")
-    raw = read_raw_stream(ws.spark, zones.raw, table, max_files=2)
-    start_incremental_landing(raw, zones.processed, table, checkpoint, ws.as_of, ws.run_ts).awaitTermination()
-    processed = ws.spark.read.parquet(f"{zones.processed}/{table}")
+    zones, _ = _landed(ws)
+    lake, checkpoint = ws.scratch("lake"), ws.scratch("checkpoint")
+    raw = read_raw_stream(ws.spark, zones.raw, table)
+    start_incremental_landing(raw, lake, table, checkpoint, ws.as_of, ws.run_ts).awaitTermination()
+    processed = ws.spark.read.parquet(f"{lake}/{table}")
     return as_double(processed.drop("year", "month", "day"))
 
 
@@ -308,7 +316,7 @@ QUERIES: dict[str, Query] = {
     "processed_sizes": processed_sizes,
     "result_envelope": lambda ws: with_total(c.claims_summary(ws.claims(), 1000, encounter_class="emergency")),
     "cached_reads": cached_reads,
-    "daily_run": lambda ws: _run(ws)[1],
+    "daily_run": lambda ws: _ran(ws)[1],
     # transforms and staging
     **{f"transform_{t}": (lambda ws, t=t: as_double(ws.transformed(t))) for t in TRANSFORMS},
     **{model: (lambda ws, model=model: as_double(ws.staged(model))) for model in STAGING_MODELS},

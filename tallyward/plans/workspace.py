@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,7 @@ class Workspace:
         shared = shared_folder(spark)
         self.root = f"{shared}/tallyward-{uuid.uuid4().hex[:12]}" if shared else None
         self._written: dict[str, str] = {}
+        self._done: dict[str, Any] = {}
 
     def zones(self, database: str) -> Zones:
         """Fresh zones for one run."""
@@ -53,6 +55,12 @@ class Workspace:
             self._written[name] = path
         return self.spark.read.parquet(self._written[name])
 
+    def once(self, step: str, run: Callable[[], Any]) -> Any:
+        """Outcome of a step that writes; later queries build on the same files."""
+        if step not in self._done:
+            self._done[step] = run()
+        return self._done[step]
+
     def raw(self, table: str) -> DataFrame:
         return raw_table(self.spark, self.sf_dir, table)
 

@@ -9,11 +9,25 @@ from pyspark.sql import SparkSession
 _local_roots: dict[str, str] = {}
 
 
-def build_session(app_name: str = "tallyward", master: str | None = None, **conf: str) -> SparkSession:
-    """Session pinned to UTC; partition counts and join strategies are left to adaptive execution."""
+# A shuffle partition of this size sorts in memory on a common executor and writes one decent file.
+PARTITION_BYTES = 256 * 1024**2
+
+
+def build_session(
+    app_name: str = "tallyward", master: str | None = None, shuffle_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """Session pinned to UTC; join strategies and final partition counts come from adaptive execution.
+
+    Adaptive execution merges partitions but starts from a given number. ``shuffle_bytes``, the
+    largest shuffle to expect (for the marts about the size of the encounters), sets that start.
+    """
     builder = SparkSession.builder.appName(app_name).config("spark.sql.session.timeZone", "UTC")
     if master:
         builder = builder.master(master)
+    if shuffle_bytes:
+        start = max(200, -(-shuffle_bytes // PARTITION_BYTES))
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(start))
+        builder = builder.config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(PARTITION_BYTES))
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -193,3 +193,14 @@ def test_envelope_keeps_order_and_counts(spark, claims, tmp_path):
     assert {r.total for r in with_total(listing).collect()} == {3}
     write_json(listing, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 3
+
+
+def test_pages_hold_working_frames(claims, patients):
+    from tallyward.plans.pages import claims_page, overview_page, patients_page, providers_page
+
+    pages = [overview_page(claims, patients), claims_page(claims, 50, classes=["hospice"]),
+             patients_page(patients, 50, states=["MA"]), providers_page(claims, 10, "Total Claims")]
+    assert [len(page) for page in pages] == [7, 5, 7, 3]
+    assert pages[1]["detail"].columns[0] == "Encounter ID" and pages[1]["detail"].count() == 1
+    assert pages[2]["cards"].first().patients == "2"
+    assert [r["#"] for r in pages[3]["detail"].collect()] == [1, 2]
