@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward.functions.dates import month_start
@@ -23,8 +23,20 @@ DETAIL_HEADINGS = {
 
 
 def _newest_first(df: DataFrame, limit: int) -> DataFrame:
-    """Top rows by date with the claim id as tie-break: a bounded heap per task, no full sort."""
-    return df.orderBy(F.desc_nulls_last("encounter_date"), "encounter_id").limit(limit)
+    """Top rows by date with the claim id as tie-break, undated claims last.
+
+    The day that completes the limit is found first, from a count per day. As a pushed-down
+    condition it lets the scan skip the row groups of older claims (the mart is written in date
+    order within each file), and tasks without a candidate send nothing to the final merge. The
+    window runs over at most ``limit`` days.
+    """
+    day = F.col("encounter_date")
+    newest_days = known(df, "encounter_date").groupBy(day).agg(F.count("*").alias("n")).orderBy(day.desc()).limit(limit)
+    newer = F.sum("n").over(Window.orderBy(day.desc()).rowsBetween(Window.unboundedPreceding, -1))
+    needed = newest_days.select(day, F.coalesce(newer, F.lit(0)).alias("newer")).where(F.col("newer") < limit)
+    cutoff = needed.agg(F.min(day)).scalar()
+    candidates = df.where((day >= cutoff) | day.isNull())
+    return candidates.orderBy(day.desc_nulls_last(), "encounter_id").limit(limit)
 
 
 def claims_summary(

@@ -23,7 +23,7 @@ def typed(raw: DataFrame, table: str, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _left_to_pay(cost: str, covered: str) -> Column:
-    return F.round(F.col(cost) - F.col(covered), 2).cast(MONEY)
+    return (F.col(cost) - F.col(covered)).cast(MONEY)
 
 
 def transform_patients(raw: DataFrame, as_of: dt.date, run_ts: dt.datetime) -> DataFrame:

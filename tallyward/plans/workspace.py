@@ -15,7 +15,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyward.operators.marts import claims_mart, patient_mart
+from tallyward.operators.marts import claims_mart, in_date_order, patient_mart
 from tallyward.operators.staging import stage
 from tallyward.operators.transforms import TRANSFORMS
 from tallyward.plans.pipeline import Zones
@@ -82,7 +82,7 @@ class Workspace:
             self.staged(f"stg_{t}") for t in ("patients", "encounters", "conditions", "medications")])
 
     def claims(self) -> DataFrame:
-        return self._written_once("marts/mart_claims_summary", self.build_claims)
+        return self._written_once("marts/mart_claims_summary", lambda: in_date_order(self.build_claims()))
 
     def patients(self) -> DataFrame:
         return self._written_once("marts/mart_patient_metrics", self.build_patients)

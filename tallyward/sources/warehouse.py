@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.operators.marts import claims_mart, patient_mart
+from tallyward.operators.marts import claims_mart, in_date_order, patient_mart
 from tallyward.operators.staging import STAGING_MODELS, stage
 from tallyward.sources.zones import CSV_OPTIONS, read_processed_partition
 
@@ -78,7 +78,7 @@ def materialize_marts(
     by_patient = (patient_buckets, "patient_id") if patient_buckets else None
     return {
         "mart_claims_summary": replace_table(
-            claims_mart(ref(spark, "stg_encounters"), ref(spark, "stg_patients")),
+            in_date_order(claims_mart(ref(spark, "stg_encounters"), ref(spark, "stg_patients"))),
             marts, "mart_claims_summary", warehouse_root),
         "mart_patient_metrics": replace_table(
             patient_mart(*[ref(spark, f"stg_{t}") for t in ("patients", "encounters", "conditions", "medications")]),

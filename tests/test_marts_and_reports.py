@@ -137,6 +137,19 @@ def test_newest_first_with_ties_by_key(claims):
     assert [r.encounter_id for r in c.claims_summary(claims, 2).collect()] == ["e4", "e3"]
 
 
+@pytest.mark.parametrize("limit", [1, 2, 3, 5, 6, 7, 9, 10, 100])
+def test_newest_first_against_brute_force(spark, claims, limit):
+    days = [dt.date(2001, 1, 1 + i % 4) if i % 5 else None for i in range(12)]
+    rows = spark.createDataFrame([(f"e{i:02d}", day) for i, day in enumerate(days)], "encounter_id string, encounter_date date")
+    spread = rows.repartition(4)
+    for name in set(claims.columns) - set(rows.columns):
+        spread = spread.withColumn(name, F.lit(None).cast(claims.schema[name].dataType))
+    expected = sorted(((day is None, -(day or dt.date.min).toordinal(), f"e{i:02d}") for i, day in enumerate(days)))[:limit]
+    got = [r.encounter_id for r in c.claims_summary(spread, limit).collect()]
+    assert got == [key for _, _, key in expected]
+    assert c.claims_summary(spread.where("encounter_date is null"), 1).collect()[0].encounter_id == "e00"
+
+
 def test_costliest_first(patients):
     assert [r.patient_id for r in p.patient_metrics(patients).collect()] == ["c", "b", "a", "d"]
 

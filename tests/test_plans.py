@@ -61,7 +61,7 @@ def test_scans_read_only_the_columns_used(ws, name, columns):
 
 
 @pytest.mark.parametrize("name, filters", [
-    ("claims_summary_filtered", ["EqualTo(encounter_class,inpatient)", "EqualTo(cost_tier,medium)", "EqualTo(age_group,adult)"]),
+    ("eq_filters", ["EqualTo(encounter_class,emergency)", "EqualTo(cost_tier,high)", "EqualTo(age_group,senior)"]),
     ("claims_kpis_filtered", ["In(encounter_class, [emergency,inpatient])"]),
     ("get_patient", ["EqualTo(patient_id,p42)"]),
     ("patient_kpis_filtered", ["In(state, [NATION_11,NATION_3,NATION_7])", "EqualTo(gender,F)"]),
@@ -78,6 +78,11 @@ def test_limits_are_top_k_without_a_full_sort(ws, name):
     assert "TakeOrderedAndProject" in plan(QUERIES[name](ws))
 
 
+@pytest.mark.parametrize("name", ["claims_summary", "claims_summary_filtered", "claims_detail_filtered"])
+def test_newest_first_pushes_its_cutoff_into_the_scan(ws, name):
+    assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(encounter_date,ScalarSubquery", plan(QUERIES[name](ws)))
+
+
 def test_patient_mart_exchanges_each_input_once(spark, ws):
     with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false"):
         text = plan(patient_mart(*[ws.staged(f"stg_{t}") for t in ("patients", "encounters", "conditions", "medications")]))
