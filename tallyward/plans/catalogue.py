@@ -109,7 +109,7 @@ def _database() -> str:
 
 def discover_csv(ws: Workspace) -> DataFrame:
     root = _write_sources(ws, ws.scratch("source"))
-    found = {table: z.discover_csv(ws.spark, root, table) for table in LANDED_TABLES}
+    found = z.discover_tables(ws.spark, root, LANDED_TABLES)
     return _union([
         z.read_csv(ws.spark, *paths).agg(F.count("*").alias("n_rows")).select(
             F.lit(table).alias("table_name"), F.lit(len(paths)).cast("bigint").alias("n_files"), "n_rows")

@@ -14,7 +14,7 @@ from tallyward.schemas import CORE_TABLES, LANDED_TABLES
 from tallyward.sources.manifest import landed, landing_manifest, write_manifest
 from tallyward.sources.warehouse import MARTS, create_staging_views, load_warehouse, materialize_marts
 from tallyward.sources.zones import (
-    Snapshot, all_raw_partitions_present, day_objects, discover_csv, land_raw, partition_status,
+    Snapshot, all_raw_partitions_present, day_objects, discover_tables, land_raw, partition_status,
     raw_partition_present, read_csv, read_raw_partition, write_processed,
 )
 
@@ -35,8 +35,7 @@ def land_sources(spark: SparkSession, zones: Zones, run_date: dt.date, run_ts: d
                  project: str = "claims", origin: str = "ehr") -> tuple[list[Snapshot], list[str]]:
     """Land every source table that is there and write the manifest; names of the absent ones."""
     snapshots, missing = [], []
-    for table in LANDED_TABLES:
-        paths = discover_csv(spark, zones.source, table)
+    for table, paths in discover_tables(spark, zones.source, LANDED_TABLES).items():
         if paths:
             snapshots.append(land_raw(read_csv(spark, *paths), zones.raw, table, run_date))
         else:

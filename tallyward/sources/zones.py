@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Iterable
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -45,12 +46,19 @@ def objects_under(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], _LISTING)
 
 
-def discover_csv(spark: SparkSession, root: str, table: str) -> list[str]:
+def discover_tables(spark: SparkSession, root: str, tables: Iterable[str]) -> dict[str, list[str]]:
     """Every ``<table>.csv`` below a root, in any letter case; a directory of that name counts
-    as one file. Only the matching names come back, not the listing."""
-    pattern = rf"(?i)^(.*/{re.escape(table)}\.csv)(?:/.*)?$"
-    hits = objects_under(spark, root).select(F.regexp_extract("path", pattern, 1).alias("hit"))
-    return sorted(row.hit for row in hits.where(F.col("hit") != "").distinct().collect())
+    as one file. The root is listed once and only the matching names come back."""
+    tables = list(tables)
+    pattern = rf"(?i)^(.*/({'|'.join(map(re.escape, tables))})\.csv)(?:/.*)?$"
+    hits = objects_under(spark, root).select(
+        F.regexp_extract("path", pattern, 1).alias("hit"), F.lower(F.regexp_extract("path", pattern, 2)).alias("stem"))
+    found = hits.where(F.col("hit") != "").distinct().collect()
+    return {table: sorted(row.hit for row in found if row.stem == table.lower()) for table in tables}
+
+
+def discover_csv(spark: SparkSession, root: str, table: str) -> list[str]:
+    return discover_tables(spark, root, [table])[table]
 
 
 def read_csv(spark: SparkSession, *paths: str) -> DataFrame:
