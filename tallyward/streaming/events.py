@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,10 +21,15 @@ def read_notifications(spark: SparkSession, path: str, max_files: int | None = N
     return reader.text(path)
 
 
-def _records(notifications: DataFrame):
+def _records(notifications: DataFrame) -> Column:
     return F.coalesce(F.from_json("value", OBJECT_CREATED_EVENT)["Records"], F.array())
 
 
+def _decoded(key: Column) -> Column:
+    """URL-decoded key; a percent sign that starts no escape stands for itself."""
+    return F.url_decode(F.regexp_replace(key, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def ingest_event_log(notifications: DataFrame, prefix: str | None = None) -> DataFrame:
     """One row per created object: decoded key, size (0 when absent), status.
 
@@ -33,7 +38,7 @@ def ingest_event_log(notifications: DataFrame, prefix: str | None = None) -> Dat
     objects = notifications.select(F.explode(_records(notifications)).alias("record"))
     log = objects.select(
         F.col("record.s3.bucket.name").alias("bucket"),
-        F.url_decode("record.s3.object.key").alias("key"),
+        _decoded(F.col("record.s3.object.key")).alias("key"),
         F.coalesce("record.s3.object.size", F.lit(0)).alias("size"),
         F.lit("logged").alias("status"),
     )
@@ -58,7 +63,7 @@ def ingest_batch_summary(notifications: DataFrame) -> DataFrame:
     """One row per notification: how many objects it named and which."""
     files = F.transform(_records(notifications), lambda r: F.struct(
         r["s3"]["bucket"]["name"].alias("bucket"),
-        F.url_decode(r["s3"]["object"]["key"]).alias("key"),
+        _decoded(r["s3"]["object"]["key"]).alias("key"),
         F.coalesce(r["s3"]["object"]["size"], F.lit(0)).alias("size"),
         F.lit("logged").alias("status"),
     ))

@@ -33,6 +33,12 @@ def test_keys_are_decoded_and_sizes_default_to_zero(spark):
     assert line["event"] == "s3_object_created" and dt.datetime.fromisoformat(line["timestamp"])
 
 
+def test_stray_percent_signs_do_not_stop_the_log(spark):
+    docs = spark.createDataFrame([(notification({"key": "a%ZZ+b%"}),), (notification({"key": "50%+off%21"}),)], "value string")
+    assert sorted(r.key for r in ingest_event_log(docs).collect()) == ["50% off!", "a%ZZ b%"]
+    assert sorted(r.files[0].key for r in ingest_batch_summary(docs).collect()) == ["50% off!", "a%ZZ b%"]
+
+
 def test_event_log_stream_restarts_without_repeating(spark, tmp_path):
     source, sink, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
 
