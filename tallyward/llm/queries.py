@@ -2,18 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyward.llm.decontaminate import contamination
+from tallyward.llm.language import identify_language
+from tallyward.llm.packing import pack_documents
+from tallyward.llm.quality import score_quality
 from tallyward.llm.simhash import simhash_near_duplicates
-from tallyward.llm.storage import table
+from tallyward.llm.storage import ship, table
+
+
+def op2_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+def op7_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op10_simhash_popcount": op10_simhash_popcount,
-}
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
-ORACLES: dict[str, str] = {}
+QUERIES = {query.__name__: _shipped(query) for query in (
+    op2_hierarchical_packing,
+    op6_hierarchical_language,
+    op7_nbsvm_quality,
+    op9_wu_manber_decontamination,
+    op10_simhash_popcount,
+)}
+
+_WORDS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+OP9_SQL = f"""
+with docs as (select doc_id, coalesce({_WORDS}, []) as w from documents),
+items as (select item_id, {_WORDS} as w from benchmark where text is not null),
+windows as (
+  select distinct item_id, least(10, len(w)) as n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as gram
+  from items, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) as s(i) where len(w) > 0),
+sizes as (select distinct n from windows),
+grams as (
+  select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as gram
+  from docs, sizes, unnest(generate_series(1, len(w) - n + 1)) as s(i)),
+found as (select g.doc_id, g.i, g.n, x.item_id from grams g join windows x on g.n = x.n and g.gram = x.gram),
+hits as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(i, i + n - 1)) as p from found) group by doc_id),
+listed as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids
+  from (select distinct doc_id, cast(item_id as varchar) as id from found) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+  cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs d left join hits using (doc_id) left join listed using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op9_wu_manber_decontamination": OP9_SQL,
+}
