@@ -12,19 +12,18 @@ def dual_coordinate_descent(rows: list[Row], signs: np.ndarray, width: int, cost
     """Weights and bias of the hinge-loss machine for rows of (feature, value) arrays and signs +1 / -1.
 
     One dual variable per row, kept in [0, cost] and moved to its optimum in random order; the bias is
-    one more feature of value one. Classes of unequal size get costs that weigh them equally.
+    one more feature of value one.
     """
     weights, bias = np.zeros(width), 0.0
     dual = np.zeros(len(rows))
     squares = np.array([values @ values + 1.0 for _, values in rows])
-    most = np.where(signs > 0, len(rows) / (2 * max(1, (signs > 0).sum())), len(rows) / (2 * max(1, (signs < 0).sum()))) * cost
     order = np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(rows)):
             features, values = rows[i]
             slope = signs[i] * (weights[features] @ values + bias) - 1.0
-            new = min(max(dual[i] - slope / squares[i], 0.0), most[i])
+            new = min(max(dual[i] - slope / squares[i], 0.0), cost)
             if new != dual[i]:
                 step = (new - dual[i]) * signs[i]
                 weights[features] += step * values

@@ -3,7 +3,7 @@
 Indicators of the n-grams of a text are scaled by the log-count ratio of the two classes (naive Bayes) and
 a linear hinge-loss model is fitted on them by dual coordinate descent. Punctuation runs, upper case,
 table marks and words of the languages are all byte n-grams, so there is no word list and no
-tokenizer. The fit takes a bounded sample of labelled rows (``ROWS_PER_CLASS``, by hash of the id); scoring
+tokenizer; word pairs of a word with itself count as one n-gram each for how common they are. The fit takes a bounded sample of labelled rows (``ROWS_PER_CLASS``, by hash of the id); scoring
 takes every whole text, where it lies, in one narrow pass.
 """
 
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +25,19 @@ from tallyward.llm.linear import dual_coordinate_descent, sigmoid
 from tallyward.llm.storage import fold, free_name, steps
 
 ROWS_PER_CLASS = 2000
-WIDTH = 1 << 16
+HASHED = 1 << 16
+# The share of word pairs that repeat the word: one indicator for each of these shares that is passed.
+REPEATED_PAIRS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.4)
+WIDTH = HASHED + len(REPEATED_PAIRS)
+# One such indicator stands for as much text as this many byte n-grams.
+REPEAT_WEIGHT = 8.0
 MOST_BYTES_IN_A_GRAM = 4
 FOLDS, HELD_OUT = 3, 1
 _BYTES_AT_ONCE = 1 << 20
 
 
 def indicators(text: bytes) -> np.ndarray:
-    """Sorted numbers of the hashed byte n-grams (1 to 4 bytes) that occur in the text."""
+    """Sorted numbers of the n-grams that occur: hashed ones of 1 to 4 bytes, then those of repeated words."""
     seen = np.zeros(WIDTH, bool)
     for at in range(0, len(text), _BYTES_AT_ONCE):
         part = np.frombuffer(text, np.uint8, min(len(text) - at, _BYTES_AT_ONCE + MOST_BYTES_IN_A_GRAM - 1), at).astype(np.uint32)
@@ -40,6 +47,9 @@ def indicators(text: bytes) -> np.ndarray:
                 break
             gram = (gram[:len(part) - size + 1] << np.uint32(8)) | part[size - 1:]
             seen[((gram + np.uint32(size)) * np.uint32(2654435761)) >> np.uint32(16)] = True
+    words = text.split()
+    share = sum(map(eq, words, islice(words, 1, None))) / max(1, len(words) - 1)
+    seen[HASHED:] = share > np.array(REPEATED_PAIRS)
     return np.flatnonzero(seen).astype(np.int32)
 
 
@@ -59,11 +69,12 @@ class NaiveBayesSvm:
         for row, label in zip(rows, labels.tolist()):
             counts[label][row] += 1
         ratio = np.log(counts[1] / ((labels == 1).sum() + 2)) - np.log(counts[0] / ((labels == 0).sum() + 2))
+        ratio[HASHED:] *= REPEAT_WEIGHT
         scaled_rows = []
         for row in rows:
             values = ratio[row]
             scaled_rows.append((row, values / max(np.sqrt(values @ values), 1e-12)))
-        weights, bias = dual_coordinate_descent(scaled_rows, np.where(labels == 1, 1.0, -1.0), WIDTH)
+        weights, bias = dual_coordinate_descent(scaled_rows, np.where(labels == 1, 1.0, -1.0), WIDTH, cost=10.0, rounds=20)
         return cls(ratio, weights * ratio, bias)
 
     def margin(self, row: np.ndarray) -> float:
