@@ -1,20 +1,49 @@
-"""A corpus pipeline of the training-data operators, stage by stage over ``documents``."""
+"""A corpus pipeline of the training-data operators: filter, deduplicate, decontaminate, redact, pack."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyward.llm.decontaminate import drop_contaminated
+from tallyward.llm.packing import pack_documents
+from tallyward.llm.quality import keep_good
+from tallyward.llm.secret_scan import redact_secrets
 from tallyward.llm.simhash import drop_near_duplicates
 from tallyward.llm.storage import ship, table, written
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the NB-SVM, learnt from ``labels``, rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near-duplicates stays: that of the smallest doc_id."""
     return drop_near_duplicates(docs)
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a ``benchmark`` item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by ``<SECRET>``; all documents stay."""
+    return redact_secrets(docs, F.col("source"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens, with their token ids."""
+    return pack_documents(docs, with_ids=True)
+
+
 STAGES = [
-    ("SimHash near-dedup", near_duplicates),
+    ("quality classifier", good_quality),
+    ("SimHash near-dedup", without_near_duplicates),
+    ("benchmark decontamination", without_benchmark),
+    ("secret scans", without_secrets),
+    ("packing", packed),
 ]
 
 
@@ -22,8 +51,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each reads what the one before it has written."""
     ship(spark)
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.split()[0].lower()}")
     return docs
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyward.llm.decontaminate import contamination
 from tallyward.llm.language import identify_language
 from tallyward.llm.packing import pack_documents
 from tallyward.llm.quality import score_quality
+from tallyward.llm.secret_scan import scan_secrets
 from tallyward.llm.simhash import simhash_near_duplicates
 from tallyward.llm.storage import ship, table
 
@@ -18,6 +20,11 @@ def op2_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"), F.col("source"))
+    return found.select("doc_id", "ordinal", "start", "length", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
 def op6_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
@@ -44,6 +51,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES = {query.__name__: _shipped(query) for query in (
     op2_hierarchical_packing,
+    op5_forest_secrets,
     op6_hierarchical_language,
     op7_nbsvm_quality,
     op9_wu_manber_decontamination,
