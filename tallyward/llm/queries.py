@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.llm.decontaminate import contamination
+from tallyward.llm.embedding import embedding_near_duplicates
 from tallyward.llm.language import identify_language
 from tallyward.llm.packing import pack_documents
 from tallyward.llm.quality import score_quality
@@ -16,6 +17,10 @@ from tallyward.llm.simhash import simhash_near_duplicates
 from tallyward.llm.storage import ship, table
 
 
+def op1_cover_tree_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES = {query.__name__: _shipped(query) for query in (
+    op1_cover_tree_embeddings,
     op2_hierarchical_packing,
     op5_forest_secrets,
     op6_hierarchical_language,
@@ -61,6 +67,23 @@ QUERIES = {query.__name__: _shipped(query) for query in (
 _WORDS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 
+_ABLE = """label is not null and vec_id is not null and len(embedding) > 0
+  and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))"""
+
+OP1_SQL = f"""
+with recursive able as (select vec_id, label, cast(embedding as double[]) as v from embeddings where {_ABLE}),
+links as (
+  select a.vec_id as a, b.vec_id as b from able a join able b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(vec_id, other) as (
+  select vec_id, vec_id from able union select r.vec_id, l.b from reach r join links l on r.other = l.a),
+roots as (select vec_id, min(other) as component_id from reach group by vec_id),
+counts as (select a as vec_id, count(*) as n from links group by a)
+select e.vec_id, cast(coalesce(n, 0) as bigint) as n_links, coalesce(component_id, e.vec_id) as component_id,
+  coalesce(component_id, e.vec_id) = e.vec_id as kept
+from embeddings e left join roots using (vec_id) left join counts using (vec_id)
+"""
+
 OP9_SQL = f"""
 with docs as (select doc_id, coalesce({_WORDS}, []) as w from documents),
 items as (select item_id, {_WORDS} as w from benchmark where text is not null),
@@ -81,5 +104,6 @@ from docs d left join hits using (doc_id) left join listed using (doc_id)
 """
 
 ORACLES: dict[str, str] = {
+    "op1_cover_tree_embeddings": OP1_SQL,
     "op9_wu_manber_decontamination": OP9_SQL,
 }
