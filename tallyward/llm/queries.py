@@ -15,6 +15,8 @@ from tallyward.llm.quality import score_quality
 from tallyward.llm.secret_scan import scan_secrets
 from tallyward.llm.simhash import simhash_near_duplicates
 from tallyward.llm.storage import ship, table
+from tallyward.llm.url_rules import judge_urls
+from tallyward.llm.warc import archive_round_trip
 
 
 def op1_cover_tree_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,15 @@ def op2_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_token_indexed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"), F.col("source"))
     return found.select("doc_id", "ordinal", "start", "length", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
@@ -57,6 +68,8 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = {query.__name__: _shipped(query) for query in (
     op1_cover_tree_embeddings,
     op2_hierarchical_packing,
+    op3_chunked_warc,
+    op4_token_indexed_urls,
     op5_forest_secrets,
     op6_hierarchical_language,
     op7_nbsvm_quality,
@@ -84,6 +97,31 @@ select e.vec_id, cast(coalesce(n, 0) as bigint) as n_links, coalesce(component_i
 from embeddings e left join roots using (vec_id) left join counts using (vec_id)
 """
 
+OP3_SQL = """
+with payloads as (select page_id, coalesce(html, '') as p from pages),
+measured as (select page_id, cast(strlen(p) as bigint) as payload_bytes, sha256(p) as payload_digest from payloads),
+leaders as (select payload_digest, min(page_id) as leader from measured where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, m.payload_digest,
+  case when leader is null or leader = page_id then 'response' else 'revisit' end as record_type,
+  case when leader <> page_id then leader end as refers_to
+from measured m left join leaders l on m.payload_digest = l.payload_digest
+"""
+
+OP4_SQL = r"""
+with cut as (
+  select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+rules as (select * from (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) as r(h, p, v)),
+fits as (select page_id, arg_max(h || p, length(h || p)) as rule, arg_max(v, length(h || p)) as v
+  from cut join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id),
+own as (select *, host || path as t from cut)
+select page_id, host, path, rule, coalesce(v, case when
+    regexp_matches(t, '^(?:[^/]*\.)?(?:spam-|ads\.|adserver\.|tracker\.|casino\.)') or contains(t, '/casino/') or contains(t, '/poker/')
+    or contains(t, '/porn/') or contains(t, '/xxx/') or contains(t, '-casino-') or contains(t, '-poker-') or contains(t, '/wp-login.php')
+    or t like '%/affiliate/%/click/%' then 'block' else 'allow' end) as verdict
+from own left join fits using (page_id)
+"""
+
 OP9_SQL = f"""
 with docs as (select doc_id, coalesce({_WORDS}, []) as w from documents),
 items as (select item_id, {_WORDS} as w from benchmark where text is not null),
@@ -105,5 +143,7 @@ from docs d left join hits using (doc_id) left join listed using (doc_id)
 
 ORACLES: dict[str, str] = {
     "op1_cover_tree_embeddings": OP1_SQL,
+    "op3_chunked_warc": OP3_SQL,
+    "op4_token_indexed_urls": OP4_SQL,
     "op9_wu_manber_decontamination": OP9_SQL,
 }
