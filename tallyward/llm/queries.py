@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyward.llm.decontaminate import contamination
 from tallyward.llm.embedding import embedding_near_duplicates
 from tallyward.llm.language import identify_language
+from tallyward.llm.licences import scan_licences
 from tallyward.llm.packing import pack_documents
 from tallyward.llm.quality import score_quality
 from tallyward.llm.secret_scan import scan_secrets
@@ -49,6 +50,12 @@ def op7_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_licence_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths of their own: they lie as ``source/language/id.txt``."""
+    path = F.concat_ws("/", F.col("source"), F.col("lang"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan_licences(table(spark, sf_dir, "documents"), path)
+
+
 def op9_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,6 +80,7 @@ QUERIES = {query.__name__: _shipped(query) for query in (
     op5_forest_secrets,
     op6_hierarchical_language,
     op7_nbsvm_quality,
+    op8_licence_inheritance,
     op9_wu_manber_decontamination,
     op10_simhash_popcount,
 )}
