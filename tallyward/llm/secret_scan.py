@@ -138,16 +138,21 @@ def labelled_findings(docs: DataFrame, path: Column, sample: int = SAMPLE_DOCUME
     return values.select("path", F.expr(f"inline(array({', '.join(rows)}))"))
 
 
-def fit_forest(findings: DataFrame) -> RandomForestClassificationModel:
-    """The forest of labelled ``findings`` (candidate, before, after, path, label 0 / 1); other labels are left out."""
+def fit_forest(findings: DataFrame) -> RandomForestClassificationModel | None:
+    """The forest of labelled ``findings`` (candidate, before, after, path, label 0 / 1); other labels are left out.
+
+    Findings without both classes teach nothing: there is no forest, and every candidate counts as a secret.
+    """
     rows = findings.where("label in (0, 1)").select("candidate", "before", "after", "path", F.col("label").cast("double"))
     # One ordered file: bootstrap samples depend on where the rows lie. The sample is bounded.
     ordered = written(features(rows).coalesce(1).sortWithinPartitions(*FEATURES, "label"), "findings")
+    if ordered.select("label").distinct().count() < 2:
+        return None
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="feature_vector", labelCol="label")
     return forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="feature_vector").transform(ordered))
 
 
-def judge(found: DataFrame, forest: RandomForestClassificationModel) -> DataFrame:
+def judge(found: DataFrame, forest: RandomForestClassificationModel | None) -> DataFrame:
     """(path, text_key, ordinal, start, length, candidate, score) for each candidate of each different text and path."""
     once = found.groupBy("path", "text_key", "ordinal").agg(
         F.first("gap").alias("gap"), F.first("candidate").alias("candidate"), F.first("before").alias("before"), F.first("after").alias("after"))
@@ -157,8 +162,10 @@ def judge(found: DataFrame, forest: RandomForestClassificationModel) -> DataFram
     marked = features(placed.select(
         "path", "text_key", "ordinal", "start", F.col("candidate").alias("value"), "candidate", "before", "after",
         F.col("path").alias("at_path")).withColumn("chars", size.cast("long")))
+    if forest is None:
+        return marked.select("path", "text_key", "ordinal", "start", F.col("chars").alias("length"), F.col("value").alias("candidate"), F.lit(1.0).alias("score"))
     scored = forest.transform(VectorAssembler(inputCols=FEATURES, outputCol="feature_vector").transform(marked))
-    return scored.select("path", "text_key", "ordinal", "start", F.col("chars").alias("length"), "candidate",
+    return scored.select("path", "text_key", "ordinal", "start", F.col("chars").alias("length"), F.col("value").alias("candidate"),
                          vector_to_array("probability")[1].alias("score"))
 
 

@@ -1,0 +1,253 @@
+"""Embeddings, secrets, URL rules, archives, licences and the pipeline against brute force and planted cases."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from compare import oracle_rows, spark_rows, star_connection, type_differences
+from tallyward.llm.embedding import cover_tree, embedding_near_duplicates, linked_pairs
+from tallyward.llm.licences import scan_licences
+from tallyward.llm.queries import ORACLES, QUERIES
+from tallyward.llm.secret_scan import fit_forest, judge, labelled_findings, redact_secrets, scan_secrets
+from tallyward.llm.storage import table
+from tallyward.llm.url_rules import UrlRule, host_rule, judge_urls, rule_index
+from tallyward.llm.warc import VERSION, archive_round_trip, cuts, read_chunks, write_archives
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_check_text(spark, sf_dir, name):
+    df = QUERIES[name](spark, sf_dir)
+    columns, rows = spark_rows(df)
+    expected_columns, expected, types = oracle_rows(star_connection(sf_dir), ORACLES[name])
+    assert columns == expected_columns and not type_differences(df, types) and rows == expected
+
+
+# --- embeddings
+
+def brute_embeddings(rows, threshold):
+    unit = lambda v: np.array(v, float) / np.linalg.norm(np.array(v, float))
+    able = [label is not None and i is not None and v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v)
+            for i, v, label in rows]
+    n = len(rows)
+    link = np.zeros((n, n), bool)
+    for a in range(n):
+        for b in range(n):
+            if a != b and able[a] and able[b] and rows[a][2] == rows[b][2] and len(rows[a][1]) == len(rows[b][1]):
+                link[a, b] = unit(rows[a][1]) @ unit(rows[b][1]) >= threshold
+    component = [r[0] for r in rows]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in zip(*np.nonzero(link)):
+            if component[a] > component[b]:
+                component[a], changed = component[b], True
+    return Counter((r[0], int(link[k].sum()), component[k]) for k, r in enumerate(rows))
+
+
+def clustered(n, seed, width=6):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, width))
+    return (centres[rng.integers(0, 12, n)] + rng.normal(size=(n, width)) * rng.choice([0.05, 0.3], (n, 1))).astype(np.float32)
+
+
+def test_trees_find_all_pairs():
+    a, b = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (clustered(300, 1).astype(float), clustered(200, 2).astype(float)))
+    tree_a, tree_b = cover_tree(a), cover_tree(b)
+    for threshold in (0.2, 0.93, 0.999, 1.0):
+        got = set(zip(*(x.tolist() for x in linked_pairs(a, tree_a, b, tree_b, threshold))))
+        assert got == set(zip(*(x.tolist() for x in np.nonzero(a @ b.T >= threshold))))
+    assert all(np.all(np.diff([len(level[0]) for level in tree]) >= 0) for tree in (tree_a, tree_b))
+
+
+def test_embeddings_equal_brute_force(spark, monkeypatch):
+    import tallyward.llm.embedding as module
+
+    monkeypatch.setattr(module, "BLOCK", 40)
+    vectors = clustered(400, 3)
+    rows = [(i, v.tolist(), [0, 0, 0, 1][i % 4]) for i, v in enumerate(vectors)]
+    rows += [(1000 + i, vectors[4].tolist(), 0) for i in range(30)]
+    rows += [(2000, None, 0), (2001, [0.0] * 6, 0), (2002, [float("nan")] + [1.0] * 5, 0), (2003, [float("inf")] * 6, 0), (2004, [], 1),
+             (2005, vectors[4].tolist(), None), (2006, [None] + [1.0] * 5, 1), (2007, [1.0, 2.0], 0), (2008, [2.0, 4.0], 0), (2009, (vectors[4] * 1e30).tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("copies", F.lit(1)).withColumn("block", F.lit("b"))
+    got = embedding_near_duplicates(df).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == brute_embeddings(rows, 0.93)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+def test_embeddings_odd_tables(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    assert embedding_near_duplicates(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (3, [1.0, 0.0], 1)]
+    got = sorted(map(tuple, embedding_near_duplicates(spark.createDataFrame(rows, schema)).collect()), key=repr)
+    assert got == [(3, 1, 3, True), (3, 1, 3, True), (None, 0, None, True)]
+    with pytest.raises(ValueError):
+        embedding_near_duplicates(spark.createDataFrame([], schema), threshold=0)
+
+
+# --- secrets
+
+HEX = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
+SECRETS = [(1, f'words about it token = "{HEX}" and more words', "en", "src/a.py", 10),
+           (2, f'commit {HEX} fixes this', "en", "src/b.py", 10),
+           (3, None, None, None, None), (4, "", "en", "x", 0),
+           (5, f'a password: "Xk29fjQ03lPz81mQvT" here and token = "your_token_here_77" there\x01!', "en", None, 10),
+           (6, "card 4785380592391139 and 192.168.0.1 only", "en", "x", 5), (6, "card 4785380592391139 and 192.168.0.1 only", "en", "x", 5),
+           (None, f'use AKIA{HEX[:16].upper()} now', "en", "y", 5), (8, "plain words " * 30_000, "en", "x", 5)]
+
+
+@pytest.fixture(scope="module")
+def secret_docs(spark, sf_dir):
+    return spark.createDataFrame(SECRETS, DOCS).withColumn("text_key", F.lit("k")).withColumn("length", F.lit(1))
+
+
+@pytest.fixture(scope="module")
+def findings(spark):
+    return labelled_findings(table(spark, "/root/testdata/sf0.001", "documents"), F.col("source"), sample=60)
+
+
+def test_scan_finds_secrets_and_leaves_the_rest(secret_docs, findings):
+    rows = scan_secrets(secret_docs, F.col("source"), findings).collect()
+    flagged = {(r.doc_id, r.candidate) for r in rows if r.is_secret}
+    assert flagged == {(1, HEX), (5, "Xk29fjQ03lPz81mQvT"), (None, f"AKIA{HEX[:16].upper()}")}
+    texts = {r[0]: r[1] for r in SECRETS}
+    assert all(texts[r.doc_id][r.start:r.start + r.length] == r.candidate for r in rows)
+    assert Counter(r.doc_id for r in rows)[6] == 2 and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_redaction_keeps_rows_and_columns(spark, secret_docs, findings):
+    redacted = redact_secrets(secret_docs, F.col("source"), findings)
+    assert redacted.columns == secret_docs.columns and dict(redacted.dtypes) == dict(secret_docs.dtypes)
+    got = {r.doc_id: r for r in redacted.collect()}
+    assert redacted.count() == len(SECRETS)
+    assert got[1].text == 'words about it token = "<SECRET>" and more words' and got[1].n_chars == len(got[1].text)
+    assert got[5].text == 'a password: "<SECRET>" here and token = "your_token_here_77" there !'
+    assert got[2].text == SECRETS[1][1] and got[3].text is None and got[4].text == "" and got[8].text == SECRETS[-1][1]
+    empty = secret_docs.limit(0)
+    assert redact_secrets(empty, F.col("source"), findings).count() == 0
+    assert scan_secrets(empty, F.col("source"), findings).count() == 0
+
+
+def test_forest_on_held_out_findings(findings):
+    rows = findings.withColumns({"text_key": F.sha2(F.concat("candidate", "before", "after"), 256), "ordinal": F.lit(1), "gap": F.lit(0)})
+    held_out = F.crc32("candidate") % 3 == 0
+    scored = judge(rows.where(held_out), fit_forest(rows.where(~held_out))).join(rows.select("text_key", "label").distinct(), "text_key")
+    right, total = scored.agg(F.sum(((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int")), F.count("*")).first()
+    assert total > 200 and right / total > 0.97
+
+
+# --- URL rules
+
+def test_rules_by_rarest_token(spark):
+    urls = ["http://A.Example.NET/en/x?q#f", "https://net/", "http://net", "http://xnet/", "ftp://org/fr/", "http://a.org/fr", "no scheme net/", None, "",
+            "http://spam-farm.example.org/fr/1", "http://spam-farm.example.org/en/1", "http://a.com/casino/", "http://example.com/de/?u=http://b.net/", "http://q.test/affiliate/7/click/a",
+            "http://h.net:80/", "://net/a", "http://a.net/é\n/x"]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(0, urls[0], "again"), (None, urls[1], None)], "page_id long, url string, path string")
+    rows = judge_urls(pages).collect()
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows}
+    assert len(rows) == len(urls) + 2
+    assert got[0] == ("a.example.net", "/en/x", "example.net/en/", "allow") and got[1] == ("net", "/", "net/", "block")
+    assert got[2] == ("net", "", None, "allow") and got[3][2:] == (None, "allow") and got[4] == ("org", "/fr/", "org/fr/", "allow")
+    assert got[5][2:] == (None, "allow") and got[6] == got[7] == got[8] == ("", "", None, "allow")
+    assert got[9][2:] == ("org/fr/", "allow") and got[10][2:] == (None, "block") and got[11][2:] == (None, "block")
+    assert got[12] == ("example.com", "/de/", "example.com/de/", "block") and got[13][3] == "block"
+    assert got[14] == ("h.net:80", "/", None, "allow") and got[15] == ("net", "/a", "net/", "block") and got[16] == ("a.net", "/é\n/x", "net/", "block")
+    assert judge_urls(pages.limit(0)).count() == 0
+
+
+def test_index_holds_each_rule_once_under_a_sure_token(spark):
+    rules = [host_rule("net", "/", "block"), host_rule("example.net", "/en/", "allow"), UrlRule("ab*cd", "block"), UrlRule("/x^y", "block"), UrlRule("||h.org/pre", "block")]
+    urls = spark.createDataFrame([(["", "net", "example"],), (["", "net"],), (["", "en", "net", "example"],)], "tokens array<string>")
+    assert {r.rule: r.token for r in rule_index(urls, rules).collect()} == {"net/": "net", "example.net/en/": "en", "ab*cd": "", "/x^y": "x", "h.org/pre": "h"}
+    texts = ["a.net/", "http", "abcd", "ab/9/cd", "q/x.y", "q/x/y", "q/xay", "h.org/prefix", "xh.org/pre", "a.h.org/pre"]
+    for rule in rules:
+        fitting = [t for t in texts if re.search(rule.expression(), t)]
+        assert all(set(rule.tokens()) <= set(re.split(r"[^0-9A-Za-z]+", t)) for t in fitting)
+
+
+# --- archives
+
+def test_archives_round_trip(spark, tmp_path):
+    mark = f"<p>{VERSION}\r\n\r\n{VERSION}</p>"
+    payloads = ["x" * 200, "é" * 1000, mark * 40, "x" * 200, None, "", "tiny", "tiny", "\r\n\r\n" * 60, "x" * 200, "ends with " * 20 + VERSION, mark * 40, "a\nb\r" * 50]
+    rows = [(10 + i, f"http://h/{i}\r\nWARC/1.1", p) for i, p in enumerate(payloads)] + [(None, None, "x" * 200), (11, "u", "é" * 1000), (None, None, "n" * 150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("chunk", F.lit(1))
+    path = str(tmp_path / "archives")
+    write_archives(pages, path, chunk_bytes=64)
+    chunks = read_chunks(spark, path)
+    assert chunks.where("octet_length(chunk) > 64").count() == 0 and chunks.where("type = 'continuation'").count() > 50
+    leaders = {}
+    for i, _, p in rows:
+        if i is not None and len((p or "").encode()) >= 100:
+            leaders[p] = min(i, leaders.get(p, i))
+    expected = Counter()
+    for i, _, p in rows:
+        body = (p or "").encode()
+        to = leaders.get(p) if leaders.get(p) != i else None
+        expected[i, len(body), hashlib.sha256(body).hexdigest(), "revisit" if to else "response", to, True] += 1
+    got = archive_round_trip(pages, chunk_bytes=64)
+    assert Counter(tuple(r) for r in got.collect()) == expected
+    assert archive_round_trip(pages.limit(0)).count() == 0
+    for size in (16, 17, 64):
+        data = (mark * 9 + "é" * 40).encode()
+        ends = cuts(memoryview(data), size)
+        parts = [data[a:b] for a, b in zip([0, *ends], ends)]
+        assert b"".join(parts) == data and all(0 < len(p) <= size and VERSION.encode() not in p and p.decode() is not None for p in parts)
+
+
+# --- licences
+
+def test_licences_and_inheritance(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    rows = [(1, mit, "r/LICENSE"), (2, "print(1)", "r/src/deep/a.py"), (3, "x\n# Licensed under the Apache License, Version 2.0.\n" + "code " * 50, "r/src/b.py"),
+            (4, "Released under the MIT License.\n" + "text " * 50, "q/a.txt"), (5, "nothing", "q/b.txt"), (6, None, "r/c"), (7, "", None), (None, "nothing", "r/d"),
+            (8, "All rights reserved.", "r/src/COPYING"), (8, "All rights reserved.", "r/src/COPYING"), (9, "the licence of a poet", "q/c"),
+            (10, "z", "r/src/e.py"), (11, "Licensed under CC BY-NC 4.0.\nshort", "n/l.txt"), (12, "z", "n/m.txt"), (13, "Licensed under CC BY-SA 4.0.", "s/LICENSE.md")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place string").withColumn("licence", F.lit(1)).withColumn("path", F.lit("p"))
+    got = scan_licences(docs, F.col("place")).collect()
+    found = {r.doc_id: (r.licence, r.how, r.from_directory) for r in got}
+    assert len(got) == len(rows)
+    assert found[1] == ("MIT", "own", None) and found[3] == ("Apache-2.0", "own", None) and found[4][:2] == ("MIT", "own")
+    assert found[2] == ("Proprietary", "inherited", "r/src") and found[10] == ("Proprietary", "inherited", "r/src")
+    assert found[6] == ("MIT", "inherited", "r") and found[None] == ("MIT", "inherited", "r")
+    assert found[5] == (None, "none", None) and found[7] == (None, "none", None) and found[9] == (None, "none", None)
+    assert found[11][0] == "CC-BY-NC-4.0" and found[12] == ("CC-BY-NC-4.0", "inherited", "n") and found[13][0] == "CC-BY-SA-4.0"
+    assert scan_licences(docs.limit(0), F.col("place")).count() == 0
+
+
+# --- pipeline
+
+def test_pipeline_stages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    columns, kept = docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id for r in kept.select("doc_id").collect()}
+        kept = stage(spark, kept, sf_dir)
+        assert kept.columns == columns, name
+        path = f"{spark.conf.get('spark.checkpoint.dir')}/test-{name.split()[0]}"
+        kept.write.mode("overwrite").parquet(path)
+        kept = spark.read.parquet(path)
+        after = {r.doc_id for r in kept.select("doc_id").collect()}
+        assert after <= before and len(after) > 0.7 * len(before) and kept.count() == len(after)
+    assert kept.where(F.col("text").rlike('token = "[0-9a-f]{40}"')).count() == 0
+    from tallyward.llm.decontaminate import contamination
+    from tallyward.llm.simhash import simhash_near_duplicates
+
+    assert contamination(kept, table(spark, sf_dir, "benchmark")).where("contaminated").count() == 0
+    assert simhash_near_duplicates(kept).where("doc_id <> component_id").count() <= 2
+    pieces = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir)
+    rows = pieces.collect()
+    assert {r.doc_id for r in rows} == after and all(zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+
+
+def test_pipeline_of_no_documents(spark, sf_dir):
+    empty = table(spark, sf_dir, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0
