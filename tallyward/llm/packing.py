@@ -13,6 +13,8 @@ are never shuffled, and a lost task packs the same split again. Memory is bounde
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -30,7 +32,19 @@ END_ID = 1
 # Pieces that wait in a tier before its windows are filled, and groups that share a deal.
 HELD = 512
 GROUPS = 4
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 1_000_000
+# Words of these characters are cut here as the tokenizer cuts them (letters, single digits, other runs) and
+# looked up by part; apostrophes, other scripts, fractions and control characters are left to the tokenizer.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
+_SIMPLE = re.compile("[!-&(-~¡-±´-¸»¿-įı-ſ]+")
+_PART = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+
+
+def _byte_letters() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
 def tokenizer_path() -> str:
@@ -52,14 +66,17 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
 
-    def _plain(self, letters: bytes) -> bytes:
-        """Ids of ASCII letters alone: one pre-token, lower-cased."""
-        stem = letters.lower()
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token."""
+        stem = part.lower()
         if stem not in self.stems:
-            self.stems[stem] = np.array([t.id for t in self.model.tokenize(stem.decode())], "<u4").tobytes()
+            letters = stem if stem.isascii() else "".join(map(self.letters.__getitem__, stem.encode()))
+            ids = [token.id for token in self.model.tokenize(letters)]
+            self.stems[stem] = struct.pack(f"<{len(ids)}I", *ids)
         return self.stems[stem]
 
     def learn(self, documents: list[list[bytes]]) -> None:
@@ -70,14 +87,13 @@ class WordTokens:
         new.difference_update(self.known.keys())
         odd = []
         for word in new:
-            if word.isalpha():
-                self.known[word] = self._plain(word)
-            elif word[:-1].isalpha() and word[-1:] in b".,":
-                self.known[word] = self._plain(word[:-1]) + self._plain(word[-1:])
+            text = word.decode()
+            if _SIMPLE.fullmatch(text):
+                self.known[word] = b"".join(map(self._part, _PART.findall(text)))
             else:
                 odd.append(word)
         for word, found in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
+            self.known[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
