@@ -6,19 +6,107 @@ its own. Averages are rounded half up in whole numbers, so no binary fraction de
 
 from __future__ import annotations
 
-from tallyward.functions.labels import AGE_FILTER_LABELS, AGE_LABELS, TIER_LABELS
-from tallyward.operators.claims import DETAIL_HEADINGS as CLAIM_HEADINGS
-from tallyward.operators.patients import DETAIL_HEADINGS as PATIENT_HEADINGS
-from tallyward.operators.providers import DETAIL_HEADINGS as PROVIDER_HEADINGS
-from tallyward.operators.staging import STAGING_MODELS
-from tallyward.plans.catalogue import CLAIM_CHOICE, NO_CLAIM, NO_PATIENT, PATIENT_CHOICE
-from tallyward.schemas import AGE_GROUPS, COST_TIERS, ENCOUNTER_CLASSES, LANDED_TABLES, RAW_COLUMNS
 from tallyward.sources.star_schema import RAW_SQL
 
+# What the results are called and made of, written out here so that a wrong one in the package shows.
+AGE_FILTER_LABELS = {'pediatric': 'Pediatric (<18)', 'adult': 'Adult (18–64)', 'senior': 'Senior (65+)'}
+AGE_LABELS = {'pediatric': 'Pediatric (<18)', 'adult': 'Adult (18-64)', 'senior': 'Senior (65+)'}
+TIER_LABELS = {'zero_cost': 'Zero', 'low': 'Low (<$500)', 'medium': 'Medium (<$5k)', 'high': 'High (≥$5k)'}
+CLAIM_HEADINGS = {'encounter_id': 'Encounter ID',
+     'encounter_class': 'Class',
+     'encounter_date': 'Date',
+     'state': 'State',
+     'age_group': 'Age Group',
+     'gender': 'Gender',
+     'total_claim_cost': 'Total Cost ($)',
+     'payer_coverage': 'Payer Coverage ($)',
+     'out_of_pocket': 'Out-of-Pocket ($)',
+     'cost_tier': 'Cost Tier'}
+PATIENT_HEADINGS = {'patient_id': 'Patient ID',
+     'gender': 'Gender',
+     'race': 'Race',
+     'state': 'State',
+     'age_years': 'Age',
+     'age_group': 'Age Group',
+     'total_encounters': 'Encounters',
+     'total_claim_cost': 'Total Cost ($)',
+     'avg_claim_cost': 'Avg Cost ($)',
+     'total_out_of_pocket': 'Total OOP ($)',
+     'emergency_visits': 'ER Visits',
+     'chronic_conditions': 'Chronic Conds',
+     'active_medications': 'Active Meds'}
+PROVIDER_HEADINGS = {'rank': '#',
+     'provider_id': 'Provider ID',
+     'total_claims': 'Claims',
+     'total_billed': 'Total Billed ($)',
+     'avg_cost': 'Avg Cost ($)',
+     'unique_patients': 'Unique Patients',
+     'total_payer_coverage': 'Payer Coverage ($)',
+     'total_oop': 'Out-of-Pocket ($)'}
+CLAIM_CHOICE = {'classes': ['emergency', 'inpatient'], 'tiers': ['medium', 'high'], 'ages': ['adult', 'senior']}
+NO_CLAIM = {'classes': ["O'Brien"]}
+PATIENT_CHOICE = {'states': ['NATION_3', 'NATION_7', 'NATION_11'], 'ages': ['adult'], 'genders': ['F']}
+NO_PATIENT = {'states': ["O'Brien"]}
+AGE_GROUPS = ('pediatric', 'adult', 'senior')
+COST_TIERS = ('zero_cost', 'low', 'medium', 'high')
+ENCOUNTER_CLASSES = ('ambulatory', 'emergency', 'inpatient', 'outpatient', 'urgentcare', 'wellness')
+LANDED_TABLES = ('patients', 'encounters', 'conditions', 'medications', 'procedures', 'observations')
+STAGING_MODELS = {'stg_patients': ('patients', 'patient_id',
+                      ('patient_id', 'birth_date', 'death_date', 'gender', 'race', 'ethnicity', 'state',
+                       'zip_code', 'age_years', 'is_deceased', 'processed_at')),
+     'stg_encounters': ('encounters', 'encounter_id',
+                        ('encounter_id', 'patient_id', 'provider_id', 'payer_id', 'encounter_class',
+                         'encounter_code', 'description', 'encounter_start', 'encounter_stop',
+                         'encounter_date', 'encounter_year', 'encounter_month', 'duration_hours',
+                         'base_cost', 'total_claim_cost', 'payer_coverage', 'out_of_pocket',
+                         'processed_at')),
+     'stg_conditions': ('conditions', 'patient_id',
+                        ('patient_id', 'encounter_id', 'condition_code', 'condition_description',
+                         'onset_date', 'resolution_date', 'is_chronic', 'days_active', 'processed_at')),
+     'stg_medications': ('medications', 'patient_id',
+                         ('patient_id', 'encounter_id', 'medication_code', 'medication_description',
+                          'start_date', 'stop_date', 'is_active', 'base_cost', 'payer_coverage',
+                          'total_cost', 'out_of_pocket', 'processed_at'))}
+RAW_COLUMNS = {'patients': {'Id': ('patient_id', 'string'),
+                  'BIRTHDATE': ('birth_date', 'date'),
+                  'DEATHDATE': ('death_date', 'date'),
+                  'GENDER': ('gender', 'string'),
+                  'RACE': ('race', 'string'),
+                  'ETHNICITY': ('ethnicity', 'string'),
+                  'STATE': ('state', 'string'),
+                  'ZIP': ('zip_code', 'string')},
+     'encounters': {'Id': ('encounter_id', 'string'),
+                    'PATIENT': ('patient_id', 'string'),
+                    'PROVIDER': ('provider_id', 'string'),
+                    'PAYER': ('payer_id', 'string'),
+                    'ENCOUNTERCLASS': ('encounter_class', 'string'),
+                    'CODE': ('encounter_code', 'string'),
+                    'DESCRIPTION': ('description', 'string'),
+                    'START': ('encounter_start', 'timestamp'),
+                    'STOP': ('encounter_stop', 'timestamp'),
+                    'BASE_ENCOUNTER_COST': ('base_cost', 'decimal(18,2)'),
+                    'TOTAL_CLAIM_COST': ('total_claim_cost', 'decimal(18,2)'),
+                    'PAYER_COVERAGE': ('payer_coverage', 'decimal(18,2)')},
+     'conditions': {'PATIENT': ('patient_id', 'string'),
+                    'ENCOUNTER': ('encounter_id', 'string'),
+                    'CODE': ('condition_code', 'string'),
+                    'DESCRIPTION': ('condition_description', 'string'),
+                    'START': ('onset_date', 'date'),
+                    'STOP': ('resolution_date', 'date')},
+     'medications': {'PATIENT': ('patient_id', 'string'),
+                     'ENCOUNTER': ('encounter_id', 'string'),
+                     'CODE': ('medication_code', 'string'),
+                     'DESCRIPTION': ('medication_description', 'string'),
+                     'START': ('start_date', 'date'),
+                     'STOP': ('stop_date', 'date'),
+                     'BASE_COST': ('base_cost', 'decimal(18,2)'),
+                     'PAYER_COVERAGE': ('payer_coverage', 'decimal(18,2)'),
+                     'TOTALCOST': ('total_cost', 'decimal(18,2)')}}
+
 _STAR = ("customer", "nation", "region", "orders", "events", "lineitem", "part")
 AS_OF = "date '2001-12-31'"
 RUN_TS = "timestamp '2001-12-31 06:00:00'"
-CORE = LANDED_TABLES[:4]
+CORE = ("patients", "encounters", "conditions", "medications")
 DAY = "year=2001/month=12/day=31"
 
 
@@ -408,6 +496,10 @@ NOTIFIED = """
         case when event_id % 5 <> 0 then cast(round(value * 100) as bigint) else 0 end as size,
         unnest(case when event_id % 17 = 0 then [] when event_id % 3 = 0 then ['', '+copy'] else [''] end) as suffix
       from events)"""
+DEFECT_LOG = NOTIFIED.replace("from events)", "from events where event_id % 19 not in (1, 2, 3))")
+DEFECT = """case event_id % 19 when 1 then 'broken ' || event_id
+    when 2 then '{"Records": [{"s3": {"bucket": {"name": "raw-zone"}, "object": {"size": 1}}}]}'
+    else '{"Records": [{"s3": {"bucket": {"name": "raw-zone"}, "object": {"key": "k", "size": "many"}}}]}' end"""
 SUMMARIES = """
     select 200 as status_code, 'Ingestion trigger complete' as message, files as files_processed, cast(files * size as bigint) as total_size
     from (select case when event_id % 17 = 0 then 0 when event_id % 3 = 0 then 2 else 1 end::bigint as files,
@@ -433,7 +525,7 @@ ORACLES: dict[str, str] = {
         f"cast(sum(n_rows) over () as bigint) as total_rows, table_name, n_rows, key from ({KEYED_LANDING})", *RAW_NAMES),
     "missing_tables": over(
         f"select name as table_name from (select unnest([{', '.join(repr(t) for t in LANDED_TABLES)}]) as name) "
-        f"where name not in (select table_name from ({RAW_COUNTS}) where n_rows > 0)", *RAW_NAMES),
+        f"where name not in (select table_name from ({RAW_COUNTS}))", *RAW_NAMES),
     "read_raw_partition": PROCESSED["conditions"],
     "write_processed": over(per_table(
         "select '{t}' as table_name, count(*) as n_rows, '{t}/" + DAY + "' as key from {t}"), *CORE),
@@ -444,6 +536,19 @@ ORACLES: dict[str, str] = {
     "source_ref": over(f"{CORE_COUNTS} union all {STAGE_COUNTS}", *CORE),
     "materialize": over(MART_COUNTS, "claims", "patient_mart"),
     "processed_sizes": over(f"select table_name, n_rows > 0 as has_bytes from ({CORE_COUNTS})", *CORE),
+    **{f"read_raw_partition_{t}": PROCESSED[t] for t in ("patients", "encounters", "medications")},
+    **{f"read_processed_partition_{t}": PROCESSED[t] for t in ("patients", "conditions", "medications")},
+    **{f"load_warehouse_{t}": PROCESSED[t] for t in CORE},
+    **{f"crawl_catalog_{t}": PROCESSED[t] for t in CORE},
+    "materialize_claims": of_claims(doubles(CLAIM_COLUMNS, "claims")),
+    "materialize_patients": of_patients(doubles(PATIENT_COLUMNS, "patient_mart")),
+    "relanded_day": over(
+        "select zone, 'encounters' as table_name, count(*) as n_rows, count(patient_id) as n_patients "
+        "from encounters, (select unnest(['raw', 'processed']) as zone) where encounter_id like '%7' group by zone "
+        "union all select unnest(['raw', 'processed']), 'conditions', 0, 0", "encounters"),
+    "response_document": of_claims(
+        f"select *, count(*) over () as total, cast(row_number() over (order by encounter_date desc nulls last, encounter_id) - 1 as int) as place "
+        f"from ({claims_summary(100)})"),
     "result_envelope": of_claims(
         f"select *, count(*) over () as total from ({claims_summary(1000, among('encounter_class', ['emergency']))})"),
     "cached_reads": of_claims(CLAIMS_STATS),
@@ -568,7 +673,7 @@ ORACLES: dict[str, str] = {
     "validate_raw": over(
         per_table("select '{t}' as table_name, case when count(*) > 0 then 'PASS' else 'FAIL' end as status, "
                   "count(*) > 0 as success, count(*) > 0 as has_rows, true as no_empty_cols, count(*) as row_count from raw_{t}")
-        + " union all select 'procedures', 'SKIP', null, null, null, null", *RAW_NAMES),
+        + " union all select unnest(['procedures', 'observations']), 'SKIP', null, null, null, null", *RAW_NAMES),
     "dq_unique": over(
         "select encounter_id, count(*) as n_records from typed_encounters where encounter_id is not null "
         "group by 1 having count(*) > 1", "typed_encounters"),
@@ -593,6 +698,16 @@ ORACLES: dict[str, str] = {
     "ingest_error_alarm": ALARM,
     "ingest_error_alarm_stream": f"""
         select * from ({ALARM}) where period_end <= (select date_trunc('millisecond', max(ts)) - interval 10 minute from events)""",
-    "incremental_landing_encounters": PROCESSED["encounters"],
-    "incremental_landing_conditions": PROCESSED["conditions"],
+    **{f"incremental_landing_{t}": PROCESSED[t] for t in CORE},
+    "ingest_event_log_defects": DEFECT_LOG,
+    "ingest_event_log_failed": f"""
+        select {DEFECT} as value, case when event_id % 19 = 1 then 'not a JSON document' else 'unusable record' end as reason,
+          'failed' as status from events where event_id % 19 in (1, 2, 3)""",
+    "ingest_log_lines": f"""
+        select '{{"event":"s3_object_created","project":"claims","environment":"dev","bucket":"raw-zone","key":' || to_json(key) ||
+          ',"size_bytes":' || size || ',"timestamp":"2001-12-31T06:00:00.000000"}}' as line from ({NOTIFIED})""",
+    "ingest_failure_alarm": """
+        select period_start, period_start + interval 5 minute as period_end, errors from (
+          select time_bucket(interval 5 minute, ts) as period_start, count(*) as errors
+          from events where event_id % 19 in (1, 2, 3) group by 1)""",
 }

@@ -29,8 +29,17 @@ def claims_mart(encounters: DataFrame, patients: DataFrame) -> DataFrame:
 
 
 def in_date_order(claims: DataFrame) -> DataFrame:
-    """Order for writing: each file sorted by date, so its row groups cover narrow date ranges."""
-    return claims.sortWithinPartitions("encounter_date", "encounter_id")
+    """Order for writing: each file holds a date range of its own and is sorted by date.
+
+    A cutoff date then opens few files and few of their row groups. The id as second key splits a day, or the
+    claims without a date, that would be too much for one file.
+    """
+    return claims.repartitionByRange("encounter_date", "encounter_id").sortWithinPartitions("encounter_date", "encounter_id")
+
+
+def in_patient_order(patients: DataFrame) -> DataFrame:
+    """Order for writing: each file holds a range of patient ids, so a point lookup opens one."""
+    return patients.repartitionByRange("patient_id").sortWithinPartitions("patient_id")
 
 
 def encounter_metrics(encounters: DataFrame) -> DataFrame:

@@ -21,20 +21,20 @@ from tallyward.operators import quality as q
 from tallyward.operators.dedupe import one_row_per_key
 from tallyward.operators.filters import eq_filters, in_filters, known
 from tallyward.operators.staging import STAGING_MODELS
-from tallyward.operators.transforms import TRANSFORMS, transform_conditions, typed
+from tallyward.operators.transforms import TRANSFORMS, typed
 from tallyward.plans.pipeline import Zones, run_pipeline, run_summary, transform_day
 from tallyward.plans.workspace import Workspace
 from tallyward.schemas import CORE_TABLES, GENDERS, LANDED_TABLES
 from tallyward.sources import manifest as mf
 from tallyward.sources import warehouse as w
 from tallyward.sources import zones as z
-from tallyward.sources.export import with_total
+from tallyward.sources.export import envelope, with_total
 from tallyward.sources.star_schema import object_notifications, star_table
 from tallyward.streaming.alarm import ingest_error_alarm, start_error_alarm
 from tallyward.streaming.events import (
-    ingest_batch_summary, ingest_event_log, read_notifications, start_event_log,
+    failed_notifications, ingest_batch_summary, ingest_errors, ingest_event_log, log_lines, read_notifications, start_event_log,
 )
-from tallyward.streaming.landing import read_raw_stream, start_incremental_landing
+from tallyward.streaming.landing import start_incremental_landing
 
 Query = Callable[[Workspace], DataFrame]
 
@@ -88,7 +88,7 @@ def _modelled(ws: Workspace) -> tuple[Zones, dict[str, int]]:
     zones, _ = _loaded(ws)
     w.create_staging_views(ws.spark, zones.database)
     return zones, ws.once("model", lambda: w.materialize_marts(
-        ws.spark, zones.database, zones.warehouse, patient_buckets=8))
+        ws.spark, zones.database, zones.warehouse))
 
 
 def _ran(ws: Workspace) -> tuple[Zones, DataFrame]:
@@ -108,7 +108,7 @@ def _database() -> str:
 
 
 def discover_csv(ws: Workspace) -> DataFrame:
-    root = _write_sources(ws, ws.scratch("source"))
+    root = ws.once("sources", lambda: _write_sources(ws, ws.scratch("source")))
     found = z.discover_tables(ws.spark, root, LANDED_TABLES)
     return _union([
         z.read_csv(ws.spark, *paths).agg(F.count("*").alias("n_rows")).select(
@@ -117,7 +117,7 @@ def discover_csv(ws: Workspace) -> DataFrame:
 
 
 def read_raw_csv(ws: Workspace) -> DataFrame:
-    root = _write_sources(ws, ws.scratch("source"), ("encounters",))
+    root = ws.once("sources", lambda: _write_sources(ws, ws.scratch("source")))
     paths = z.discover_csv(ws.spark, root, "encounters")
     raw = z.read_raw_csv(ws.spark, "encounters", *paths, corrupt_column="_corrupt_record")
     clean = raw.withColumn("corrupt", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
@@ -142,14 +142,34 @@ def landing_manifest(ws: Workspace) -> DataFrame:
 
 
 def missing_tables(ws: Workspace) -> DataFrame:
-    found = landing_stats(ws).where(F.col("row_count") > 0)
-    return mf.missing_tables(ws.spark, LANDED_TABLES, found)
+    """Tables that nothing was landed for; one that landed without rows is not missing."""
+    return mf.missing_tables(ws.spark, LANDED_TABLES, landing_stats(ws))
 
 
-def read_raw_partition(ws: Workspace) -> DataFrame:
+def read_raw_partition(ws: Workspace, table: str = "conditions") -> DataFrame:
     zones, _ = _landed(ws)
-    day = z.read_raw_partition(ws.spark, zones.raw, "conditions", ws.as_of)
-    return transform_conditions(day, ws.as_of, ws.run_ts)
+    day = z.read_raw_partition(ws.spark, zones.raw, table, ws.as_of)
+    return as_double(TRANSFORMS[table](day, ws.as_of, ws.run_ts))
+
+
+def relanded_day(ws: Workspace) -> DataFrame:
+    """What both zones hold for a day that landed in full and then again: smaller for encounters, empty for conditions."""
+    def land() -> Zones:
+        zones = ws.zones(_database())
+        smaller = {"encounters": ws.raw("encounters").where("Id like '%7'"), "conditions": ws.raw("conditions").limit(0)}
+        for table, again in smaller.items():
+            for raw in (ws.raw(table), again):
+                z.land_raw(raw, zones.raw, table, ws.as_of)
+                transform_day(ws.spark, zones, ws.as_of, ws.as_of, ws.run_ts)
+        return zones
+
+    zones = ws.once("reland", land)
+    return _union([
+        df.agg(F.count("*").alias("n_rows"), F.count("patient_id").alias("n_patients")).select(
+            F.lit(zone).alias("zone"), F.lit(table).alias("table_name"), "n_rows", "n_patients")
+        for table in ("encounters", "conditions") for zone, df in (
+            ("raw", TRANSFORMS[table](z.read_raw_partition(ws.spark, zones.raw, table, ws.as_of), ws.as_of, ws.run_ts)),
+            ("processed", z.read_processed_partition(ws.spark, zones.processed, table, ws.as_of)))])
 
 
 def write_processed(ws: Workspace) -> DataFrame:
@@ -157,19 +177,40 @@ def write_processed(ws: Workspace) -> DataFrame:
     return mf.landed(ws.spark, snapshots).withColumnsRenamed({"table": "table_name", "rows": "n_rows"})
 
 
-def read_processed_partition(ws: Workspace) -> DataFrame:
+def read_processed_partition(ws: Workspace, table: str = "encounters") -> DataFrame:
     zones, _ = _transformed(ws)
-    return as_double(z.read_processed_partition(ws.spark, zones.processed, "encounters", ws.as_of))
+    return as_double(z.read_processed_partition(ws.spark, zones.processed, table, ws.as_of))
 
 
 def load_warehouse(ws: Workspace) -> DataFrame:
     return _counted(ws, _loaded(ws)[1])
 
 
+def loaded_table(ws: Workspace, table: str) -> DataFrame:
+    return as_double(w.source(ws.spark, _loaded(ws)[0].database, table))
+
+
+def materialized(ws: Workspace, mart: str) -> DataFrame:
+    return as_double(ws.spark.table(f"{_modelled(ws)[0].database}_marts.{mart}"))
+
+
+def _crawled(ws: Workspace) -> tuple[str, list[str]]:
+    def crawl() -> tuple[str, list[str]]:
+        zones, _ = _landed(ws)
+        database = _database()
+        ws.databases.append(database)
+        return database, w.crawl_catalog(ws.spark, database, zones.raw, LANDED_TABLES, "csv")
+
+    return ws.once("crawl", crawl)
+
+
+def crawled_table(ws: Workspace, table: str) -> DataFrame:
+    database, _ = _crawled(ws)
+    return as_double(TRANSFORMS[table](w.source(ws.spark, database, table).drop("year", "month", "day"), ws.as_of, ws.run_ts))
+
+
 def crawl_catalog(ws: Workspace) -> DataFrame:
-    zones, _ = _landed(ws)
-    database = _database()
-    tables = w.crawl_catalog(ws.spark, database, zones.raw, LANDED_TABLES, "csv")
+    database, tables = _crawled(ws)
     return _union([
         w.source(ws.spark, database, t).groupBy("year", "month", "day").agg(F.count("*").alias("n_rows"))
         .select(F.lit(t).alias("table_name"), "year", "month", "day", "n_rows") for t in tables])
@@ -197,9 +238,22 @@ def processed_sizes(ws: Workspace) -> DataFrame:
 
 def cached_reads(ws: Workspace) -> DataFrame:
     zones, _ = _modelled(ws)
-    w.refresh_marts(ws.spark, zones.database)
-    w.cache_marts(ws.spark, zones.database)
-    return c.claims_stats(ws.spark.table(f"{zones.database}_marts.mart_claims_summary"))
+
+    def read() -> str:
+        w.refresh_marts(ws.spark, zones.database)
+        w.cache_marts(ws.spark, zones.database)
+        path = ws.scratch("cached-reads")
+        c.claims_stats(ws.spark.table(f"{zones.database}_marts.mart_claims_summary")).write.parquet(path)
+        w.refresh_marts(ws.spark, zones.database)  # gives the memory back
+        return path
+
+    return ws.spark.read.parquet(ws.once("cached reads", read))
+
+
+def response_document(ws: Workspace) -> DataFrame:
+    """The response of the claims listing, opened up again: its total, and each claim with its place."""
+    document = envelope(c.claims_summary(ws.claims(), 100), "claims", 100)
+    return document.select("total", F.posexplode("claims").alias("place", "claim")).select("total", "place", "claim.*")
 
 
 def run_summary_record(ws: Workspace) -> DataFrame:
@@ -248,7 +302,7 @@ def dq_report(ws: Workspace) -> DataFrame:
 
 
 def validate_raw(ws: Workspace) -> DataFrame:
-    return q.validate_raw(ws.spark, {t: ws.raw(t) if t in CORE_TABLES else None for t in LANDED_TABLES[:5]})
+    return q.validate_raw(ws.spark, {t: ws.raw(t) if t in CORE_TABLES else None for t in LANDED_TABLES})
 
 
 def raw_partition_present(ws: Workspace) -> DataFrame:
@@ -273,28 +327,40 @@ def _alarm(events: DataFrame) -> DataFrame:
     return ingest_error_alarm(events, "ts", F.col("event_type") == "error")
 
 
+def _defective(ws: Workspace) -> DataFrame:
+    return object_notifications(ws.spark, ws.sf_dir, defects=True)
+
+
 def ingest_event_log_stream(ws: Workspace) -> DataFrame:
-    run = ws.scratch("event-log")
-    _notifications(ws).write.text(f"{run}/in")
-    start_event_log(read_notifications(ws.spark, f"{run}/in"), f"{run}/out", f"{run}/checkpoint").awaitTermination()
-    return ws.spark.read.parquet(f"{run}/out")
+    def stream() -> str:
+        run = ws.scratch("event-log")
+        _notifications(ws).select("value").write.text(f"{run}/in")
+        start_event_log(read_notifications(ws.spark, f"{run}/in"), f"{run}/out", f"{run}/checkpoint").awaitTermination()
+        return f"{run}/out"
+
+    return ws.spark.read.parquet(ws.once("event log", stream))
 
 
 def ingest_error_alarm_stream(ws: Workspace) -> DataFrame:
-    run = ws.scratch("alarm")
-    events = star_table(ws.spark, ws.sf_dir, "events")
-    # As a pattern, the path may be one file or a folder of them.
-    stream = ws.spark.readStream.schema(events.schema).parquet(f"{ws.sf_dir}/event[s].parquet")
-    start_error_alarm(_alarm(stream), f"{run}/out", f"{run}/checkpoint").awaitTermination()
-    return ws.spark.read.parquet(f"{run}/out")
+    def alarm() -> str:
+        run = ws.scratch("alarm")
+        events = star_table(ws.spark, ws.sf_dir, "events")
+        # As a pattern, the path may be one file or a folder of them.
+        stream = ws.spark.readStream.schema(events.schema).parquet(f"{ws.sf_dir}/event[s].parquet")
+        start_error_alarm(_alarm(stream), f"{run}/out", f"{run}/checkpoint").awaitTermination()
+        return f"{run}/out"
+
+    return ws.spark.read.parquet(ws.once("alarm", alarm))
 
 
 def _stream_landing(ws: Workspace, table: str) -> DataFrame:
-    zones, _ = _landed(ws)
-    lake, checkpoint = ws.scratch("lake"), ws.scratch("checkpoint")
-    raw = read_raw_stream(ws.spark, zones.raw, table)
-    start_incremental_landing(raw, lake, table, checkpoint, ws.as_of, ws.run_ts).awaitTermination()
-    processed = ws.spark.read.parquet(f"{lake}/{table}")
+    def stream() -> str:
+        zones, _ = _landed(ws)
+        lake, checkpoint = ws.scratch("lake"), ws.scratch("checkpoint")
+        start_incremental_landing(ws.spark, zones.raw, lake, table, checkpoint, ws.as_of, ws.run_ts).awaitTermination()
+        return f"{lake}/{table}"
+
+    processed = ws.spark.read.parquet(ws.once(f"stream {table}", stream))
     return as_double(processed.drop("year", "month", "day"))
 
 
@@ -314,6 +380,14 @@ QUERIES: dict[str, Query] = {
     "source_ref": source_ref,
     "materialize": materialize,
     "processed_sizes": processed_sizes,
+    **{f"read_raw_partition_{t}": (lambda ws, t=t: read_raw_partition(ws, t)) for t in ("patients", "encounters", "medications")},
+    **{f"read_processed_partition_{t}": (lambda ws, t=t: read_processed_partition(ws, t)) for t in ("patients", "conditions", "medications")},
+    **{f"load_warehouse_{t}": (lambda ws, t=t: loaded_table(ws, t)) for t in CORE_TABLES},
+    **{f"crawl_catalog_{t}": (lambda ws, t=t: crawled_table(ws, t)) for t in CORE_TABLES},
+    "materialize_claims": lambda ws: materialized(ws, "mart_claims_summary"),
+    "materialize_patients": lambda ws: materialized(ws, "mart_patient_metrics"),
+    "relanded_day": relanded_day,
+    "response_document": response_document,
     "result_envelope": lambda ws: with_total(c.claims_summary(ws.claims(), 1000, encounter_class="emergency")),
     "cached_reads": cached_reads,
     "daily_run": lambda ws: _ran(ws)[1],
@@ -409,11 +483,14 @@ QUERIES: dict[str, Query] = {
     "ingest_event_log": lambda ws: ingest_event_log(_notifications(ws)),
     "ingest_event_log_prefix": lambda ws: ingest_event_log(_notifications(ws), "claims/"),
     "ingest_event_log_stream": ingest_event_log_stream,
+    "ingest_event_log_defects": lambda ws: ingest_event_log(_defective(ws)),
+    "ingest_event_log_failed": lambda ws: failed_notifications(_defective(ws)),
+    "ingest_log_lines": lambda ws: log_lines(ingest_event_log(_notifications(ws)), PROJECT, "dev", ws.run_ts),
+    "ingest_failure_alarm": lambda ws: ingest_error_alarm(ingest_errors(_defective(ws), "arrived"), "ts", F.col("failed")),
     "ingest_batch_summary": lambda ws: ingest_batch_summary(_notifications(ws)).select(
         "status_code", "message", "files_processed",
         F.aggregate("files", F.lit(0).cast("bigint"), lambda total, f: total + f["size"]).alias("total_size")),
     "ingest_error_alarm": lambda ws: _alarm(star_table(ws.spark, ws.sf_dir, "events")),
     "ingest_error_alarm_stream": ingest_error_alarm_stream,
-    "incremental_landing_encounters": lambda ws: _stream_landing(ws, "encounters"),
-    "incremental_landing_conditions": lambda ws: _stream_landing(ws, "conditions"),
+    **{f"incremental_landing_{t}": (lambda ws, t=t: _stream_landing(ws, t)) for t in CORE_TABLES},
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyward.operators.quality import DECLARED_CHECKS, dq_report, validate_raw
 from tallyward.operators.transforms import TRANSFORMS
 from tallyward.schemas import CORE_TABLES, LANDED_TABLES
+from tallyward.session import size_shuffles
 from tallyward.sources.manifest import landed, landing_manifest, write_manifest
 from tallyward.sources.warehouse import MARTS, create_staging_views, load_warehouse, materialize_marts
 from tallyward.sources.zones import (
@@ -90,6 +91,8 @@ def run_pipeline(spark: SparkSession, zones: Zones, run_date: dt.date, run_ts: d
     summary += [("land", table, None, "skipped") for table in missing]
     for row in validate_landed(spark, zones, run_date).collect():
         summary.append(("validate", row.table_name, row.row_count, row.status.lower()))
+    landed_bytes = day_objects(spark, zones.raw, CORE_TABLES, run_date).agg(F.sum("bytes")).first()[0]
+    size_shuffles(spark, landed_bytes or 0)
     raw_partition_present(spark, zones.raw, "patients", run_date)
     all_raw_partitions_present(spark, zones.raw, CORE_TABLES, run_date)
     snapshots, missing = transform_day(spark, zones, run_date, as_of, run_ts)

@@ -2,8 +2,8 @@
 
 Reports read written marts, as they would from a warehouse: the deduplication and joins run
 once, every later query is a narrow scan, and a lost executor costs a re-read, not a re-run.
-The tables lie in the session's shared folder. A cluster session that names none gets the same
-tables as lazy plans instead.
+The tables lie in a folder of the workspace's own, by default below the session's shared folder; ``close``
+removes it together with the databases that its runs have made.
 """
 
 from __future__ import annotations
@@ -15,46 +15,47 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyward.operators.marts import claims_mart, in_date_order, patient_mart
+from tallyward.operators.marts import claims_mart, in_date_order, in_patient_order, patient_mart
 from tallyward.operators.staging import stage
 from tallyward.operators.transforms import TRANSFORMS
 from tallyward.plans.pipeline import Zones
-from tallyward.session import shared_folder
+from tallyward.session import remove_folder, shared_folder
 from tallyward.sources.star_schema import raw_table
 
 
 class Workspace:
     """``as_of`` is also the day under which everything is filed."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, as_of: dt.date, run_ts: dt.datetime):
+    def __init__(self, spark: SparkSession, sf_dir: str, as_of: dt.date, run_ts: dt.datetime, root: str | None = None):
         self.spark, self.sf_dir, self.as_of, self.run_ts = spark, sf_dir, as_of, run_ts
-        shared = shared_folder(spark)
-        self.root = f"{shared}/tallyward-{uuid.uuid4().hex[:12]}" if shared else None
+        self.root = root or f"{shared_folder(spark)}/tallyward-{uuid.uuid4().hex[:12]}"
+        self.databases: list[str] = []
         self._written: dict[str, str] = {}
         self._done: dict[str, Any] = {}
 
     def zones(self, database: str) -> Zones:
         """Fresh zones for one run."""
-        run = f"{self._shared_root()}/run-{uuid.uuid4().hex[:8]}"
+        self.databases += [database, f"{database}_marts"]
+        run = f"{self.root}/run-{uuid.uuid4().hex[:8]}"
         return Zones(f"{run}/source", f"{run}/raw", f"{run}/processed", f"{run}/warehouse", database)
 
     def scratch(self, name: str) -> str:
-        return f"{self._shared_root()}/{name}-{uuid.uuid4().hex[:8]}"
-
-    def _shared_root(self) -> str:
-        if self.root is None:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        return self.root
+        return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
     def _written_once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        if self.root is None:
-            return build()
         if name not in self._written:
             path = f"{self.root}/{name}"
             build().write.mode("overwrite").parquet(path)
             self._written[name] = path
         return self.spark.read.parquet(self._written[name])
 
+    def close(self) -> None:
+        """Drop the databases of this workspace's runs and remove its folder."""
+        for database in self.databases:
+            self.spark.sql("DROP DATABASE IF EXISTS IDENTIFIER(:name) CASCADE", args={"name": database})
+        remove_folder(self.spark, self.root)
+        self.databases, self._written, self._done = [], {}, {}
+
     def once(self, step: str, run: Callable[[], Any]) -> Any:
         """Outcome of a step that writes; later queries build on the same files."""
         if step not in self._done:
@@ -85,7 +86,7 @@ class Workspace:
         return self._written_once("marts/mart_claims_summary", lambda: in_date_order(self.build_claims()))
 
     def patients(self) -> DataFrame:
-        return self._written_once("marts/mart_patient_metrics", self.build_patients)
+        return self._written_once("marts/mart_patient_metrics", lambda: in_patient_order(self.build_patients()))
 
 
 _open: dict[tuple[str, str], Workspace] = {}

@@ -66,5 +66,5 @@ GENDERS = ("M", "F")
 
 OBJECT_CREATED_EVENT = (
     "Records ARRAY<STRUCT<s3: STRUCT<bucket: STRUCT<name: STRING>, "
-    "object: STRUCT<key: STRING, size: BIGINT>>>>"
+    "object: STRUCT<key: STRING, size: STRING>>>>"
 )

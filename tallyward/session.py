@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
-_local_roots: dict[str, str] = {}
-
-
 # A shuffle partition of this size sorts in memory on a common executor and writes one decent file.
 PARTITION_BYTES = 256 * 1024**2
 
@@ -33,21 +28,24 @@ def build_session(
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: the one named by ``spark.checkpoint.dir``, else the checkpoint directory set
+    on the context, else the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
-    Only a local session without that setting gets a temporary folder of its own; on a cluster
-    without it the answer is ``None`` and callers keep their plans lazy.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir().rstrip("/")
-    if not context.master.startswith("local"):
-        return None
-    app = context.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="tallyward-")
-    return _local_roots[app]
+
+def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
+    """Start later shuffles of this session with enough partitions for inputs of this size (never fewer than before)."""
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = int(spark.conf.get(name, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = -(-input_bytes // PARTITION_BYTES)
+    if wanted > before:
+        spark.conf.set(name, str(wanted))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a store that Spark reaches; nothing happens if it is absent."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

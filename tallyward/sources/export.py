@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyward.operators.filters import check_limit
 
-def envelope(listing: DataFrame, field: str) -> DataFrame:
-    """One row: the number of rows of a limited listing and the rows themselves, in order.
 
-    Meant for the listings that are bounded by their row limit (at most 1000 rows).
+MOST_ROWS = 1000
+
+
+def envelope(listing: DataFrame, field: str, limit: int) -> DataFrame:
+    """One row: the number of rows of a listing of at most ``limit`` rows and the rows themselves, in order.
+
+    The whole document is one row, so the limit is checked here and holds whatever the listing is.
     """
-    return listing.agg(F.count("*").alias("total"), F.collect_list(F.struct("*")).alias(field))
+    check_limit(limit, 1, MOST_ROWS)
+    return listing.limit(limit).agg(F.count("*").alias("total"), F.collect_list(F.struct("*")).alias(field))
 
 
 def with_total(listing: DataFrame) -> DataFrame:

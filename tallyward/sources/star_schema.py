@@ -90,11 +90,12 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {table: raw_table(spark, sf_dir, table) for table in RAW_SQL}
 
 
-def object_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+def object_notifications(spark: SparkSession, sf_dir: str, defects: bool = False) -> DataFrame:
     """Object-created notification documents, one JSON text per event row.
 
     Keys are URL-encoded, every fifth record has no size, every seventeenth document lists no
-    records and every third lists two.
+    records and every third lists two. With ``defects``, of nineteen documents one is no JSON, one has a record
+    without a key and one a size that is no number. ``arrived`` is the time of the event.
     """
     events = star_table(spark, sf_dir, "events")
     zone = F.when(F.col("event_type") == "error", "claims").otherwise("patients")
@@ -111,4 +112,11 @@ def object_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = F.array(record(name), record(F.concat(name, F.lit("+copy"))))
     records = F.when(F.col("event_id") % 17 == 0, F.slice(once, 1, 0)).when(
         F.col("event_id") % 3 == 0, twice).otherwise(once)
-    return events.select(F.to_json(F.struct(records.alias("Records"))).alias("value"))
+    good = F.to_json(F.struct(records.alias("Records")))
+    if not defects:
+        return events.select(good.alias("value"), F.col("ts").cast("timestamp").alias("arrived"))
+    keyless = F.lit('{"Records": [{"s3": {"bucket": {"name": "raw-zone"}, "object": {"size": 1}}}]}')
+    unsized = F.lit('{"Records": [{"s3": {"bucket": {"name": "raw-zone"}, "object": {"key": "k", "size": "many"}}}]}')
+    value = F.when(F.col("event_id") % 19 == 1, F.concat(F.lit("broken "), F.col("event_id").cast("string"))).when(
+        F.col("event_id") % 19 == 2, keyless).when(F.col("event_id") % 19 == 3, unsized).otherwise(good)
+    return events.select(value.alias("value"), F.col("ts").cast("timestamp").alias("arrived"))

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.operators.marts import claims_mart, in_date_order, patient_mart
+from tallyward.operators.marts import claims_mart, in_date_order, in_patient_order, patient_mart
 from tallyward.operators.staging import STAGING_MODELS, stage
 from tallyward.sources.zones import CSV_OPTIONS, read_processed_partition
 
@@ -70,19 +70,20 @@ def materialize_marts(
 ) -> dict[str, int]:
     """Build the marts from the staging views into ``<database>_marts``.
 
-    With ``patient_buckets`` the patient mart is bucketed on its unique key, so a point
-    lookup opens one bucket and joins on the patient need no shuffle.
+    The claims mart is written in date order, the patient mart in order of its key, in as many files as hold rows.
+    With ``patient_buckets``, chosen by the caller for the size of the mart, the patient mart is bucketed on its
+    unique key instead, so joins on the patient need no shuffle either.
     """
     marts = f"{database}_marts"
     _create_database(spark, marts)
+    mart = patient_mart(*[ref(spark, f"stg_{t}") for t in ("patients", "encounters", "conditions", "medications")])
     by_patient = (patient_buckets, "patient_id") if patient_buckets else None
     return {
         "mart_claims_summary": replace_table(
             in_date_order(claims_mart(ref(spark, "stg_encounters"), ref(spark, "stg_patients"))),
             marts, "mart_claims_summary", warehouse_root),
         "mart_patient_metrics": replace_table(
-            patient_mart(*[ref(spark, f"stg_{t}") for t in ("patients", "encounters", "conditions", "medications")]),
-            marts, "mart_patient_metrics", warehouse_root, by_patient),
+            mart if by_patient else in_patient_order(mart), marts, "mart_patient_metrics", warehouse_root, by_patient),
     }
 
 
@@ -91,7 +92,8 @@ def crawl_catalog(
 ) -> list[str]:
     """Register the tables of a zone with their partitions; tables that are not there are left out.
 
-    Partitions take the table's columns; a rerun picks up new days.
+    Partitions take the table's columns; a rerun picks up new days and appends columns that the newest day has
+    and the table does not.
     """
     _create_database(spark, database)
     options = CSV_OPTIONS if file_format == "csv" else {}
@@ -106,10 +108,24 @@ def crawl_catalog(
                     raise
                 continue
         spark.catalog.recoverPartitions(name)
+        _add_new_columns(spark, name, f"{root}/{table}", file_format, options)
         registered.append(table)
     return registered
 
 
+def _add_new_columns(spark: SparkSession, name: str, path: str, file_format: str, options: dict[str, str]) -> None:
+    """Columns of the newest partition that a registered table lacks, as its last data columns."""
+    days = [row.partition for row in spark.sql(f"SHOW PARTITIONS {name}").collect()]
+    if not days:
+        return
+    newest = max(days, key=lambda day: [int(part.split("=")[1]) for part in day.split("/")])
+    known = {column.lower() for column in spark.table(name).columns}
+    fields = spark.read.options(**options).format(file_format).load(f"{path}/{newest}").schema.fields
+    new = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields if f.name.lower() not in known]
+    if new:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(new)})")
+
+
 def cache_marts(spark: SparkSession, database: str) -> None:
     """Keep the marts in executor memory for repeated page queries."""
     for mart in MARTS:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Iterable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -35,10 +36,10 @@ def _missing_path(error: AnalysisException) -> bool:
     return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
-def objects_under(spark: SparkSession, path: str) -> DataFrame:
-    """Path and size of every object below a path, without opening any; empty if it is absent."""
+def objects_under(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """Path and size of every object below a path whose name fits, without opening any; empty if it is absent."""
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(path)
         return files.select("path", "length")
     except AnalysisException as error:
         if not _missing_path(error):
@@ -46,12 +47,16 @@ def objects_under(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], _LISTING)
 
 
+def _any_case(text: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in text)
+
+
 def discover_tables(spark: SparkSession, root: str, tables: Iterable[str]) -> dict[str, list[str]]:
     """Every ``<table>.csv`` below a root, in any letter case; a directory of that name counts
-    as one file. The root is listed once and only the matching names come back."""
+    as one file. Only objects whose own or parent name is a CSV name are looked at, and only the matching names come back."""
     tables = list(tables)
     pattern = rf"(?i)^(.*/({'|'.join(map(re.escape, tables))})\.csv)(?:/.*)?$"
-    hits = objects_under(spark, root).select(
+    hits = objects_under(spark, root, f"*{_any_case('.csv')}*").select(
         F.regexp_extract("path", pattern, 1).alias("hit"), F.lower(F.regexp_extract("path", pattern, 2)).alias("stem"))
     found = hits.where(F.col("hit") != "").distinct().collect()
     return {table: sorted(row.hit for row in found if row.stem == table.lower()) for table in tables}
@@ -88,16 +93,20 @@ def read_raw_csv(spark: SparkSession, table: str, *paths: str, corrupt_column: s
 
 
 def _write_day(df: DataFrame, root: str, table: str, run_date: dt.date, source: str, **options: str) -> Snapshot:
-    """Replace one day's partition and leave other days alone. Rows are counted by the write."""
+    """Replace one day's partition, also by no rows, and leave other days alone. Rows are counted by the write."""
     written = Observation()
-    dated = df.observe(written, F.count(F.lit(1)).alias("rows")).withColumns({
-        "year": F.lit(str(run_date.year)),
-        "month": F.lit(f"{run_date.month:02d}"),
-        "day": F.lit(f"{run_date.day:02d}"),
-    })
-    (dated.write.partitionBy("year", "month", "day").format(source).options(**options)
-        .option("partitionOverwriteMode", "dynamic").mode("overwrite").save(f"{root}/{table}"))
-    return Snapshot(table, written.get["rows"], len(df.columns), day_key(table, run_date))
+    key = day_key(table, run_date)
+    (df.observe(written, F.count(F.lit(1)).alias("rows")).write.format(source).options(**options)
+        .mode("overwrite").save(f"{root}/{key}"))
+    return Snapshot(table, written.get["rows"], len(df.columns), key)
+
+
+def write_days(days: list[tuple[dt.date, DataFrame]], root: str, table: str) -> None:
+    """Replace the processed days of several frames in one job; a day without rows is not touched."""
+    dated = [df.withColumns({"year": F.lit(str(day.year)), "month": F.lit(f"{day.month:02d}"), "day": F.lit(f"{day.day:02d}")})
+             for day, df in days]
+    (reduce(DataFrame.unionByName, dated).write.partitionBy("year", "month", "day").option("compression", "snappy")
+        .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{root}/{table}"))
 
 
 def land_raw(df: DataFrame, root: str, table: str, run_date: dt.date) -> Snapshot:

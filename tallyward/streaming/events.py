@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,6 +14,8 @@ from tallyward.schemas import OBJECT_CREATED_EVENT
 LOGGED_EVENT = "s3_object_created"
 SUMMARY_MESSAGE = "Ingestion trigger complete"
 
+FAILED_MESSAGE = "Ingestion trigger failed"
+
 
 def read_notifications(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Stream of notification documents, one JSON text per line."""
@@ -21,8 +25,18 @@ def read_notifications(spark: SparkSession, path: str, max_files: int | None = N
     return reader.text(path)
 
 
-def _records(notifications: DataFrame) -> Column:
-    return F.coalesce(F.from_json("value", OBJECT_CREATED_EVENT)["Records"], F.array())
+def _parsed(notifications: DataFrame) -> DataFrame:
+    """The notifications with their records and, if the document or one of its records cannot be used, the reason.
+
+    A usable record names its bucket and key, and its size, if it has one, is a whole number.
+    """
+    document = F.from_json("value", f"{OBJECT_CREATED_EVENT}, _broken STRING", {"columnNameOfCorruptRecord": "_broken"})
+    parsed = notifications.withColumn("document", document)
+    records = F.coalesce("document.Records", F.array())
+    bad = F.exists(records, lambda r: r["s3"]["bucket"]["name"].isNull() | r["s3"]["object"]["key"].isNull() | (
+        r["s3"]["object"]["size"].isNotNull() & r["s3"]["object"]["size"].try_cast("bigint").isNull()))
+    reason = F.when(F.col("document").isNull() | F.col("document._broken").isNotNull(), "not a JSON document").when(bad, "unusable record")
+    return parsed.withColumns({"records": records, "reason": reason}).drop("document")
 
 
 def _decoded(key: Column) -> Column:
@@ -30,23 +44,38 @@ def _decoded(key: Column) -> Column:
     return F.url_decode(F.regexp_replace(key, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
+def _size(record: Column) -> Column:
+    return F.coalesce(record["s3"]["object"]["size"].try_cast("bigint"), F.lit(0))
+
+
 def ingest_event_log(notifications: DataFrame, prefix: str | None = None) -> DataFrame:
     """One row per created object: decoded key, size (0 when absent), status.
 
-    With a prefix only keys below it are logged.
+    With a prefix only keys below it are logged. Notifications that fail are in ``failed_notifications``, whole.
     """
-    objects = notifications.select(F.explode(_records(notifications)).alias("record"))
+    objects = _parsed(notifications).where("reason is null").select(F.explode("records").alias("record"))
     log = objects.select(
         F.col("record.s3.bucket.name").alias("bucket"),
         _decoded(F.col("record.s3.object.key")).alias("key"),
-        F.coalesce("record.s3.object.size", F.lit(0)).alias("size"),
+        _size(F.col("record")).alias("size"),
         F.lit("logged").alias("status"),
     )
     return log.where(F.col("key").startswith(prefix)) if prefix else log
 
 
-def log_lines(log: DataFrame, project: str, environment: str) -> DataFrame:
-    """The log rows as JSON text, stamped with the time they are processed."""
+def failed_notifications(notifications: DataFrame) -> DataFrame:
+    """One row per notification that cannot be handled: its text, the reason, status ``failed``."""
+    return _parsed(notifications).where("reason is not null").select("value", "reason", F.lit("failed").alias("status"))
+
+
+def ingest_errors(notifications: DataFrame, time: str) -> DataFrame:
+    """(ts, failed) of each notification, as the error alarm takes them; ``time`` is when it arrived."""
+    return _parsed(notifications).select(F.col(time).alias("ts"), F.col("reason").isNotNull().alias("failed"))
+
+
+def log_lines(log: DataFrame, project: str, environment: str, run_ts: dt.datetime | None = None) -> DataFrame:
+    """The log rows as JSON text, stamped with ``run_ts``, by default the time they are processed."""
+    stamp = F.current_timestamp() if run_ts is None else F.lit(run_ts)
     line = F.struct(
         F.lit(LOGGED_EVENT).alias("event"),
         F.lit(project).alias("project"),
@@ -54,24 +83,26 @@ def log_lines(log: DataFrame, project: str, environment: str) -> DataFrame:
         "bucket",
         "key",
         F.col("size").alias("size_bytes"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+        F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
     )
     return log.select(F.to_json(line).alias("line"))
 
 
 def ingest_batch_summary(notifications: DataFrame) -> DataFrame:
-    """One row per notification: how many objects it named and which."""
-    files = F.transform(_records(notifications), lambda r: F.struct(
+    """One row per notification: how many objects it named and which; a failed one has status 500 and none."""
+    files = F.transform("records", lambda r: F.struct(
         r["s3"]["bucket"]["name"].alias("bucket"),
         _decoded(r["s3"]["object"]["key"]).alias("key"),
-        F.coalesce(r["s3"]["object"]["size"], F.lit(0)).alias("size"),
+        _size(r).alias("size"),
         F.lit("logged").alias("status"),
     ))
-    return notifications.select(
-        F.lit(200).alias("status_code"),
-        F.lit(SUMMARY_MESSAGE).alias("message"),
-        F.size(files).cast("bigint").alias("files_processed"),
-        files.alias("files"),
+    failed = F.col("reason").isNotNull()
+    handled = F.when(failed, F.slice(files, 1, 0)).otherwise(files)
+    return _parsed(notifications).select(
+        F.when(failed, 500).otherwise(200).alias("status_code"),
+        F.when(failed, FAILED_MESSAGE).otherwise(SUMMARY_MESSAGE).alias("message"),
+        F.size(handled).cast("bigint").alias("files_processed"),
+        handled.alias("files"),
     )
 
 

@@ -201,7 +201,7 @@ def test_cards(claims):
 
 def test_envelope_keeps_order_and_counts(spark, claims, tmp_path):
     listing = c.claims_summary(claims, 3)
-    row = envelope(listing, "claims").first()
+    row = envelope(listing, "claims", 1000).first()
     assert row.total == 3 and [r.encounter_id for r in row.claims] == ["e4", "e3", "e2"]
     assert {r.total for r in with_total(listing).collect()} == {3}
     write_json(listing, str(tmp_path / "out"))

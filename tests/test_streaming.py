@@ -10,9 +10,9 @@ from tallyward.operators.transforms import TRANSFORMS
 from tallyward.sources import zones as z
 from tallyward.streaming.alarm import ingest_error_alarm, start_error_alarm
 from tallyward.streaming.events import (
-    ingest_batch_summary, ingest_event_log, log_lines, read_notifications, start_event_log,
+    failed_notifications, ingest_batch_summary, ingest_errors, ingest_event_log, log_lines, read_notifications, start_event_log,
 )
-from tallyward.streaming.landing import read_raw_stream, start_incremental_landing
+from tallyward.streaming.landing import start_incremental_landing
 
 
 def notification(*objects):
@@ -87,30 +87,63 @@ def test_alarm_stream_drops_late_rows_and_reports_closed_periods(spark, tmp_path
     assert arrive((at(2), "error"), (at(60), "view")) == [(at(0), 2), (at(10), 1)]  # behind the watermark: dropped
 
 
-@pytest.mark.parametrize("table", ["patients", "encounters", "conditions", "medications"])
-def test_incremental_landing_equals_the_batch_transform(spark, tmp_path, table):
+def test_bad_notifications_are_kept_and_counted(spark):
+    good = notification({"key": "a", "size": 1})
+    bad = ["no json", notification({"size": 3}), notification({"key": "k", "size": "many"}),
+           json.dumps({"Records": [{"s3": {"object": {"key": "k"}}}]}), notification({"key": "x"}, {"size": 1}), None]
+    docs = spark.createDataFrame([(d, at(i)) for i, d in enumerate([good, "{}", *bad])], "value string, arrived timestamp")
+    assert [r.key for r in ingest_event_log(docs).collect()] == ["a"]
+    failed = failed_notifications(docs).collect()
+    assert sorted(map(repr, (r.value for r in failed))) == sorted(map(repr, bad)) and {r.status for r in failed} == {"failed"}
+    summary = sorted((r.status_code, r.files_processed, len(r.files)) for r in ingest_batch_summary(docs).collect())
+    assert summary == [(200, 0, 0), (200, 1, 1)] + [(500, 0, 0)] * len(bad)
+    alarms = ingest_error_alarm(ingest_errors(docs, "arrived"), "ts", F.col("failed")).collect()
+    assert sorted((r.period_start, r.errors) for r in alarms) == [(at(0), 3), (at(5), 3)]
+
+
+def landing(spark, tmp_path, table, **options):
     zone, lake, checkpoint = (str(tmp_path / n) for n in ("raw", "lake", "checkpoint"))
-    # The same key in two files of a day: they arrive in different batches.
-    df = raw(spark, table, ROWS[table])
-    doubled = df.unionByName(df.withColumn("DESCRIPTION" if "DESCRIPTION" in df.columns else "RACE", F.lit("aaa"))).repartition(4)
-    z.land_raw(doubled, zone, table, AS_OF)
-    transform = TRANSFORMS[table]
 
     def process():
-        stream = read_raw_stream(spark, zone, table, max_files=1)
-        start_incremental_landing(stream, lake, table, checkpoint, AS_OF, RUN_TS).awaitTermination()
+        start_incremental_landing(spark, zone, lake, table, checkpoint, AS_OF, RUN_TS, **options).awaitTermination()
 
     def rows(frame):
-        return sorted(map(repr, frame.drop("year", "month", "day").collect()))
+        return sorted(map(repr, frame.select(*sorted(set(frame.columns) - {"year", "month", "day"})).collect()))
 
+    def held(day):
+        return rows(z.read_processed_partition(spark, lake, table, day))
+
+    def batch(day):
+        return rows(TRANSFORMS[table](z.read_raw_partition(spark, zone, table, day), AS_OF, RUN_TS))
+
+    return zone, process, held, batch
+
+
+@pytest.mark.parametrize("table", ["patients", "encounters", "conditions", "medications"])
+def test_incremental_landing_equals_the_batch_transform(spark, tmp_path, table):
+    zone, process, held, batch = landing(spark, tmp_path, table, max_files=1)
+    # The same key in two files of a day: they arrive in different batches.
+    df = raw(spark, table, ROWS[table])
+    doubled = df.unionByName(df.withColumn("DESCRIPTION" if "DESCRIPTION" in df.columns else "RACE", F.lit("aaa"))).repartition(2)
+    z.land_raw(doubled, zone, table, AS_OF)
     process()
-    expected = rows(transform(z.read_raw_partition(spark, zone, table, AS_OF), AS_OF, RUN_TS))
-    assert rows(spark.read.parquet(f"{lake}/{table}")) == expected
-    process()
-    assert rows(spark.read.parquet(f"{lake}/{table}")) == expected
+    assert held(AS_OF) == batch(AS_OF)
     next_day = AS_OF + dt.timedelta(days=1)
-    z.land_raw(df, zone, table, next_day)
+    z.land_raw(df.select(*reversed(df.columns)), zone, table, next_day)  # another order of columns
+    process()
+    assert held(AS_OF) == batch(AS_OF) and held(next_day) == batch(next_day)
+
+
+@pytest.mark.parametrize("table", ["patients", "conditions"])
+def test_a_day_that_lands_again_replaces_the_old_one(spark, tmp_path, table):
+    zone, process, held, batch = landing(spark, tmp_path, table)
+    df = raw(spark, table, ROWS[table])
+    z.land_raw(df, zone, table, AS_OF)
     process()
-    days = spark.read.parquet(f"{lake}/{table}")
-    assert rows(days.where("year = 2001")) == expected
-    assert rows(days.where("year = 2002")) == rows(transform(df, AS_OF, RUN_TS))
+    full = held(AS_OF)
+    assert full == batch(AS_OF)
+    for again in (df.limit(1), df.limit(0)):
+        z.land_raw(again, zone, table, AS_OF)
+        process()
+        assert held(AS_OF) == batch(AS_OF) and len(held(AS_OF)) < len(full)
+    assert held(AS_OF) == []

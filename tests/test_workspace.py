@@ -1,18 +1,7 @@
 from conftest import AS_OF, RUN_TS
 from tallyward.plans.catalogue import QUERIES
 from tallyward.plans.workspace import Workspace
-
-
-def lazy(spark, sf_dir):
-    """A workspace of a cluster session that names no shared folder."""
-    ws = Workspace(spark, sf_dir, AS_OF, RUN_TS)
-    ws.root = None
-    return ws
-
-
-def test_without_a_shared_folder_plans_stay_lazy_and_agree(spark, sf_dir, ws):
-    for name in ("claims_stats", "patient_kpis", "provider_leaderboard", "claims_summary"):
-        assert QUERIES[name](lazy(spark, sf_dir)).collect() == QUERIES[name](ws).collect()
+from tallyward.session import shared_folder, size_shuffles
 
 
 def test_tables_are_written_once(spark, sf_dir):
@@ -20,3 +9,30 @@ def test_tables_are_written_once(spark, sf_dir):
     first, second = ws.claims().inputFiles(), ws.claims().inputFiles()
     assert first and sorted(first) == sorted(second)
     assert all(ws.root in f for f in first)
+
+
+def test_a_workspace_removes_its_own_folder_and_databases(spark, sf_dir, tmp_path):
+    root = tmp_path / "own"
+    ws = Workspace(spark, sf_dir, AS_OF, RUN_TS, root=str(root))
+    QUERIES["load_warehouse"](ws).collect()
+    databases = list(ws.databases)
+    assert root.exists() and spark.catalog.databaseExists(databases[0])
+    ws.close()
+    assert not root.exists() and tmp_path.exists() and not any(map(spark.catalog.databaseExists, databases))
+
+
+def test_without_a_named_folder_the_warehouse_is_shared(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert shared_folder(spark) == named.rstrip("/")
+
+
+def test_shuffles_only_grow(spark):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(name, None)
+    try:
+        size_shuffles(spark, 1000)
+        assert spark.conf.get(name, None) == before
+        size_shuffles(spark, 100 * 1024**3)
+        assert spark.conf.get(name) == "400"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -199,3 +199,34 @@ def test_bucketed_patient_mart_opens_one_bucket(spark, run):
 
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_an_empty_snapshot_replaces_the_day(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "Id string, n int")
+    for write, read in ((z.land_raw, z.read_raw_partition), (z.write_processed, z.read_processed_partition)):
+        root = str(tmp_path / write.__name__)
+        other = dt.date(2024, 1, 5)
+        write(df, root, "t", other)
+        for n in (2, 0):
+            assert write(df.limit(n), root, "t", dt.date(2024, 1, 6)).rows == n
+            day = read(spark, root, "t", dt.date(2024, 1, 6))
+            assert (day.count(), day.columns) == (n, df.columns)
+        assert read(spark, root, "t", other).count() == 2
+    from tallyward.operators.quality import validate_raw
+
+    landed = z.read_raw_partition(spark, str(tmp_path / "land_raw"), "t", dt.date(2024, 1, 6))
+    row = validate_raw(spark, {"t": landed}).first()
+    assert (row.status, row.has_rows, row.row_count) == ("FAIL", False, 0)
+
+
+def test_a_crawl_adds_new_columns(spark, tmp_path):
+    from tallyward.sources import warehouse as w
+
+    for file_format, write in (("parquet", z.write_processed), ("csv", z.land_raw)):
+        root, database = str(tmp_path / file_format), f"grown_{file_format}"
+        write(spark.createDataFrame([("a",)], "Id string"), root, "t", dt.date(2024, 1, 5))
+        w.crawl_catalog(spark, database, root, ["t"], file_format)
+        write(spark.createDataFrame([("b", "new")], "Id string, extra string"), root, "t", dt.date(2024, 1, 6))
+        w.crawl_catalog(spark, database, root, ["t"], file_format)
+        assert sorted(map(tuple, spark.table(f"{database}.t").select("Id", "extra", "day").collect())) == [("a", None, 5), ("b", "new", 6)]
+        spark.sql(f"DROP DATABASE {database} CASCADE")
