@@ -29,11 +29,12 @@ BLOCK = 768
 # Pivots of one label, and of all labels together: what every task gets at most.
 MOST_PIVOTS, ALL_PIVOTS = 256, 4096
 _RADII = (1.0, 0.5, 0.25, 0.125)
-_SLACK = 1e-9
+# Rounding of distances near zero, where the square root of a rounding error is 1e-8.
+_SLACK = 1e-7
 _DENSE = 0.1
 _PAIRS_AT_ONCE = 1 << 17
 
-_BLOCK_SCHEMA = ("block BIGINT, label BIGINT, width INT, n INT, centre ARRAY<DOUBLE>, radius DOUBLE, ids BINARY, copies BINARY, "
+_BLOCK_SCHEMA = ("block BIGINT, cell BIGINT, label BIGINT, width INT, n INT, centre ARRAY<DOUBLE>, radius DOUBLE, ids BINARY, copies BINARY, "
                  "units BINARY, levels ARRAY<STRUCT<parent: BINARY, point: BINARY, radius: BINARY>>")
 
 
@@ -142,13 +143,13 @@ def _build(table: pa.Table) -> pa.Table:
     units = units[order]
     levels = cover_tree(units)
     pack = lambda values, kind: np.ascontiguousarray(values, kind).tobytes()
-    row = {"block": table.column("block")[0].as_py(), "label": table.column("label")[0].as_py(), "width": units.shape[1], "n": len(units),
+    row = {"block": table.column("block")[0].as_py(), "cell": table.column("cell")[0].as_py(), "label": table.column("label")[0].as_py(), "width": units.shape[1], "n": len(units),
            "centre": units[0].tolist(), "radius": float(levels[0][2][0]),
            "ids": pack(table.column("vec_id").to_numpy()[order], np.int64), "copies": pack(table.column("copies").to_numpy()[order], np.int64),
            "units": pack(units, np.float64),
            "levels": [{"parent": pack(p, np.int64), "point": pack(c, np.int64), "radius": pack(r, np.float64)} for p, c, r in levels]}
     return pa.Table.from_pylist([row], pa.schema([
-        ("block", pa.int64()), ("label", pa.int64()), ("width", pa.int32()), ("n", pa.int32()), ("centre", pa.list_(pa.float64())),
+        ("block", pa.int64()), ("cell", pa.int64()), ("label", pa.int64()), ("width", pa.int32()), ("n", pa.int32()), ("centre", pa.list_(pa.float64())),
         ("radius", pa.float64()), ("ids", pa.binary()), ("copies", pa.binary()), ("units", pa.binary()),
         ("levels", pa.list_(pa.struct([("parent", pa.binary()), ("point", pa.binary()), ("radius", pa.binary())])))]))
 
@@ -199,7 +200,7 @@ def _blocks(nodes: DataFrame) -> DataFrame:
     sizes = celled.groupBy("label", "width", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("n_parts"))
     keyed = celled.join(sizes, ["label", "width", "cell"]).withColumn(
         "block", F.xxhash64("label", "width", "cell", F.pmod(F.xxhash64("vec_id"), "n_parts")))
-    return keyed.select("block", "label", "embedding", "vec_id", "copies").groupBy("block").applyInArrow(
+    return keyed.select("block", "cell", "label", "embedding", "vec_id", "copies").groupBy("block").applyInArrow(
         lambda table: _build(table), _BLOCK_SCHEMA)
 
 
@@ -210,6 +211,32 @@ def able_to_link() -> Column:
     return F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _distance(a: str, b: str) -> Column:
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    return F.sqrt(F.greatest(2.0 - 2.0 * dot, F.lit(0.0)))
+
+
+def _near_blocks(outline: DataFrame, threshold: float) -> DataFrame:
+    """(block_a, block_b): the block pairs that the covering radii do not rule out, each once.
+
+    The upper levels of the dual traversal: cells of a label first (at most ``MOST_PIVOTS``), then the blocks of each pair
+    of cells that is left. So a label with very many blocks is spread over its pairs of cells.
+    """
+    reach = float(np.sqrt(2.0 - 2.0 * threshold)) + _SLACK
+    key = ["label", "width", "cell"]
+    middles = outline.groupBy(*key).agg(F.min_by("centre", "block").alias("middle"))
+    cells = outline.join(middles, key).groupBy(*key).agg(
+        F.first("middle").alias("middle"), F.max(_distance("middle", "centre") + F.col("radius")).alias("cell_radius"))
+    side = lambda df, s, *names: df.select("label", "width", *[F.col(n).alias(f"{n}_{s}") for n in names])
+    cell_pairs = (side(cells, "a", "cell", "middle", "cell_radius").join(side(cells, "b", "cell", "middle", "cell_radius"), ["label", "width"])
+                  .where("cell_a <= cell_b").where(_distance("middle_a", "middle_b") <= reach + F.col("cell_radius_a") + F.col("cell_radius_b"))
+                  .select("label", "width", "cell_a", "cell_b"))
+    names = ("block", "cell", "centre", "radius")
+    met = cell_pairs.join(side(outline, "a", *names), ["label", "width", "cell_a"]).join(side(outline, "b", *names), ["label", "width", "cell_b"])
+    return (met.where("cell_a < cell_b or block_a <= block_b")
+            .where(_distance("centre_a", "centre_b") <= reach + F.col("radius_a") + F.col("radius_b")).select("block_a", "block_b"))
+
+
 def embedding_near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
@@ -225,12 +252,7 @@ def embedding_near_duplicates(embeddings: DataFrame, threshold: float = THRESHOL
         F.col("embedding").cast("array<double>").alias("embedding"), "vec_id")
     nodes = written(able.groupBy("label", "width", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "vectors")
     blocks = written(_blocks(nodes), "blocks")
-    outline = blocks.select("block", "label", "width", "centre", "radius")
-    a, b = outline.toDF("block_a", "label", "width", "centre_a", "radius_a"), outline.toDF("block_b", "label", "width", "centre_b", "radius_b")
-    dot = F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    reach = float(np.sqrt(2.0 - 2.0 * threshold)) + _SLACK
-    most = F.lit(reach) + F.col("radius_a") + F.col("radius_b")
-    pairs = a.join(b, ["label", "width"]).where("block_a <= block_b").where(2.0 - 2.0 * dot <= most * most).select("block_a", "block_b")
+    pairs = _near_blocks(blocks.select("block", "cell", "label", "width", "centre", "radius"), threshold)
     load = lambda side: blocks.select(*[F.col(c).alias(f"{c}_{side}") for c in ("block", "ids", "copies", "units", "levels")], *(
         ["width"] if side == "a" else []))
     work = pairs.join(load("a"), "block_a").join(load("b"), "block_b")
