@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyward.operators.dedupe import one_row_per_key
-from tallyward.operators.marts import claims_mart, patient_mart
+from tallyward.operators.marts import claims_mart, in_date_order, in_patient_order, patient_mart
 from tallyward.plans.catalogue import QUERIES
 from tallyward.sources.star_schema import star_table
 
@@ -140,3 +140,16 @@ def test_provider_lists_read_the_claims_twice_and_aggregate_them_once(ws, name):
 def test_written_day_has_no_extra_sort_or_shuffle(spark, ws):
     text = plan(ws.transformed("conditions"), "simple")
     assert "Exchange" not in text and "Sort" not in text
+
+
+def test_few_of_many_files_hold_the_newest_claims_or_one_patient(spark, ws, tmp_path):
+    with settings(spark, spark__sql__adaptive__enabled="false", spark__sql__shuffle__partitions="16"):
+        in_date_order(ws.claims()).write.parquet(f"{tmp_path}/claims")
+        in_patient_order(ws.patients()).write.parquet(f"{tmp_path}/patients")
+    claims, patients = spark.read.parquet(f"{tmp_path}/claims"), spark.read.parquet(f"{tmp_path}/patients")
+    newest = claims.orderBy(F.desc_nulls_last("encounter_date")).limit(100).agg(F.min("encounter_date")).first()[0]
+    files = claims.groupBy(F.input_file_name()).agg(F.max("encounter_date").alias("last"))
+    assert files.count() >= 12 and files.where(F.col("last") >= F.lit(newest)).count() <= 3
+    some = patients.agg(F.min("patient_id")).first()[0]
+    files = patients.groupBy(F.input_file_name()).agg(F.min("patient_id").alias("low"), F.max("patient_id").alias("high"))
+    assert files.count() >= 12 and files.where(F.lit(some).between(F.col("low"), F.col("high"))).count() == 1
