@@ -3,7 +3,7 @@
 The family is predicted first; then one-versus-one linear support vector machines tell the languages of
 that family apart. Features are the square roots of the shares of hashed letter n-grams (1 to 3 letters,
 lower-cased, runs of other characters as one space) of the whole text. The fit takes a bounded sample of
-labelled rows (``ROWS_PER_LANGUAGE``, by hash of the id, and ``MOST_ROWS`` in all).
+labelled rows (about ``ROWS_PER_LANGUAGE``, by hash of the id, and ``MOST_ROWS`` in all).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,9 +129,11 @@ def fit_language(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, mo
     """The model from rows outside the held-out fold; at most ``most_rows`` rows of at most ``WIDTH`` numbers reach the driver."""
     known = docs.select("doc_id", "lang").where("doc_id is not null and lang is not null").where(
         fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = (known.withColumn("place", F.row_number().over(first)).where(F.col("place") <= rows_per_language)
-              .orderBy("place", "lang").limit(most_rows).select("doc_id", "lang"))
+    # Counts are combined before the shuffle; a language with most of the rows is no group of its own anywhere.
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
+    sample = (known.join(counts, "lang").where(place < rows_per_language / F.col("n")).select("doc_id", "lang").distinct()
+              .orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(most_rows))
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"])
     found = rows.select("lang", "text").mapInArrow(_share_rows, "lang STRING, grams ARRAY<INT>, shares ARRAY<DOUBLE>").toArrow()
     if not len(found):

@@ -44,6 +44,8 @@ TEMPLATES = {
 }
 _VOCABULARY = (r"(?i)licen[sc]e|all rights reserved|copyright|creative commons|free software|permission is hereby|"
                r"redistribution and use|proprietary and confidential")
+# A run of letters and digits, with decimals as in version numbers.
+_WORD = r"[\p{L}\p{N}]+(?:\.[0-9]+)*"
 _FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|unlicense|notice)([.-][^/]*)?$"
 
 
@@ -54,7 +56,7 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 def _counts(lines: DataFrame, key: list[str]) -> DataFrame:
     """(key, term, tf): words and word pairs of ``line``, lower-cased, with their counts."""
-    words = F.filter(F.split(F.lower("line"), r"[^\p{L}\p{N}.+]+|\.(?!\d)"), lambda w: w != "")
+    words = F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0))
     # Pairs tell apart what differs in a short mark only, as CC BY and CC BY-NC do.
     pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.get("words", i - 1), F.get("words", i)))
     terms = F.concat("words", F.when(F.size("words") > 1, pairs).otherwise(F.array().cast("array<string>")))
@@ -128,7 +130,7 @@ def scan_licences(docs: DataFrame, path: Column, similarity: float = SIMILARITY,
     own = written(own.select("path", "text_key", F.col("best.licence").alias("own"), (-F.col("best.least")).alias("own_score"), "share"), "own")
     speaking = own.where(named_file | (F.col("share") >= file_share)).withColumn(
         "directory", F.regexp_replace("path", _DIRECTORY, ""))
-    votes = speaking.groupBy("directory", "own").agg(F.count("*").alias("n"), F.max("own_score").alias("score"))
+    votes = speaking.groupBy("directory", "own").agg(F.count("*").alias("n"), F.min("own_score").alias("score"))
     declared = votes.groupBy("directory").agg(F.min(F.struct((-F.col("n")).alias("rarity"), "own", "score")).alias("most")).select(
         "directory", F.col("most.own").alias("given"), F.col("most.score").alias("given_score"))
     directories = placed.select(F.regexp_replace("path", _DIRECTORY, "").alias("at")).distinct()

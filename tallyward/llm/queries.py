@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyward.llm.decontaminate import contamination
 from tallyward.llm.embedding import embedding_near_duplicates
 from tallyward.llm.language import identify_language
-from tallyward.llm.licences import scan_licences
+from tallyward.llm.licences import TEMPLATES, scan_licences
 from tallyward.llm.packing import pack_documents
 from tallyward.llm.quality import score_quality
 from tallyward.llm.secret_scan import scan_secrets
@@ -130,6 +130,49 @@ select page_id, host, path, rule, coalesce(v, case when
 from own left join fits using (page_id)
 """
 
+_TEMPLATE_ROWS = ", ".join(f"('{name}#{i}', '{name}', '{text}')" for name, texts in TEMPLATES.items() for i, text in enumerate(texts))
+_LICENCE_WORDS = ("(?i)licen[sc]e|all rights reserved|copyright|creative commons|free software|permission is hereby|redistribution and use|"
+                  "proprietary and confidential")
+
+# The paths of op8 have no directories but source/language that could hold a licence file, and no line with licence words is longer than a piece.
+OP8_SQL = f"""
+with placed as (
+  select doc_id, concat_ws('/', source, lang, doc_id || '.txt') as path, concat_ws('/', source, lang) as directory, coalesce(text, '') as text from documents),
+cut as (select doc_id, length(text) as size, unnest(regexp_split_to_array(text, '\\r\\n|\\n|\\r')) as line from placed),
+candidates as (select * from cut where regexp_matches(line, '{_LICENCE_WORDS}')),
+lines as (select distinct line from candidates),
+templates as (select * from (values {_TEMPLATE_ROWS}) as t(template, licence, line)),
+worded as (
+  select line as item, null as licence, false as model, regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+(?:\\.[0-9]+)*') as w from lines
+  union all select template, licence, true, regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+(?:\\.[0-9]+)*') from templates),
+terms as (
+  select item, licence, model, term, count(*) as tf from (
+    select item, licence, model, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as term from worded)
+  group by all),
+weighed as (
+  select t.*, tf * idf as v from terms t join (
+    select term, ln((1.0 + (select count(*) from worded)) / (1.0 + count(*))) + 1.0 as idf from terms group by term) using (term)),
+norms as (select item, model, sqrt(sum(v * v)) as norm from weighed group by item, model),
+scored as (
+  select a.item as line, b.licence, round(sum(a.v * b.v) / (any_value(na.norm) * any_value(nb.norm)), 9) as score
+  from weighed a join weighed b on a.term = b.term and not a.model and b.model
+  join norms na on na.item = a.item and not na.model join norms nb on nb.item = b.item and nb.model group by a.item, b.item, b.licence),
+known as (
+  select line, licence, score from scored where score >= 0.6
+  qualify row_number() over (partition by line order by score desc, licence) = 1),
+hits as (select distinct doc_id, size, line, licence, score from candidates join known using (line)),
+own as (
+  select doc_id, first(licence order by score desc, licence) as own, max(score) as own_score, sum(length(line)) / any_value(size) as share
+  from hits group by doc_id),
+votes as (
+  select directory, own, count(*) as n, min(own_score) as score from own join placed using (doc_id) where share >= 0.3 group by directory, own),
+declared as (select * from votes qualify row_number() over (partition by directory order by n desc, own, score) = 1)
+select p.doc_id, p.path, coalesce(o.own, d.own) as licence, coalesce(o.own_score, d.score) as score,
+  case when o.own is not null then 'own' when d.own is not null then 'inherited' else 'none' end as how,
+  case when o.own is null then d.directory end as from_directory
+from placed p left join own o using (doc_id) left join declared d on p.directory = d.directory
+"""
+
 OP9_SQL = f"""
 with docs as (select doc_id, coalesce({_WORDS}, []) as w from documents),
 items as (select item_id, {_WORDS} as w from benchmark where text is not null),
@@ -153,5 +196,6 @@ ORACLES: dict[str, str] = {
     "op1_cover_tree_embeddings": OP1_SQL,
     "op3_chunked_warc": OP3_SQL,
     "op4_token_indexed_urls": OP4_SQL,
+    "op8_licence_inheritance": OP8_SQL,
     "op9_wu_manber_decontamination": OP9_SQL,
 }
