@@ -251,7 +251,7 @@ def embedding_near_duplicates(embeddings: DataFrame, threshold: float = THRESHOL
         F.col("label").cast("long").alias("label"), F.size("embedding").alias("width"),
         F.col("embedding").cast("array<double>").alias("embedding"), "vec_id")
     nodes = written(able.groupBy("label", "width", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "vectors")
-    blocks = written(_blocks(nodes), "blocks")
+    blocks = written(_blocks(nodes), "blocks", rows_per_file=16)
     pairs = _near_blocks(blocks.select("block", "cell", "label", "width", "centre", "radius"), threshold)
     load = lambda side: blocks.select(*[F.col(c).alias(f"{c}_{side}") for c in ("block", "ids", "copies", "units", "levels")], *(
         ["width"] if side == "a" else []))

@@ -23,10 +23,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/llm/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a written table: later steps read it, and a lost executor costs a re-read only."""
+def written(df: DataFrame, label: str, rows_per_file: int = 0) -> DataFrame:
+    """The rows as a written table: later steps read it, and a lost executor costs a re-read only.
+
+    ``rows_per_file`` bounds the files, and so the batches in which Spark reads rows that are large themselves.
+    """
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
