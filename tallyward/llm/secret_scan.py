@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyward.llm.storage import free_name, written
+from tallyward.llm.storage import free_name, scratch, written
 
 THRESHOLD = 0.5
 REDACTED = "<SECRET>"
@@ -149,7 +149,11 @@ def fit_forest(findings: DataFrame) -> RandomForestClassificationModel | None:
     if ordered.select("label").distinct().count() < 2:
         return None
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="feature_vector", labelCol="label")
-    return forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="feature_vector").transform(ordered))
+    fitted = forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="feature_vector").transform(ordered))
+    # Read back, the model is free of its training summary, which holds on to the session and cannot be sent to tasks.
+    path = scratch(findings.sparkSession, "forest")
+    fitted.save(path)
+    return RandomForestClassificationModel.load(path)
 
 
 def judge(found: DataFrame, forest: RandomForestClassificationModel | None) -> DataFrame:

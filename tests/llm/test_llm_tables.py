@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -113,7 +114,10 @@ def findings(spark):
     return labelled_findings(table(spark, "/root/testdata/sf0.001", "documents"), F.col("source"), sample=60)
 
 
-def test_scan_finds_secrets_and_leaves_the_rest(secret_docs, findings):
+def test_scan_finds_secrets_and_leaves_the_rest(spark, secret_docs, findings):
+    seen = Observation()  # a session that has observed rows before
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
     rows = scan_secrets(secret_docs, F.col("source"), findings).collect()
     flagged = {(r.doc_id, r.candidate) for r in rows if r.is_secret}
     assert flagged == {(1, HEX), (5, "Xk29fjQ03lPz81mQvT"), (None, f"AKIA{HEX[:16].upper()}")}
