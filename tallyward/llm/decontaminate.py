@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyward.llm.storage import free_name, steps, texts
+from tallyward.llm.storage import free_name, map_arrow, steps, texts
 
 WINDOW = 10
 BLOCK_BYTES = 32 * 1024**2
@@ -162,7 +162,7 @@ def mark_contamination(docs: DataFrame, items: DataFrame, name: str, window: int
     marked = docs.withColumn(name, F.lit(None).cast(_FOUND))
     for block in _blocks(items.select("item_id", "text")):
         tables = docs.sparkSession.sparkContext.broadcast(Benchmark(block, window))
-        marked = marked.mapInArrow(lambda batches, tables=tables: _scan(batches, tables, text, name), marked.schema)
+        marked = map_arrow(marked, lambda batches, tables=tables: _scan(batches, tables, text, name), marked.schema)
     return marked
 
 

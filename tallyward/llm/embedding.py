@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.llm.components import connected_components, star_forest
-from tallyward.llm.storage import written
+from tallyward.llm.storage import map_arrow, written
 
 THRESHOLD = 0.93
 # Vectors of a block, about; a fuller cell is split by hash.
@@ -194,7 +194,7 @@ def _pivots(nodes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
 
 def _blocks(nodes: DataFrame) -> DataFrame:
     pivots = nodes.sparkSession.sparkContext.broadcast(_pivots(nodes))
-    celled = nodes.mapInArrow(lambda batches: _cells(batches, pivots),
+    celled = map_arrow(nodes, lambda batches: _cells(batches, pivots),
                               "label BIGINT, width INT, embedding ARRAY<DOUBLE>, vec_id BIGINT, copies BIGINT, cell BIGINT")
     celled = written(celled, "cells")
     sizes = celled.groupBy("label", "width", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("n_parts"))

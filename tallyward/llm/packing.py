@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tallyward.llm.storage import steps
+from tallyward.llm.storage import map_arrow, steps
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16_384
@@ -32,7 +32,7 @@ END_ID = 1
 # Pieces that wait in a tier before its windows are filled, and groups that share a deal.
 HELD = 512
 GROUPS = 4
-_CACHED_WORDS = 1_000_000
+_CACHED_WORDS = 250_000
 # Words of these characters are cut here as the tokenizer cuts them (letters, single digits, other runs) and
 # looked up by part; apostrophes, other scripts, fractions and control characters are left to the tokenizer.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
@@ -270,5 +270,5 @@ def pack_documents(docs: DataFrame, tiers: tuple[int, ...] = TIERS, step_tokens:
     if not tiers or any(w < 1 or w & (w - 1) for w in tiers):
         raise ValueError("tiers must be powers of two")
     path = tokenizer or tokenizer_path()
-    return docs.select("doc_id", "text").mapInArrow(
-        lambda batches: _pack(batches, path, tuple(tiers), step_tokens, with_ids), _DDL + (", ids BINARY" if with_ids else ""))
+    return map_arrow(
+        docs.select("doc_id", "text"), lambda batches: _pack(batches, path, tuple(tiers), step_tokens, with_ids), _DDL + (", ids BINARY" if with_ids else ""))

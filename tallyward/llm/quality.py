@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.llm.linear import dual_coordinate_descent, sigmoid
-from tallyward.llm.storage import fold, free_name, steps
+from tallyward.llm.storage import fold, free_name, map_arrow, steps
 
-ROWS_PER_CLASS = 2000
+ROWS_PER_CLASS = 1000
 HASHED = 1 << 16
 # The share of word pairs that repeat the word: one indicator for each of these shares that is passed.
 REPEATED_PAIRS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.4)
@@ -73,7 +73,7 @@ class NaiveBayesSvm:
         scaled_rows = []
         for row in rows:
             values = ratio[row]
-            scaled_rows.append((row, values / max(np.sqrt(values @ values), 1e-12)))
+            scaled_rows.append((row, (values / max(np.sqrt(values @ values), 1e-12)).astype(np.float32)))
         weights, bias = dual_coordinate_descent(scaled_rows, np.where(labels == 1, 1.0, -1.0), WIDTH, cost=10.0, rounds=20)
         return cls(ratio, weights * ratio, bias)
 
@@ -105,7 +105,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_P
     """The model; at most ``2 * rows_per_class`` rows of at most ``WIDTH`` numbers reach the driver."""
     sample = F.broadcast(training_ids(labels, rows_per_class))
     rows = docs.select("doc_id", "text").join(sample, "doc_id").dropDuplicates(["doc_id"]).select("label", "text")
-    found = rows.mapInArrow(_indicator_rows, "label INT, grams ARRAY<INT>").toArrow()
+    found = map_arrow(rows, _indicator_rows, "label INT, grams ARRAY<INT>").toArrow()
     grams = [row.values.to_numpy(zero_copy_only=False) for row in found.column("grams").combine_chunks()] if len(found) else []
     order = sorted(range(len(grams)), key=lambda i: grams[i].tobytes())  # the same fit whatever the order of arrival
     return NaiveBayesSvm.fit([grams[i] for i in order], found.column("label").to_numpy()[order] if order else np.empty(0, int))
@@ -121,7 +121,7 @@ def with_quality(docs: DataFrame, model: NaiveBayesSvm, name: str = "score", tex
     """``docs`` with one more column, the score from 0 to 1; it sees nothing but the text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(lambda batches: _scores(batches, sent, text, name), schema)
+    return map_arrow(docs, lambda batches: _scores(batches, sent, text, name), schema)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> DataFrame:

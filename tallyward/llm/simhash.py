@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.llm.components import connected_components, star_forest
-from tallyward.llm.storage import steps, written
+from tallyward.llm.storage import map_arrow, steps, written
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -59,7 +59,7 @@ def _with_fingerprints(batches: Iterator[pa.RecordBatch], text: str, name: str)
 def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "simhash") -> DataFrame:
     """``docs`` with one more column, the 64 bits of the fingerprint as a signed long."""
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
-    return docs.mapInArrow(lambda batches: _with_fingerprints(batches, text, name), schema)
+    return map_arrow(docs, lambda batches: _with_fingerprints(batches, text, name), schema)
 
 
 def _near(cell: np.ndarray, owner: np.ndarray, bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +144,7 @@ def fingerprint_links(prints: DataFrame, distance: int = MAX_DISTANCE) -> DataFr
                  "o -> shiftleft(least(o, block), 15) + greatest(o, block))) as shard")))
     sorted_rows = (dealt.select(F.xxhash64("half", "cell", "shard").alias("cell"), (F.col("step") == 0).alias("owner"), "fp")
                    .repartition("cell").sortWithinPartitions("cell"))
-    return sorted_rows.mapInArrow(lambda batches: _cell_links(batches, distance), "a BIGINT, b BIGINT")
+    return map_arrow(sorted_rows, lambda batches: _cell_links(batches, distance), "a BIGINT, b BIGINT")
 
 
 def simhash_components(prints: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:

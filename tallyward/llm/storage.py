@@ -5,16 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Most text that one step of a Python task holds as word lists; longer single texts are a step alone.
-STEP_BYTES = 4 * 1024**2
+STEP_BYTES = 2 * 1024**2
+# Most that one Arrow batch holds, unless a single row is larger.
+BATCH_BYTES = 8 * 1024**2
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -58,6 +61,19 @@ def fold(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % modulus
 
 
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_BYTES``.
+
+    Two batches and their copies are held by the executor's JVM and by the Python worker at a time; Spark's default of 64 MB
+    for each is too much beside small heaps. A smaller setting of the session stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value; null is the empty text."""
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm.storage import scratch
+from tallyward.llm.storage import map_arrow, scratch
 
 CHUNK_BYTES = 64 * 1024
 SHARED_FROM_BYTES = 100
 RECORDS_PER_FILE = 20_000
 WRITTEN_AT = "2001-12-31T06:00:00Z"
 VERSION = "WARC/1.1"
-_BATCH_BYTES = 8 * 1024**2
+_BATCH_BYTES = 4 * 1024**2
 _END = "\r\n\r\n"
 
 _CHUNKS = pa.schema([("row_no", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()),
@@ -85,7 +85,8 @@ def page_chunks(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
                .agg(F.min("page_id").alias("leader"), F.count("*").alias("n")).where("n > 1 and leader is not null").drop("n"))
     led = records.join(leaders, F.col("payload_digest") == F.col("leader_digest"), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("leader")), F.col("leader")).alias("refers_to")
-    return led.select("row_no", "page_id", "url", "payload_bytes", "payload_digest", refers, "payload").mapInArrow(
+    return led.select("row_no", "page_id", "url", "payload_bytes", "payload_digest", refers, "payload").transform(
+        map_arrow,
         lambda batches: _chunked(batches, chunk_bytes), _CHUNK_DDL)
 
 
@@ -191,8 +192,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         "row_no", "record_id", "page_id", "declared", F.octet_length("chunk").cast("long").alias("payload_bytes"),
         F.sha2("chunk", 256).alias("payload_digest")).withColumn("intact", F.col("declared") == F.col("payload_digest"))
     parts = chunks.where("type <> 'revisit' and segmented").select("row_no", "record_id", "page_id", "declared", "chunk_no", "digest_so_far", "chunk")
-    carried = parts.repartition("row_no").sortWithinPartitions("row_no", "chunk_no").mapInArrow(
-        _carried, "row_no BIGINT, record_id STRING, page_id BIGINT, declared STRING, payload_bytes BIGINT, payload_digest STRING, intact BOOLEAN")
+    carried = map_arrow(
+        parts.repartition("row_no").sortWithinPartitions("row_no", "chunk_no"), _carried, "row_no BIGINT, record_id STRING, page_id BIGINT, declared STRING, payload_bytes BIGINT, payload_digest STRING, intact BOOLEAN")
     responses = whole.unionAll(carried)
     named = responses.groupBy("record_id").agg(
         F.min("page_id").alias("to"), F.min("payload_bytes").alias("to_bytes"), F.min("payload_digest").alias("to_digest"), F.min("intact").alias("to_intact"))
