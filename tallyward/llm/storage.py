@@ -40,7 +40,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's source to the executors, once per application: their Python need not have it installed."""
+    """Sends this package's source to the executors, once per application: their Python need not have it installed.
+
+    The archive itself is the driver's own; Spark's file server hands it out.
+    """
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
