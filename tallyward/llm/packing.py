@@ -32,7 +32,7 @@ END_ID = 1
 # Pieces that wait in a tier before its windows are filled, and groups that share a deal.
 HELD = 512
 GROUPS = 4
-_CACHED_WORDS = 250_000
+_CACHED_WORDS = 500_000
 # Words of these characters are cut here as the tokenizer cuts them (letters, single digits, other runs) and
 # looked up by part; apostrophes, other scripts, fractions and control characters are left to the tokenizer.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
