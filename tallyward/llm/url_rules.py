@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tallyward.llm.storage import free_name, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Up to so many entries an index is sent to every task; the entries of a rule list beyond it are joined by shuffling.
+MOST_SENT = 100_000
 # A token is a run of digits, letters and non-ASCII characters.
 _NO_TOKEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -77,10 +79,11 @@ def rule_index(urls: DataFrame, rules: list[UrlRule]) -> DataFrame:
     schema = "no int, token string, rule string, verdict string, rank int, expression string"
     rows = [(no, token, r.name, r.verdict, r.rank, r.expression()) for no, r in enumerate(rules) for token in r.tokens() or [""]]
     filed = spark.createDataFrame(rows, schema)
-    counts = (urls.select(F.explode("tokens").alias("token")).join(filed.select("token").distinct(), "token")
+    sent = F.broadcast if len(rows) <= MOST_SENT else lambda df: df
+    counts = (urls.select(F.explode("tokens").alias("token")).join(sent(filed.select("token").distinct()), "token")
               .groupBy("token").agg(F.count("*").alias("n")))
     rarest = filed.join(counts, "token", "left").groupBy("no").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token")).alias("least"))
-    return filed.join(rarest.select("no", F.col("least.token").alias("token")), ["no", "token"]).drop("no")
+    return sent(filed.join(rarest.select("no", F.col("least.token").alias("token")), ["no", "token"]).drop("no"))
 
 
 def judge_urls(pages: DataFrame, rules: list[UrlRule] | None = None, default: str = "allow") -> DataFrame:
