@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.llm.linear import dual_coordinate_descent, sigmoid
-from tallyward.llm.storage import fold, steps
+from tallyward.llm.storage import fold, map_arrow, steps
 
 ROWS_PER_LANGUAGE = 600
 MOST_ROWS = 12_000
@@ -135,7 +135,7 @@ def fit_language(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, mo
     sample = (known.join(counts, "lang").where(place < rows_per_language / F.col("n")).select("doc_id", "lang").distinct()
               .orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(most_rows))
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"])
-    found = rows.select("lang", "text").mapInArrow(_share_rows, "lang STRING, grams ARRAY<INT>, shares ARRAY<DOUBLE>").toArrow()
+    found = map_arrow(rows.select("lang", "text"), _share_rows, "lang STRING, grams ARRAY<INT>, shares ARRAY<DOUBLE>").toArrow()
     if not len(found):
         return LanguageModel.fit([], [])
     grams, shares = ([row.values.to_numpy(zero_copy_only=False) for row in found.column(c).combine_chunks()] for c in ("grams", "shares"))
@@ -162,6 +162,6 @@ def identify_language(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAG
     sent = docs.sparkSession.sparkContext.broadcast(fit_language(docs, rows_per_language))
     schema = T.StructType([docs.select("doc_id").schema["doc_id"], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
-    found = docs.select("doc_id", "text").mapInArrow(lambda batches: _predictions(batches, sent), schema)
+    found = map_arrow(docs.select("doc_id", "text"), lambda batches: _predictions(batches, sent), schema)
     held_out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
