@@ -1,7 +1,9 @@
 """Licence scans: TF-IDF similarity of headers and licence files to templates, and inheritance by directory.
 
 A line with licence vocabulary is compared with every template as a sparse TF-IDF vector: terms of line and template meet
-in a join on the term, products add up to the cosine. A document whose licence lines make up a good part of it, or whose file
+in a join on the term, products add up to the cosine. Headers and licence texts run over many lines or stand inside a long
+one: windows of words as long as a template, laid so that a word of the licence vocabulary lies where the template has it, are compared
+with that template in the same way. A document whose licence lines make up a good part of it, or whose file
 name says so, is a licence file and speaks for its directory; a document without a licence of its own takes
 that of the nearest directory above it, found by joining the directories of its path with those that have one.
 Documents without licence vocabulary cost one regular expression and are never shuffled with their text.
@@ -9,6 +11,10 @@ Documents without licence vocabulary cost one regular expression and are never s
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from math import log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +48,60 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "Proprietary": ["All rights reserved", "Copyright, all rights reserved", "Proprietary and confidential, all rights reserved"],
 }
+_GNU_HEADER = ("This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by "
+               "the Free Software Foundation; either version {version} of the License, or (at your option) any later version. "
+               "This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+               "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.")
+_AS_IS = ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+          "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE "
+          "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+          "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.")
+# Whole headers and licence texts, which passages are compared with besides TEMPLATES.
+HEADERS = {
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
+                   "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to "
+                   "in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
+                   "either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+                   "License: Apache 2.0", "Apache License Version 2.0"],
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+            "Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+            "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
+            "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions "
+            "of the Software. " + _AS_IS, "License: MIT", "MIT License"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+            "above copyright notice and this permission notice appear in all copies.", "License: ISC", "SPDX-License-Identifier: ISC"],
+    "GPL-3.0": [_GNU_HEADER.format(what="program", name="General Public License", version="3"),
+                "GNU General Public License, version 3", "License: GPLv3", "GPLv3", "GPL-3.0", "GPL v3"],
+    "GPL-2.0": [_GNU_HEADER.format(what="program", name="General Public License", version="2"),
+                "GNU General Public License, version 2", "License: GPLv2", "GPLv2", "GPL-2.0", "GPL v2"],
+    "LGPL-3.0": [_GNU_HEADER.format(what="library", name="Lesser General Public License", version="3"),
+                 "GNU Lesser General Public License, version 3", "License: LGPLv3", "LGPLv3", "LGPL-3.0"],
+    "LGPL-2.1": [_GNU_HEADER.format(what="library", name="Lesser General Public License", version="2.1"),
+                 "GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only", "License: LGPLv2.1", "LGPLv2.1", "LGPL-2.1"],
+    "AGPL-3.0": [_GNU_HEADER.format(what="program", name="Affero General Public License", version="3"),
+                 "GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only", "License: AGPLv3", "AGPLv3", "AGPL-3.0"],
+    "BSD-3-Clause": [_BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+                     "derived from this software without specific prior written permission.", "License: BSD-3-Clause"],
+    "BSD-2-Clause": [_BSD, "SPDX-License-Identifier: BSD-2-Clause", "Licensed under the BSD 2-Clause License", "License: BSD-2-Clause"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+                "file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0", "License: MPL-2.0"],
+    "CC-BY-4.0": ["CC BY 4.0"], "CC-BY-SA-4.0": ["CC BY-SA 4.0"], "CC-BY-NC-4.0": ["CC BY-NC 4.0"],
+}
+# Shorter templates are compared with whole lines only: in running text such a mark is a mention.
+SHORTEST_WINDOW = 4
+# Lines of at most this many words are passages themselves.
+SHORT_LINE = 10
+# A document of which such a share lies in one match with a template of at least so many words is a licence text.
+WHOLE_TEXT, WHOLE_TEXT_WORDS = 0.8, 60
+_ANCHORS = {"license", "licence", "licensed", "licenced", "copyright", "reserved", "permission", "redistribution", "creative", "spdx", "gnu", "mozilla",
+            "apache", "proprietary", "cc", "mpl", *(a + v for a in ("gpl", "lgpl", "agpl") for v in ("", "v2", "v2.1", "v3"))}
 _VOCABULARY = (r"(?i)licen[sc]e|all rights reserved|copyright|creative commons|free software|permission is hereby|"
                r"redistribution and use|proprietary and confidential")
+_HINT = _VOCABULARY + r"|\b[al]?gpl|\bcc[ -]by\b|mozilla public|permission to use|free software foundation"
 # A run of letters and digits, with decimals as in version numbers.
 _WORD = r"[\p{L}\p{N}]+(?:\.[0-9]+)*"
 _FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|unlicense|notice)([.-][^/]*)?$"
@@ -100,6 +158,80 @@ def line_licences(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     return best.select("line", "best.licence", (-F.col("best.least")).alias("score"))
 
 
+def _split(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower())
+
+
+def _passage_templates(spark: SparkSession) -> tuple[DataFrame, DataFrame, float]:
+    """(word, template, licence, n_words, at, mass, total) with one row per anchor word of a template, (template, term, idf, v), and the idf of other terms.
+
+    ``mass`` maps a word to the squared weights of it and of the pairs it begins, ``total`` is their sum.
+    """
+    texts = [(f"{name}#{part}{i}", name, _split(text)) for part, held in (("t", TEMPLATES), ("h", HEADERS)) for name, all_ in held.items() for i, text in enumerate(all_)]
+    terms = {key: Counter([*words, *map(" ".join, zip(words, words[1:]))]) for key, _, words in texts}
+    frequency = Counter(term for counts in terms.values() for term in counts)
+    idf = {term: log((1.0 + len(texts)) / (1.0 + n)) + 1.0 for term, n in frequency.items()}
+    anchors, weights = [], []
+    for key, name, words in texts:
+        mass = Counter()
+        for term, n in terms[key].items():
+            mass[term.split(" ")[0]] += (n * idf[term]) ** 2
+            weights.append((key, term, n * idf[term]))
+        anchors += [(word, key, name, len(words), at, dict(mass), sum(mass.values())) for at, word in enumerate(words) if word in _ANCHORS]
+    return (spark.createDataFrame(anchors, "word string, template string, licence string, n_words int, at int, mass map<string,double>, total double"),
+            spark.createDataFrame([(key, term, idf[term], v) for key, term, v in weights], "template string, term string, idf double, v double"),
+            log(1.0 + len(texts)) + 1.0)
+
+
+def _passages(docs: DataFrame, anchors: DataFrame, similarity: float) -> DataFrame:
+    """(text_key, n_text, template, licence, n_words, total, line): the passages of each text that a template may fit.
+
+    By the Cauchy-Schwarz inequality a cosine is at most the root of the share that the common words have in the squared
+    weights of the template, so nothing that is similar enough is left out.
+    """
+    reach = max(len(_split(text)) for held in (TEMPLATES, HEADERS) for texts in held.values() for text in texts)
+    words = lambda text: F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+    spots = lambda w: F.filter(F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("i"))), lambda x: x["word"].isin(*sorted(_ANCHORS)))
+    texts = docs.where(F.col("text").rlike(_HINT)).select(F.sha2("text", 256).alias("text_key"), "text", words(F.col("text")).alias("w"))
+    first = lambda x: F.greatest(x["i"] + 1 - reach, F.lit(1))
+    around = texts.select("text_key", F.size("w").alias("n_text"), F.explode(F.transform(spots(F.col("w")), lambda x: F.struct(
+        x["word"].alias("word"), (x["i"] + 1 - first(x)).alias("here"), F.slice("w", first(x), F.lit(2 * reach)).alias("near")))).alias("spot"))
+    begin = F.col("here") - F.col("at")
+    windows = (around.select("text_key", "n_text", "spot.*").join(F.broadcast(anchors.where(F.col("n_words") >= SHORTEST_WINDOW)), "word")
+               .withColumn("passage", F.slice("near", F.greatest(begin, F.lit(0)) + 1, F.col("n_words") + F.least(begin, F.lit(0)))))
+    short = F.filter(F.transform(F.filter(F.split("text", r"\r\n|\n|\r"), lambda line: line.rlike(_HINT)), words), lambda w: F.size(w) <= SHORT_LINE)
+    lines = texts.select("text_key", F.size("w").alias("n_text"), F.explode(short).alias("passage"))
+    whole = lines.withColumn("word", F.explode(F.array_distinct("passage"))).join(F.broadcast(anchors), "word")
+    kept = ["text_key", "n_text", "template", "licence", "n_words", "total", "passage", "mass"]
+    common = F.aggregate(F.array_intersect("passage", F.map_keys("mass")), F.lit(0.0), lambda sum_, word: sum_ + F.element_at("mass", word))
+    return (windows.select(*kept).unionAll(whole.select(*kept)).where(common >= (similarity ** 2 - 1e-9) * F.col("total"))
+            .select(*kept[:6], F.array_join("passage", " ").alias("line")).distinct())
+
+
+def passage_licences(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(text_key, passage_licence, passage_score, whole): the template that explains most of a passage of the text.
+
+    Of the templates that are similar enough the one with the largest product of cosine and length of its vector wins, so a header
+    outweighs a shorter notice inside it; a licence outweighs a reservation of rights. ``whole``: the passage is nearly the whole text and a licence text.
+    """
+    anchors, weights, rare = _passage_templates(docs.sparkSession)
+    found = written(_passages(docs, anchors, similarity), "passages")
+    idf = weights.select("term", "idf").distinct()
+    counted = written(_counts(found.select("line").distinct(), ["line"]).join(F.broadcast(idf), "term", "left").select(
+        "line", "term", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("w")), "passage-terms")
+    norms = counted.groupBy("line").agg(F.sum(F.col("w") * F.col("w")).alias("square"))
+    pairs = found.select("template", "line").distinct()
+    dots = (counted.join(F.broadcast(weights.select("template", "term", "v")), "term").groupBy("line", "template")
+            .agg(F.sum(F.col("w") * F.col("v")).alias("dot")).join(pairs, ["line", "template"]).join(norms, "line"))
+    scored = found.join(dots, ["line", "template"]).withColumn("score", F.round(F.col("dot") / F.sqrt(F.col("square") * F.col("total")), 9)).where(
+        F.col("score") >= similarity)
+    whole = (F.col("n_words") >= WHOLE_TEXT_WORDS) & (F.size(F.split("line", " ")) >= WHOLE_TEXT * F.col("n_text"))
+    best = scored.groupBy("text_key").agg(F.min(F.struct(
+        (F.col("licence") == "Proprietary").alias("reserved"), (-F.round(F.col("score") * F.sqrt("total"), 6)).alias("least"), "licence",
+        (-F.col("score")).alias("unlike"), (~whole).alias("part"))).alias("best"))
+    return best.select("text_key", F.col("best.licence").alias("passage_licence"), (-F.col("best.unlike")).alias("passage_score"), (~F.col("best.part")).alias("whole"))
+
+
 _DIRECTORY = "/?[^/]*$"
 
 
@@ -112,23 +244,32 @@ def _above(directory: str) -> Column:
 def scan_licences(docs: DataFrame, path: Column, similarity: float = SIMILARITY, file_share: float = FILE_SHARE) -> DataFrame:
     """One row per document: doc_id, path, licence, score, how (own, inherited or none), from_directory.
 
-    ``licence`` is that of the document's own most similar line, else the one its nearest ancestor directory has from
+    ``licence`` is that of the document's own passage that explains most, else of its most similar line, else the one its nearest ancestor directory has from
     its licence files (the most frequent one there, then the first by name). Null and empty texts have no licence of their own, a
     null path is the empty one, at the top; a null doc_id stays null; repeated rows give repeated results; an empty table gives an empty result.
     """
     placed = docs.select("doc_id", "text", F.coalesce(path.cast("string"), F.lit("")).alias("path"))
-    known = written(line_licences(licence_lines(placed), similarity), "lines")
+    # The one pass that looks for vocabulary; what follows reads these texts only.
+    hinted = written(placed.where(F.col("text").rlike(_HINT)).select("path", "text", F.sha2("text", 256).alias("text_key")), "hinted")
+    known = written(line_licences(licence_lines(hinted), similarity), "lines")
     named_file = F.col("path").rlike(_FILE_NAME)
     # Rows are found again by (path, text): equal ones get equal answers.
-    suspects = placed.where(F.col("text").rlike(_VOCABULARY)).select(
-        "path", F.sha2("text", 256).alias("text_key"), F.length("text").alias("size"), F.explode(_candidate_lines()).alias("line"))
+    suspects = hinted.where(F.col("text").rlike(_VOCABULARY)).select(
+        "path", "text_key", F.length("text").alias("size"), F.explode(_candidate_lines()).alias("line"))
     hits = written(suspects.join(known, "line"), "hits")
     once = hits.groupBy("path", "text_key", "line").agg(
         F.min("licence").alias("licence"), F.min("score").alias("score"), F.min("size").alias("size"))
     own = once.groupBy("path", "text_key").agg(
         F.min(F.struct((-F.col("score")).alias("least"), "licence")).alias("best"), (F.sum(F.length("line")) / F.min("size")).alias("share"))
-    own = written(own.select("path", "text_key", F.col("best.licence").alias("own"), (-F.col("best.least")).alias("own_score"), "share"), "own")
-    speaking = own.where(named_file | (F.col("share") >= file_share)).withColumn(
+    of_lines = own.select("path", "text_key", F.col("best.licence").alias("line_own"), (-F.col("best.least")).alias("line_score"), "share")
+    passages = passage_licences(hinted, similarity)
+    # Where both agree, the better score counts.
+    alike = F.col("passage_licence").isNull() | F.coalesce(F.col("passage_licence") == F.col("line_own"), F.lit(False))
+    own = written(hinted.select("path", "text_key").distinct().join(of_lines, ["path", "text_key"], "left").join(passages, "text_key", "left").select(
+        "path", "text_key", F.coalesce("passage_licence", "line_own").alias("own"),
+        F.when(alike, F.greatest("line_score", "passage_score")).otherwise(F.col("passage_score")).alias("own_score"),
+        F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("whole", F.lit(False)).alias("whole")).where("own is not null"), "own")
+    speaking = own.where(named_file | F.col("whole") | (F.col("share") >= file_share)).withColumn(
         "directory", F.regexp_replace("path", _DIRECTORY, ""))
     votes = speaking.groupBy("directory", "own").agg(F.count("*").alias("n"), F.min("own_score").alias("score"))
     declared = votes.groupBy("directory").agg(F.min(F.struct((-F.col("n")).alias("rarity"), "own", "score")).alias("most")).select(
@@ -137,9 +278,8 @@ def scan_licences(docs: DataFrame, path: Column, similarity: float = SIMILARITY,
     ancestors = directories.select("at", F.posexplode(_above("at")).alias("up", "directory"))
     nearest = ancestors.join(declared, "directory").groupBy("at").agg(
         F.min(F.struct("up", "directory", "given", "given_score")).alias("near")).select("at", "near.*")
-    text_key = F.when(F.coalesce(F.col("text").rlike(_VOCABULARY), F.lit(False)), F.sha2("text", 256))
-    rows = placed.select("doc_id", "path", text_key.alias("text_key"), F.regexp_replace("path", _DIRECTORY, "").alias("at"))
-    answered = rows.join(own.drop("share"), ["path", "text_key"], "left").join(nearest.drop("up"), "at", "left")
+    rows = placed.select("doc_id", "path", F.sha2("text", 256).alias("text_key"), F.regexp_replace("path", _DIRECTORY, "").alias("at"))
+    answered = rows.join(own.drop("share", "whole"), ["path", "text_key"], "left").join(nearest.drop("up"), "at", "left")
     mine = F.col("own").isNotNull()
     return answered.select(
         "doc_id", "path", F.coalesce("own", "given").alias("licence"), F.coalesce("own_score", "given_score").alias("score"),

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from compare import oracle_rows, spark_rows, star_connection, type_differences
 from tallyward.llm.embedding import cover_tree, embedding_near_duplicates, linked_pairs
-from tallyward.llm.licences import scan_licences
+from tallyward.llm.licences import HEADERS, scan_licences
 from tallyward.llm.queries import ORACLES, QUERIES
 from tallyward.llm.secret_scan import fit_forest, judge, labelled_findings, redact_secrets, scan_secrets
 from tallyward.llm.storage import table
@@ -226,6 +227,29 @@ def test_licences_and_inheritance(spark):
     assert scan_licences(docs.limit(0), F.col("place")).count() == 0
 
 
+def wrapped(text, width=70, mark=" * "):
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def test_licence_headers_over_lines_and_inside_them(spark):
+    gnu = ("This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; "
+           "either version {2} of the License, or (at your option) any later version.")
+    mpl = ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+           "You can obtain one at https://mozilla.org/MPL/2.0/.")
+    code = "\n" + "value = compute(other) " * 60 + "\n"
+    prose = "some words of a page that tell of rivers and hills and boats " * 300
+    texts = {1: (code + wrapped(mpl) + code, "MPL-2.0"), 2: (wrapped(gnu.format("library", "Lesser General Public License", "2.1"), mark="# ") + code, "LGPL-2.1"),
+             3: (gnu.format("program", "General Public License", "2") + code, "GPL-2.0"), 4: (wrapped(gnu.format("program", "General Public License", "2")) + code, "GPL-2.0"),
+             5: (wrapped(gnu.format("program", "General Public License", "3")), "GPL-3.0"), 6: ("The text of this page is released under the MIT License.", "MIT"),
+             7: (prose + "The text of this page is released under the MIT License. " + prose, "MIT"), 8: (code + "GPLv3" + code, "GPL-3.0"), 9: ("CC BY 4.0", "CC-BY-4.0"),
+             10: ("Copyright (c) 2020 A\nAll rights reserved.\n\n" + wrapped(HEADERS["BSD-3-Clause"][0], mark=""), "BSD-3-Clause"),
+             11: ("Mit. " + prose, None), 12: ("a license to drive and the copyright of songs " + prose, None), 13: (wrapped(HEADERS["Apache-2.0"][0], 50, "// ") + code, "Apache-2.0"),
+             14: ("Lizenz\nGPLv3 is longer than the licence that we had before it was changed by somebody\n" + prose, None)}
+    docs = spark.createDataFrame([(i, text, f"p{i}/a") for i, (text, _) in texts.items()], "doc_id long, text string, place string")
+    found = {r.doc_id: r.licence for r in scan_licences(docs, F.col("place")).collect()}
+    assert found == {i: licence for i, (_, licence) in texts.items()}
+
+
 # --- pipeline
 
 def test_pipeline_stages(spark, sf_dir):
