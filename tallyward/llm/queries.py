@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyward.llm.alignment import align_documents
+from tallyward.llm.bpe_chunks import encode_documents
+from tallyward.llm.conversation_repair import damage_conversations, repair_conversations
 from tallyward.llm.decontaminate import contamination
 from tallyward.llm.embedding import embedding_near_duplicates
 from tallyward.llm.language import identify_language
@@ -64,6 +67,18 @@ def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_incidence_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op13_grammar_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage_conversations(table(spark, sf_dir, "conversations")))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -83,6 +98,9 @@ QUERIES = {query.__name__: _shipped(query) for query in (
     op8_licence_inheritance,
     op9_wu_manber_decontamination,
     op10_simhash_popcount,
+    op11_byte_incidence_alignment,
+    op12_chunked_bpe,
+    op13_grammar_conversation_repair,
 )}
 
 _WORDS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
