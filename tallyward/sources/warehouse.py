@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -11,29 +12,94 @@ from pyspark.sql import functions as F
 
 from tallyward.operators.marts import claims_mart, in_date_order, in_patient_order, patient_mart
 from tallyward.operators.staging import STAGING_MODELS, stage
+from tallyward.sources.swap import Store
 from tallyward.sources.zones import CSV_OPTIONS, read_processed_partition
 
 MARTS = ("mart_claims_summary", "mart_patient_metrics")
+# Folders of a table's versions below its own.
+VERSION = "version-"
 
 
 def _create_database(spark: SparkSession, database: str) -> None:
     spark.sql("CREATE DATABASE IF NOT EXISTS IDENTIFIER(:name)", args={"name": database})
 
 
+def _quoted(*names: str) -> str:
+    return ".".join(f"`{name.replace('`', '``')}`" for name in names)
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _layout(spark: SparkSession, name: str) -> tuple[str, str]:
+    """What a change of location cannot change: columns, and buckets if there are any."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()
+    buckets = [f"{r.col_name} {r.data_type}" for r in rows if r.col_name in ("Num Buckets", "Bucket Columns", "Sort Columns")]
+    return spark.table(name).schema.simpleString(), "; ".join(buckets)
+
+
+def table_location(spark: SparkSession, name: str) -> str:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").collect()
+    return rows[0].data_type.rstrip("/")
+
+
+def _write_version(df: DataFrame, database: str, table: str, place: str, buckets: tuple[int, str] | None) -> None:
+    """The rows as Parquet below ``place``; bucketed files need a table of their own, whose entry is dropped again."""
+    if not buckets:
+        df.write.parquet(place)
+        return
+    name = _quoted(database, f"{table}__{uuid.uuid4().hex[:8]}")
+    try:
+        (df.repartition(*buckets).write.format("parquet").bucketBy(*buckets).sortBy(buckets[1])
+            .option("path", place).saveAsTable(name))
+    finally:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def replace_table(
     df: DataFrame, database: str, table: str, root: str | None = None, buckets: tuple[int, str] | None = None
 ) -> int:
-    """Replace a warehouse table and return its row count, taken while writing."""
-    written = Observation()
-    counted = df.observe(written, F.count(F.lit(1)).alias("rows"))
-    if buckets:
-        counted = counted.repartition(*buckets)
-    writer = counted.write.mode("overwrite").format("parquet")
-    if buckets:
-        writer = writer.bucketBy(*buckets).sortBy(buckets[1])
-    if root:
-        writer = writer.option("path", f"{root}/{database}/{table}")
-    writer.saveAsTable(f"{database}.{table}")
+    """Replace a warehouse table and return its row count, taken while writing.
+
+    The rows are written to a folder of their own, then the table is pointed there: a write that fails leaves the table as it
+    is, and who has begun to read it reads the old rows to the end, as the version before stays until the
+    next replacement. If columns or buckets differ, the entry is made anew over the folder that is already complete.
+    """
+    spark, written = df.sparkSession, Observation()
+    name = _quoted(database, table)
+    base = f"{(root + '/' + database) if root else spark.catalog.getDatabase(database).locationUri.rstrip('/')}/{table}"
+    place = f"{base}/{VERSION}{uuid.uuid4().hex[:12]}"
+    store = Store(spark, base)
+    try:
+        _write_version(df.observe(written, F.count(F.lit(1)).alias("rows")), database, table, place, buckets)
+    except BaseException:
+        store.remove(place)
+        raise
+    layout = f" CLUSTERED BY ({_quoted(buckets[1])}) SORTED BY ({_quoted(buckets[1])}) INTO {buckets[0]} BUCKETS" if buckets else ""
+    columns = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields)
+    make = f"CREATE TABLE {{}} ({columns}) USING parquet{layout} LOCATION {_text(place)}"
+    before = None
+    if spark.catalog.tableExists(name):
+        before = table_location(spark, name)
+        probe = _quoted(database, f"{table}__{uuid.uuid4().hex[:8]}")
+        spark.sql(make.format(probe))
+        try:
+            same = _layout(spark, probe) == _layout(spark, name)
+        finally:
+            spark.sql(f"DROP TABLE {probe}")
+        if same:
+            spark.sql(f"ALTER TABLE {name} SET LOCATION {_text(place)}")
+        else:
+            spark.sql(f"DROP TABLE {name}")
+            spark.sql(make.format(name))
+        spark.catalog.refreshTable(name)
+    else:
+        spark.sql(make.format(name))
+    kept = {place.rsplit("/", 1)[1], (before or "").rsplit("/", 1)[-1]}
+    for old in store.names(base):
+        if old.startswith(VERSION) and old not in kept:
+            store.remove(f"{base}/{old}")
     return written.get["rows"]
 
 

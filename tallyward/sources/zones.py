@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 from typing import NamedTuple
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.schemas import RAW_COLUMNS
+from tallyward.sources.swap import COMMITTED, Store, finish_swaps, replace_folders
 
 # Quotes inside a quoted field are doubled, as spreadsheet and pandas exports write them.
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
@@ -93,20 +94,43 @@ def read_raw_csv(spark: SparkSession, table: str, *paths: str, corrupt_column: s
 
 
 def _write_day(df: DataFrame, root: str, table: str, run_date: dt.date, source: str, **options: str) -> Snapshot:
-    """Replace one day's partition, also by no rows, and leave other days alone. Rows are counted by the write."""
+    """Replace one day's partition, also by no rows, and leave other days alone. Rows are counted by the write.
+
+    The day is written beside and moved into place when it is complete: a write that fails leaves the old day.
+    """
     written = Observation()
     key = day_key(table, run_date)
-    (df.observe(written, F.count(F.lit(1)).alias("rows")).write.format(source).options(**options)
-        .mode("overwrite").save(f"{root}/{key}"))
+    counted = df.observe(written, F.count(F.lit(1)).alias("rows")).write.format(source).options(**options)
+    replace_folders(df.sparkSession, root, [key], lambda staged: counted.save(f"{staged}/{key}"))
     return Snapshot(table, written.get["rows"], len(df.columns), key)
 
 
 def write_days(days: list[tuple[dt.date, DataFrame]], root: str, table: str) -> None:
-    """Replace the processed days of several frames in one job; a day without rows is not touched."""
+    """Replace the processed days of several frames by one job; a day without rows is not touched."""
     dated = [df.withColumns({"year": F.lit(str(day.year)), "month": F.lit(f"{day.month:02d}"), "day": F.lit(f"{day.day:02d}")})
              for day, df in days]
-    (reduce(DataFrame.unionByName, dated).write.partitionBy("year", "month", "day").option("compression", "snappy")
-        .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{root}/{table}"))
+    rows = reduce(DataFrame.unionByName, dated).write.partitionBy("year", "month", "day").option("compression", "snappy")
+
+    def write(staged: str) -> None:
+        rows.parquet(f"{staged}/{table}")
+        Store(dated[0].sparkSession, staged).write(f"{staged}/{COMMITTED}", "")
+
+    replace_folders(dated[0].sparkSession, root, [day_key(table, day) for day, _ in days], write)
+
+
+def _read_day(spark: SparkSession, root: str, path: str, read: Callable[[str], DataFrame], missing: str) -> DataFrame:
+    """A day by its path. If it is absent, a replacement that was cut short may have it: finish that and look again."""
+    for finished in (False, True):
+        try:
+            day = read(path)
+            if day.columns:
+                return day
+        except AnalysisException as error:
+            if not _missing_path(error):
+                raise
+        if finished or not finish_swaps(spark, root):
+            break
+    raise FileNotFoundError(f"{missing} at {path}")
 
 
 def land_raw(df: DataFrame, root: str, table: str, run_date: dt.date) -> Snapshot:
@@ -116,16 +140,7 @@ def land_raw(df: DataFrame, root: str, table: str, run_date: dt.date) -> Snapsho
 
 def read_raw_partition(spark: SparkSession, root: str, table: str, run_date: dt.date) -> DataFrame:
     """One landed day, addressed by its path so that no other day is listed."""
-    path = f"{root}/{day_key(table, run_date)}"
-    try:
-        day = read_csv(spark, path)
-    except AnalysisException as error:
-        if not _missing_path(error):
-            raise
-        raise FileNotFoundError(f"no raw data at {path}") from error
-    if not day.columns:
-        raise FileNotFoundError(f"no raw data at {path}")
-    return day
+    return _read_day(spark, root, f"{root}/{day_key(table, run_date)}", lambda path: read_csv(spark, path), "no raw data")
 
 
 def write_processed(
@@ -139,13 +154,7 @@ def write_processed(
 
 
 def read_processed_partition(spark: SparkSession, root: str, table: str, run_date: dt.date) -> DataFrame:
-    path = f"{root}/{day_key(table, run_date)}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if not _missing_path(error):
-            raise
-        raise FileNotFoundError(f"no processed data at {path}") from error
+    return _read_day(spark, root, f"{root}/{day_key(table, run_date)}", spark.read.parquet, "no processed data")
 
 
 def day_objects(spark: SparkSession, root: str, tables: tuple[str, ...], run_date: dt.date) -> DataFrame:
