@@ -512,6 +512,20 @@ ALARM = """
 PROCESSED = {t: over(doubles(
     list(columns), t), t) for _, (t, _, columns) in STAGING_MODELS.items()}
 
+DEFECT_FAILED = f"""
+        select {DEFECT} as value, case when event_id % 19 = 1 then 'not a JSON document' else 'unusable record' end as reason,
+          'failed' as status from events where event_id % 19 in (1, 2, 3)"""
+
+
+def three_days(table: str, key: str) -> str:
+    """The processed table with each row as of its own day, which the last character of its key tells."""
+    text = over(doubles(["*"], f"({_COMMON[table]})"), f"typed_{table}")
+    run_date = f"({AS_OF} - cast(coalesce(ascii(right({key}, 1)) % 3, 0) as int))"
+    return f"select *, {run_date} as run_date from ({text.replace(AS_OF, run_date)})"
+
+
+THREE_DAYS = {"patients": three_days("patients", "patient_id"), "conditions": three_days("conditions", "patient_id")}
+
 ORACLES: dict[str, str] = {
     "discover_csv": over(f"select table_name, cast(1 as bigint) as n_files, n_rows from ({RAW_COUNTS})", *RAW_NAMES),
     "read_raw_csv": over(doubles(_names("encounters") + ["false as corrupt"], "typed_encounters"), "typed_encounters"),
@@ -696,13 +710,13 @@ ORACLES: dict[str, str] = {
     "ingest_event_log_stream": NOTIFIED,
     "ingest_batch_summary": SUMMARIES,
     "ingest_error_alarm": ALARM,
-    "ingest_error_alarm_stream": f"""
-        select * from ({ALARM}) where period_end <= (select date_trunc('millisecond', max(ts)) - interval 10 minute from events)""",
+    "ingest_error_alarm_stream": ALARM,
+    **{f"incremental_days_{t}": text for t, text in THREE_DAYS.items()},
     **{f"incremental_landing_{t}": PROCESSED[t] for t in CORE},
     "ingest_event_log_defects": DEFECT_LOG,
-    "ingest_event_log_failed": f"""
-        select {DEFECT} as value, case when event_id % 19 = 1 then 'not a JSON document' else 'unusable record' end as reason,
-          'failed' as status from events where event_id % 19 in (1, 2, 3)""",
+    "ingest_event_log_failed": DEFECT_FAILED,
+    "ingest_event_handling_log": DEFECT_LOG,
+    "ingest_event_handling_failed": DEFECT_FAILED,
     "ingest_log_lines": f"""
         select '{{"event":"s3_object_created","project":"claims","environment":"dev","bucket":"raw-zone","key":' || to_json(key) ||
           ',"size_bytes":' || size || ',"timestamp":"2001-12-31T06:00:00.000000"}}' as line from ({NOTIFIED})""",

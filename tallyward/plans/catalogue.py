@@ -30,9 +30,10 @@ from tallyward.sources import warehouse as w
 from tallyward.sources import zones as z
 from tallyward.sources.export import envelope, with_total
 from tallyward.sources.star_schema import object_notifications, star_table
-from tallyward.streaming.alarm import ingest_error_alarm, start_error_alarm
+from tallyward.streaming.alarm import AlarmSums, ingest_error_alarm, start_error_sums
 from tallyward.streaming.events import (
-    failed_notifications, ingest_batch_summary, ingest_errors, ingest_event_log, log_lines, read_notifications, start_event_log,
+    failed_notifications, handled_failures, handled_log, ingest_batch_summary, ingest_errors, ingest_event_log, log_lines,
+    read_notifications, start_event_handling, start_event_log,
 )
 from tallyward.streaming.landing import start_incremental_landing
 
@@ -341,16 +342,50 @@ def ingest_event_log_stream(ws: Workspace) -> DataFrame:
     return ws.spark.read.parquet(ws.once("event log", stream))
 
 
+def _handled(ws: Workspace) -> str:
+    def stream() -> str:
+        run = ws.scratch("event-handling")
+        _defective(ws).select("value").write.text(f"{run}/in")
+        start_event_handling(read_notifications(ws.spark, f"{run}/in"), f"{run}/out", f"{run}/checkpoint").awaitTermination()
+        return f"{run}/out"
+
+    return ws.once("event handling", stream)
+
+
 def ingest_error_alarm_stream(ws: Workspace) -> DataFrame:
-    def alarm() -> str:
+    def alarm() -> AlarmSums:
         run = ws.scratch("alarm")
         events = star_table(ws.spark, ws.sf_dir, "events")
         # As a pattern, the path may be one file or a folder of them.
         stream = ws.spark.readStream.schema(events.schema).parquet(f"{ws.sf_dir}/event[s].parquet")
-        start_error_alarm(_alarm(stream), f"{run}/out", f"{run}/checkpoint").awaitTermination()
-        return f"{run}/out"
+        sums = AlarmSums(ws.spark, f"{run}/out")
+        start_error_sums(stream, "ts", F.col("event_type") == "error", sums, f"{run}/checkpoint").awaitTermination()
+        return sums
+
+    return ws.once("alarm", alarm).alarms()
+
+
+# Three days of one extract: all rows under one id fall on one day.
+def _day_of(ws: Workspace, raw: DataFrame, key: str, days_ago: int) -> DataFrame:
+    return raw.where(F.coalesce(F.ascii(F.right(F.col(key), F.lit(1))) % 3, F.lit(0)) == days_ago)
+
+
+KEYS = {"patients": "Id", "encounters": "Id", "conditions": "PATIENT", "medications": "PATIENT"}
+
+
+def three_days(ws: Workspace, table: str) -> DataFrame:
+    """Three landed days through the stream, each as of itself."""
+    def stream() -> str:
+        zones, lake = ws.zones(_database()), ws.scratch("lake")
+        for ago in range(3):
+            z.land_raw(_day_of(ws, ws.raw(table), KEYS[table], ago), zones.raw, table, ws.as_of - dt.timedelta(days=ago))
+        start_incremental_landing(ws.spark, zones.raw, lake, table, ws.scratch("checkpoint"), None, ws.run_ts).awaitTermination()
+        return lake
 
-    return ws.spark.read.parquet(ws.once("alarm", alarm))
+    lake = ws.once(f"three days {table}", stream)
+    days = [ws.as_of - dt.timedelta(days=ago) for ago in range(3)]
+    return as_double(_union([
+        z.read_processed_partition(ws.spark, lake, table, day).withColumn("run_date", F.lit(day)) for day in days]))
 
 
 def _stream_landing(ws: Workspace, table: str) -> DataFrame:
@@ -492,5 +527,8 @@ QUERIES: dict[str, Query] = {
         F.aggregate("files", F.lit(0).cast("bigint"), lambda total, f: total + f["size"]).alias("total_size")),
     "ingest_error_alarm": lambda ws: _alarm(star_table(ws.spark, ws.sf_dir, "events")),
     "ingest_error_alarm_stream": ingest_error_alarm_stream,
+    "ingest_event_handling_log": lambda ws: handled_log(ws.spark, _handled(ws)),
+    "ingest_event_handling_failed": lambda ws: handled_failures(ws.spark, _handled(ws)),
+    **{f"incremental_days_{t}": (lambda ws, t=t: three_days(ws, t)) for t in ("patients", "conditions")},
     **{f"incremental_landing_{t}": (lambda ws, t=t: _stream_landing(ws, t)) for t in CORE_TABLES},
 }

@@ -13,6 +13,7 @@ from tallyward.operators.transforms import TRANSFORMS
 from tallyward.schemas import CORE_TABLES, LANDED_TABLES
 from tallyward.session import size_shuffles
 from tallyward.sources.manifest import landed, landing_manifest, write_manifest
+from tallyward.sources.run_days import record_run_day
 from tallyward.sources.warehouse import MARTS, create_staging_views, load_warehouse, materialize_marts
 from tallyward.sources.zones import (
     Snapshot, all_raw_partitions_present, day_objects, discover_tables, land_raw, partition_status,
@@ -61,6 +62,7 @@ def validate_landed(spark: SparkSession, zones: Zones, run_date: dt.date) -> Dat
 def transform_day(spark: SparkSession, zones: Zones, run_date: dt.date, as_of: dt.date,
                   run_ts: dt.datetime) -> tuple[list[Snapshot], list[str]]:
     """Transform every landed table into the processed zone; names of the absent ones."""
+    record_run_day(spark, zones.processed, run_date, as_of)
     snapshots, missing = [], []
     for table, transform in TRANSFORMS.items():
         try:

@@ -28,10 +28,11 @@ def read_notifications(spark: SparkSession, path: str, max_files: int | None = N
 def _parsed(notifications: DataFrame) -> DataFrame:
     """The notifications with their records and, if the document or one of its records cannot be used, the reason.
 
-    A usable record names its bucket and key, and its size, if it has one, is a whole number.
+    A usable record names its bucket and key, and its size, if it has one, is a whole number. The document is taken out of a generator:
+    no filter or projection moves below that, so it is parsed once however often it is looked into.
     """
     document = F.from_json("value", f"{OBJECT_CREATED_EVENT}, _broken STRING", {"columnNameOfCorruptRecord": "_broken"})
-    parsed = notifications.withColumn("document", document)
+    parsed = notifications.select("*", F.explode(F.array(document)).alias("document"))
     records = F.coalesce("document.Records", F.array())
     bad = F.exists(records, lambda r: r["s3"]["bucket"]["name"].isNull() | r["s3"]["object"]["key"].isNull() | (
         r["s3"]["object"]["size"].isNotNull() & r["s3"]["object"]["size"].try_cast("bigint").isNull()))
@@ -115,3 +116,44 @@ def start_event_log(
         .option("path", sink).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+
+
+_HANDLED = "bucket STRING, key STRING, size BIGINT, status STRING, value STRING, reason STRING"
+
+
+def handled_notifications(notifications: DataFrame, prefix: str | None = None) -> DataFrame:
+    """The rows of ``ingest_event_log`` (status ``logged``) and of ``failed_notifications`` from one parse."""
+    entry = "STRUCT<bucket: STRING, key: STRING, size: BIGINT, status: STRING, value: STRING, reason: STRING>"
+    nothing = F.lit(None).cast("string")
+    logged = F.transform("records", lambda r: F.struct(
+        r["s3"]["bucket"]["name"], _decoded(r["s3"]["object"]["key"]), _size(r), F.lit("logged"), nothing, nothing).cast(entry))
+    failed = F.array(F.struct(nothing, nothing, F.lit(None).cast("bigint"), F.lit("failed"), F.col("value"), F.col("reason")).cast(entry))
+    rows = _parsed(notifications).select(F.inline(F.when(F.col("reason").isNull(), logged).otherwise(failed)))
+    return rows.where((F.col("status") == "failed") | F.col("key").startswith(prefix)) if prefix else rows
+
+
+def write_handled(batch: DataFrame, batch_id: int, sink: str, prefix: str | None = None) -> None:
+    """Both outcomes of one batch below ``<sink>/batch=<id>``, in one job; a replayed batch replaces what it wrote."""
+    rows = handled_notifications(batch, prefix).withColumn("outcome", F.col("status"))
+    rows.write.mode("overwrite").partitionBy("outcome").parquet(f"{sink}/batch={batch_id}")
+
+
+def start_event_handling(notifications: DataFrame, sink: str, checkpoint: str, prefix: str | None = None) -> StreamingQuery:
+    """Log everything that has arrived, and keep what failed, from one pass over it; a restart adds only what is new."""
+    return (
+        notifications.writeStream.foreachBatch(lambda batch, batch_id: write_handled(batch, batch_id, sink, prefix))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def _handled(spark: SparkSession, sink: str, outcome: str) -> DataFrame:
+    return spark.read.schema(f"{_HANDLED}, batch BIGINT, outcome STRING").parquet(sink).where(F.col("outcome") == outcome)
+
+
+def handled_log(spark: SparkSession, sink: str) -> DataFrame:
+    """What ``start_event_handling`` has logged, as ``ingest_event_log`` gives it. Only its folders are read."""
+    return _handled(spark, sink, "logged").select("bucket", "key", "size", "status")
+
+
+def handled_failures(spark: SparkSession, sink: str) -> DataFrame:
+    return _handled(spark, sink, "failed").select("value", "reason", "status")

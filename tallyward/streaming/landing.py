@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyward.operators.transforms import TRANSFORMS
+from tallyward.sources.run_days import run_as_of
 from tallyward.sources.zones import read_raw_partition, write_days, write_processed
 
 _FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
@@ -26,11 +27,12 @@ def read_changed_days(spark: SparkSession, root: str, table: str, max_files: int
     return reader.load(f"{root}/{table}").select(part("year"), part("month"), part("day"))
 
 
-def replace_days(spark: SparkSession, root: str, lake: str, table: str, days: list[dt.date], as_of: dt.date, run_ts: dt.datetime) -> None:
+def replace_days(spark: SparkSession, root: str, lake: str, table: str, days: list[dt.date], as_of: dt.date | None, run_ts: dt.datetime) -> None:
     """Transform the current raw partition of each day and replace its processed day, all days in one job.
 
-    Every day is read by its own header, so the order of its columns does not matter. A day without rows
-    is replaced by an empty one; a day that is gone from the raw zone is left alone.
+    Without ``as_of`` each day is computed as of the day that its batch run had, else as of itself. Every day is read by its own
+    header, so the order of its columns does not matter. A day without rows is replaced by an empty one; a day that is gone
+    from the raw zone is left alone.
     """
     frames, counts = [], {}
     for day in days:
@@ -39,7 +41,7 @@ def replace_days(spark: SparkSession, root: str, lake: str, table: str, days: li
         except FileNotFoundError:
             continue
         counts[day] = Observation()
-        frames.append((day, TRANSFORMS[table](raw, as_of, run_ts).observe(counts[day], F.count(F.lit(1)).alias("rows"))))
+        frames.append((day, TRANSFORMS[table](raw, as_of or run_as_of(spark, lake, day), run_ts).observe(counts[day], F.count(F.lit(1)).alias("rows"))))
     if frames:
         write_days(frames, lake, table)
         for day, frame in frames:
@@ -48,14 +50,15 @@ def replace_days(spark: SparkSession, root: str, lake: str, table: str, days: li
 
 
 def start_incremental_landing(
-    spark: SparkSession, root: str, lake: str, table: str, checkpoint: str, as_of: dt.date, run_ts: dt.datetime,
+    spark: SparkSession, root: str, lake: str, table: str, checkpoint: str, as_of: dt.date | None, run_ts: dt.datetime,
     max_files: int | None = None,
 ) -> StreamingQuery:
     """Bring every day that has changed since the last run up to date in the processed layer and stop.
 
     The stream only says which days have new files. Those days are transformed from all that the raw zone
     holds for them now, so the outcome equals the batch run, however many batches bring a day, when a day
-    lands again, smaller or empty, and when a batch is replayed.
+    lands again, smaller or empty, and when a batch is replayed. ``as_of`` None gives every day its own context
+    (``replace_days``), as a batch run of that day would.
     """
 
     def bring_up_to_date(batch: DataFrame, batch_id: int) -> None:
