@@ -725,3 +725,21 @@ ORACLES: dict[str, str] = {
           select time_bucket(interval 5 minute, ts) as period_start, count(*) as errors
           from events where event_id % 19 in (1, 2, 3) group by 1)""",
 }
+
+ROLLUP = of_claims("""
+    select encounter_class, cost_tier, age_group, state, encounter_year, encounter_month, count(*) as n_claims,
+      cast(sum(total_claim_cost) as double) as sum_total_claim_cost, count(total_claim_cost) as n_total_claim_cost,
+      cast(sum(payer_coverage) as double) as sum_payer_coverage, count(payer_coverage) as n_payer_coverage,
+      cast(sum(out_of_pocket) as double) as sum_out_of_pocket, count(out_of_pocket) as n_out_of_pocket
+    from claims group by 1, 2, 3, 4, 5, 6""")
+# The same figures from the rollup, and the same marts by increments.
+ORACLES |= {f"rollup_{name}": ORACLES[name] for name in (
+    "claims_stats", "cost_by_state", "overview_kpis", "overview_trend", "cost_tier_counts", "class_counts", "age_group_costs",
+    "state_top12", "claims_kpis", "claims_kpis_filtered", "claims_kpis_no_match", "claims_state_cost", "claims_state_cost_filtered",
+    "class_coverage_split", "class_coverage_split_filtered", "claims_trend", "claims_trend_filtered", "claims_cards")}
+ORACLES |= {
+    "claims_rollup": ROLLUP, "incremental_rollup": ROLLUP,
+    "incremental_patient_mart": ORACLES["mart_patient_metrics"],
+    "incremental_claims_mart": ORACLES["mart_claims_summary"],
+    "incremental_overview_trend": ORACLES["overview_trend"],
+}

@@ -1,4 +1,7 @@
-"""Claim listings, claim statistics and the filtered claims page."""
+"""Claim listings, claim statistics and the filtered claims page.
+
+Figures take the claims mart or a rollup of it (``measures``); listings take the mart.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tallyward.functions.dates import month_start
 from tallyward.functions.labels import fixed_point, whole_number
-from tallyward.functions.money import as_double, mean, ratio_pct, total
+from tallyward.functions.money import as_double
 from tallyward.operators.filters import check_limit, eq_filters, in_filters, known
+from tallyward.operators.measures import measures
 from tallyward.schemas import AGE_GROUPS, COST_TIERS, ENCOUNTER_CLASSES
 
 # Column headings of the detail table.
@@ -56,21 +60,23 @@ def claims_summary(
 
 def claims_stats(claims: DataFrame) -> DataFrame:
     """Counts and costs per encounter class, cost tier and age group, largest group first."""
+    m = measures(claims)
     groups = ["encounter_class", "cost_tier", "age_group"]
     return claims.groupBy(*groups).agg(
-        F.count("*").alias("total_claims"),
-        mean("total_claim_cost", 2).alias("avg_cost"),
-        total("total_claim_cost", 2).alias("total_cost"),
-        mean("out_of_pocket", 2).alias("avg_out_of_pocket"),
+        m.count().alias("total_claims"),
+        m.mean("total_claim_cost", 2).alias("avg_cost"),
+        m.total("total_claim_cost", 2).alias("total_cost"),
+        m.mean("out_of_pocket", 2).alias("avg_out_of_pocket"),
     ).orderBy(F.desc("total_claims"), *groups)
 
 
 def cost_by_state(claims: DataFrame) -> DataFrame:
+    m = measures(claims)
     return known(claims, "state").groupBy("state").agg(
-        F.count("*").alias("total_claims"),
-        total("total_claim_cost", 2).alias("total_cost"),
-        mean("total_claim_cost", 2).alias("avg_cost"),
-        mean("out_of_pocket", 2).alias("avg_out_of_pocket"),
+        m.count().alias("total_claims"),
+        m.total("total_claim_cost", 2).alias("total_cost"),
+        m.mean("total_claim_cost", 2).alias("avg_cost"),
+        m.mean("out_of_pocket", 2).alias("avg_out_of_pocket"),
     ).orderBy(F.desc_nulls_last("total_cost"), "state")
 
 
@@ -91,39 +97,43 @@ def page_selection(
 
 
 def claims_kpis(claims: DataFrame, **selection: Iterable[str] | None) -> DataFrame:
+    m = measures(claims)
     return page_selection(claims, **selection).agg(
-        F.count("*").alias("claims"),
-        mean("total_claim_cost", 2).alias("avg_cost"),
-        ratio_pct("payer_coverage", "total_claim_cost").alias("payer_pct"),
-        mean("out_of_pocket", 2).alias("avg_oop"),
-        total("total_claim_cost", 0).alias("total_cost"),
+        m.count().alias("claims"),
+        m.mean("total_claim_cost", 2).alias("avg_cost"),
+        m.ratio_pct("payer_coverage", "total_claim_cost").alias("payer_pct"),
+        m.mean("out_of_pocket", 2).alias("avg_oop"),
+        m.total("total_claim_cost", 0).alias("total_cost"),
     )
 
 
 def claims_state_cost(claims: DataFrame, **selection: Iterable[str] | None) -> DataFrame:
     """The fifteen states with the highest billed amount."""
+    m = measures(claims)
     present = known(page_selection(claims, **selection), "state")
     return present.groupBy("state").agg(
-        F.count("*").alias("claims"),
-        total("total_claim_cost", 0).alias("total_cost"),
-        mean("total_claim_cost", 0).alias("avg_cost"),
-        mean("out_of_pocket", 0).alias("avg_oop"),
+        m.count().alias("claims"),
+        m.total("total_claim_cost", 0).alias("total_cost"),
+        m.mean("total_claim_cost", 0).alias("avg_cost"),
+        m.mean("out_of_pocket", 0).alias("avg_oop"),
     ).orderBy(F.desc_nulls_last("total_cost"), "state").limit(15)
 
 
 def class_coverage_split(claims: DataFrame, **selection: Iterable[str] | None) -> DataFrame:
+    m = measures(claims)
     return page_selection(claims, **selection).groupBy("encounter_class").agg(
-        mean("payer_coverage", 0).alias("avg_payer"),
-        mean("out_of_pocket", 0).alias("avg_oop"),
+        m.mean("payer_coverage", 0).alias("avg_payer"),
+        m.mean("out_of_pocket", 0).alias("avg_oop"),
     ).orderBy(F.desc_nulls_last("avg_payer"), "encounter_class")
 
 
 def claims_trend(claims: DataFrame, **selection: Iterable[str] | None) -> DataFrame:
+    m = measures(claims)
     by_month = page_selection(claims, **selection).groupBy(
         month_start("encounter_year", "encounter_month").alias("month"))
     return by_month.agg(
-        F.count("*").alias("claims"),
-        mean("total_claim_cost", 0).alias("avg_cost"),
+        m.count().alias("claims"),
+        m.mean("total_claim_cost", 0).alias("avg_cost"),
     ).orderBy(F.col("month").asc_nulls_first())
 
 

@@ -1,4 +1,4 @@
-"""Headline figures over the whole claims mart."""
+"""Headline figures over the whole claims mart, or over a rollup of it (``measures``) where no distinct count is asked for."""
 
 from __future__ import annotations
 
@@ -7,50 +7,60 @@ from pyspark.sql import functions as F
 
 from tallyward.functions.dates import month_start
 from tallyward.functions.labels import age_label, fixed_point, fmt_money, tier_label, whole_number
-from tallyward.functions.money import mean, ratio_pct, total
 from tallyward.operators.filters import known
+from tallyward.operators.measures import is_rollup, measures
 
 
-def overview_kpis(claims: DataFrame) -> DataFrame:
+def overview_kpis(claims: DataFrame, patients: DataFrame | None = None) -> DataFrame:
     """The distinct count has a subquery of its own: it shuffles bare patient ids, where counting
-    next to the sums would carry every accumulator along with each patient."""
-    patients = claims.agg(F.count_distinct("patient_id"))
+    next to the sums would carry every accumulator along with each patient.
+
+    A rollup holds no patients: their ids (the mart) are then given as ``patients``.
+    """
+    m = measures(claims)
+    if is_rollup(claims) and patients is None:
+        raise ValueError("a rollup needs the rows whose patients are counted")
+    distinct = (claims if patients is None else patients).agg(F.count_distinct("patient_id"))
     return claims.agg(
-        F.count("*").alias("total_claims"),
-        total("total_claim_cost", 0).alias("total_cost"),
-        mean("total_claim_cost", 2).alias("avg_cost"),
-        ratio_pct("payer_coverage", "total_claim_cost").alias("payer_pct"),
-        mean("out_of_pocket", 2).alias("avg_oop"),
+        m.count().alias("total_claims"),
+        m.total("total_claim_cost", 0).alias("total_cost"),
+        m.mean("total_claim_cost", 2).alias("avg_cost"),
+        m.ratio_pct("payer_coverage", "total_claim_cost").alias("payer_pct"),
+        m.mean("out_of_pocket", 2).alias("avg_oop"),
     ).select(
-        "total_claims", patients.scalar().alias("total_patients"), "total_cost", "avg_cost", "payer_pct", "avg_oop")
+        "total_claims", distinct.scalar().alias("total_patients"), "total_cost", "avg_cost", "payer_pct", "avg_oop")
 
 
 def overview_trend(claims: DataFrame) -> DataFrame:
     """Claims and billed amount per month; claims without a date form one NULL month."""
+    m = measures(claims)
     by_month = claims.groupBy(month_start("encounter_year", "encounter_month").alias("month"))
     return by_month.agg(
-        F.count("*").alias("claims"),
-        total("total_claim_cost", 0).alias("total_cost"),
+        m.count().alias("claims"),
+        m.total("total_claim_cost", 0).alias("total_cost"),
     ).orderBy(F.col("month").asc_nulls_first())
 
 
 def cost_tier_counts(claims: DataFrame) -> DataFrame:
-    return claims.groupBy("cost_tier").agg(F.count("*").alias("n"))
+    m = measures(claims)
+    return claims.groupBy("cost_tier").agg(m.count().alias("n"))
 
 
 def class_counts(claims: DataFrame) -> DataFrame:
+    m = measures(claims)
     present = known(claims, "encounter_class")
     return present.groupBy("encounter_class").agg(
-        F.count("*").alias("claims"),
-        mean("total_claim_cost", 0).alias("avg_cost"),
+        m.count().alias("claims"),
+        m.mean("total_claim_cost", 0).alias("avg_cost"),
     ).orderBy(F.desc("claims"), "encounter_class")
 
 
 def age_group_costs(claims: DataFrame) -> DataFrame:
+    m = measures(claims)
     return known(claims, "age_group").groupBy("age_group").agg(
-        F.count("*").alias("claims"),
-        mean("total_claim_cost", 0).alias("avg_cost"),
-        mean("out_of_pocket", 0).alias("avg_oop"),
+        m.count().alias("claims"),
+        m.mean("total_claim_cost", 0).alias("avg_cost"),
+        m.mean("out_of_pocket", 0).alias("avg_oop"),
     )
 
 
@@ -60,9 +70,10 @@ def gender_patients(patients: DataFrame) -> DataFrame:
 
 
 def state_top12(claims: DataFrame) -> DataFrame:
+    m = measures(claims)
     return known(claims, "state").groupBy("state").agg(
-        F.count("*").alias("claims"),
-        total("total_claim_cost", 0).alias("total_cost"),
+        m.count().alias("claims"),
+        m.total("total_claim_cost", 0).alias("total_cost"),
     ).orderBy(F.desc("claims"), "state").limit(12)
 
 

@@ -22,6 +22,7 @@ from tallyward.operators.dedupe import one_row_per_key
 from tallyward.operators.filters import eq_filters, in_filters, known
 from tallyward.operators.staging import STAGING_MODELS
 from tallyward.operators.transforms import TRANSFORMS, typed
+from tallyward.plans.lake_marts import LakeMarts
 from tallyward.plans.pipeline import Zones, run_pipeline, run_summary, transform_day
 from tallyward.plans.workspace import Workspace
 from tallyward.schemas import CORE_TABLES, GENDERS, LANDED_TABLES
@@ -317,6 +318,59 @@ def all_raw_partitions_present(ws: Workspace) -> DataFrame:
     return z.partition_status(ws.spark, zones.raw, CORE_TABLES, ws.as_of)
 
 
+# --- marts by increments, figures from the rollup ------------------------------------------------
+
+
+def _lake(ws: Workspace) -> LakeMarts:
+    """Marts over three days. One day comes empty at first, another without its conditions; both then land again."""
+    def build() -> LakeMarts:
+        zones = ws.zones(_database())
+        marts = LakeMarts(ws.spark, zones.processed, f"{zones.warehouse}/lake")
+        days = [ws.as_of - dt.timedelta(days=ago) for ago in range(3)]
+
+        def land(ago: int, rows: Callable[[str, DataFrame], DataFrame]) -> None:
+            for table in CORE_TABLES:
+                z.land_raw(rows(table, _day_of(ws, ws.raw(table), KEYS[table], ago)), zones.raw, table, days[ago])
+            transform_day(ws.spark, zones, days[ago], ws.as_of, ws.run_ts)
+
+        land(0, lambda table, df: df)
+        land(1, lambda table, df: df.limit(0))
+        land(2, lambda table, df: df.limit(0) if table == "conditions" else df)
+        marts.refresh(days)
+        for ago in (1, 2):
+            land(ago, lambda table, df: df)
+            marts.refresh([days[ago]])
+        return marts
+
+    return ws.once("lake marts", build)
+
+
+def overview_from_rollup(ws: Workspace) -> DataFrame:
+    return o.overview_kpis(ws.rollup(), ws.claims())
+
+
+ROLLUP_QUERIES: dict[str, Query] = {
+    "claims_stats": lambda ws: c.claims_stats(ws.rollup()),
+    "cost_by_state": lambda ws: c.cost_by_state(ws.rollup()),
+    "overview_kpis": overview_from_rollup,
+    "overview_trend": lambda ws: o.overview_trend(ws.rollup()),
+    "cost_tier_counts": lambda ws: o.cost_tier_counts(ws.rollup()),
+    "class_counts": lambda ws: o.class_counts(ws.rollup()),
+    "age_group_costs": lambda ws: o.age_group_costs(ws.rollup()),
+    "state_top12": lambda ws: o.state_top12(ws.rollup()),
+    "claims_kpis": lambda ws: c.claims_kpis(ws.rollup()),
+    "claims_kpis_filtered": lambda ws: c.claims_kpis(ws.rollup(), **CLAIM_CHOICE),
+    "claims_kpis_no_match": lambda ws: c.claims_kpis(ws.rollup(), **NO_CLAIM),
+    "claims_state_cost": lambda ws: c.claims_state_cost(ws.rollup()),
+    "claims_state_cost_filtered": lambda ws: c.claims_state_cost(ws.rollup(), **CLAIM_CHOICE),
+    "class_coverage_split": lambda ws: c.class_coverage_split(ws.rollup()),
+    "class_coverage_split_filtered": lambda ws: c.class_coverage_split(ws.rollup(), **CLAIM_CHOICE),
+    "claims_trend": lambda ws: c.claims_trend(ws.rollup()),
+    "claims_trend_filtered": lambda ws: c.claims_trend(ws.rollup(), **CLAIM_CHOICE),
+    "claims_cards": lambda ws: c.claims_cards(ws.rollup()),
+}
+
+
 # --- streams ------------------------------------------------------------------------------------
 
 
@@ -454,6 +508,12 @@ QUERIES: dict[str, Query] = {
     "encounter_metrics": lambda ws: as_double(m.encounter_metrics(ws.staged("stg_encounters"))),
     "condition_metrics": lambda ws: m.condition_metrics(ws.staged("stg_conditions")),
     "medication_metrics": lambda ws: as_double(m.medication_metrics(ws.staged("stg_medications"))),
+    "claims_rollup": lambda ws: as_double(ws.rollup()),
+    "incremental_patient_mart": lambda ws: as_double(_lake(ws).patients()),
+    "incremental_claims_mart": lambda ws: as_double(_lake(ws).claims()),
+    "incremental_rollup": lambda ws: as_double(_lake(ws).rollup()),
+    "incremental_overview_trend": lambda ws: o.overview_trend(_lake(ws).rollup()),
+    **{f"rollup_{name}": query for name, query in ROLLUP_QUERIES.items()},
     # aggregations
     "claims_stats": lambda ws: c.claims_stats(ws.claims()),
     "cost_by_state": lambda ws: c.cost_by_state(ws.claims()),

@@ -16,6 +16,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyward.operators.marts import claims_mart, in_date_order, in_patient_order, patient_mart
+from tallyward.operators.measures import claims_rollup
 from tallyward.operators.staging import stage
 from tallyward.operators.transforms import TRANSFORMS
 from tallyward.plans.pipeline import Zones
@@ -85,6 +86,9 @@ class Workspace:
     def claims(self) -> DataFrame:
         return self._written_once("marts/mart_claims_summary", lambda: in_date_order(self.build_claims()))
 
+    def rollup(self) -> DataFrame:
+        return self._written_once("marts/claims_rollup", lambda: claims_rollup(self.claims()).coalesce(1))
+
     def patients(self) -> DataFrame:
         return self._written_once("marts/mart_patient_metrics", lambda: in_patient_order(self.build_patients()))
 
