@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 # A shuffle partition of this size sorts in memory on a common executor and writes one decent file.
@@ -44,6 +47,18 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
         spark.conf.set(name, str(wanted))
 
 
+@contextmanager
+def sized_shuffles(spark: SparkSession, input_bytes: int) -> Iterator[None]:
+    """``size_shuffles`` for a stretch of work: afterwards the session has the setting that it had before."""
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(name, None)
+    size_shuffles(spark, input_bytes)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of a store that Spark reaches; nothing happens if it is absent."""
     jvm = spark.sparkContext._jvm

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyward.operators.marts import claims_mart, in_date_order, in_patient_order, patient_mart
 from tallyward.operators.staging import STAGING_MODELS, stage
 from tallyward.sources.swap import Store
-from tallyward.sources.zones import CSV_OPTIONS, read_processed_partition
+from tallyward.sources.zones import CSV_OPTIONS, day_key, read_processed_partition
 
 MARTS = ("mart_claims_summary", "mart_patient_metrics")
 # Folders of a table's versions below its own.
@@ -132,25 +132,28 @@ def create_staging_views(spark: SparkSession, database: str) -> tuple[str, ...]:
 
 
 def materialize_marts(
-    spark: SparkSession, database: str, warehouse_root: str | None = None, patient_buckets: int | None = None
+    spark: SparkSession, database: str, warehouse_root: str | None = None, patient_buckets: int | None = None,
+    marts: Iterable[str] = MARTS,
 ) -> dict[str, int]:
-    """Build the marts from the staging views into ``<database>_marts``.
+    """Build the marts from the staging views into ``<database>_marts``; rows per mart.
 
     The claims mart is written in date order, the patient mart in order of its key, in as many files as hold rows.
     With ``patient_buckets``, chosen by the caller for the size of the mart, the patient mart is bucketed on its
     unique key instead, so joins on the patient need no shuffle either.
     """
-    marts = f"{database}_marts"
-    _create_database(spark, marts)
-    mart = patient_mart(*[ref(spark, f"stg_{t}") for t in ("patients", "encounters", "conditions", "medications")])
-    by_patient = (patient_buckets, "patient_id") if patient_buckets else None
-    return {
-        "mart_claims_summary": replace_table(
-            in_date_order(claims_mart(ref(spark, "stg_encounters"), ref(spark, "stg_patients"))),
-            marts, "mart_claims_summary", warehouse_root),
-        "mart_patient_metrics": replace_table(
-            mart if by_patient else in_patient_order(mart), marts, "mart_patient_metrics", warehouse_root, by_patient),
-    }
+    place = f"{database}_marts"
+    _create_database(spark, place)
+    counts = {}
+    for name in marts:
+        buckets = None
+        if name == "mart_claims_summary":
+            mart = in_date_order(claims_mart(ref(spark, "stg_encounters"), ref(spark, "stg_patients")))
+        else:
+            mart = patient_mart(*[ref(spark, f"stg_{t}") for t in ("patients", "encounters", "conditions", "medications")])
+            buckets = (patient_buckets, "patient_id") if patient_buckets else None
+            mart = mart if buckets else in_patient_order(mart)
+        counts[name] = replace_table(mart, place, name, warehouse_root, buckets)
+    return counts
 
 
 def crawl_catalog(
@@ -179,15 +182,53 @@ def crawl_catalog(
     return registered
 
 
+def register_days(
+    spark: SparkSession, database: str, table: str, root: str, days: Iterable[dt.date], file_format: str
+) -> list[dt.date]:
+    """Register the days of one table that have landed, or gone, since the last time; those that are there.
+
+    Only these days' folders are looked at, where a crawl lists all of them. Columns that the newest of them has
+    and the table does not are appended; a day that is not there any more loses its entry.
+    """
+    _create_database(spark, database)
+    name, store, present = f"{database}.{table}", Store(spark, root), []
+    options = CSV_OPTIONS if file_format == "csv" else {}
+    for day in sorted(set(days)):
+        place = f"{root}/{day_key(table, day)}"
+        spec = f"year={day.year}, month={day.month}, day={day.day}"
+        known = spark.catalog.tableExists(name)
+        if not store.exists(place):
+            if known:
+                spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")
+            continue
+        if not known:
+            fields = spark.read.options(**options).format(file_format).load(place).schema.fields
+            columns = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in fields)
+            listed = ", ".join(f"{_text(k)} = {_text(v)}" for k, v in options.items())
+            spark.sql(f"CREATE TABLE {name} ({columns}, year INT, month INT, day INT) USING {file_format} "
+                      f"{f'OPTIONS ({listed}) ' if options else ''}PARTITIONED BY (year, month, day) LOCATION {_text(f'{root}/{table}')}")
+        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION ({spec}) LOCATION {_text(place)}")
+        present.append(day)
+    if present:
+        _add_columns_of(spark, name, f"{root}/{day_key(table, present[-1])}", file_format, options)
+        spark.catalog.refreshTable(name)
+    return present
+
+
 def _add_new_columns(spark: SparkSession, name: str, path: str, file_format: str, options: dict[str, str]) -> None:
-    """Columns of the newest partition that a registered table lacks, as its last data columns."""
+    """Columns of the newest partition that a registered table lacks. Folders that are no dates have no say."""
     days = [row.partition for row in spark.sql(f"SHOW PARTITIONS {name}").collect()]
-    if not days:
-        return
-    newest = max(days, key=lambda day: [int(part.split("=")[1]) for part in day.split("/")])
+    dated = [day for day in days if all(part.split("=")[1].isdigit() for part in day.split("/"))]
+    if dated:
+        newest = max(dated, key=lambda day: [int(part.split("=")[1]) for part in day.split("/")])
+        _add_columns_of(spark, name, f"{path}/{newest}", file_format, options)
+
+
+def _add_columns_of(spark: SparkSession, name: str, place: str, file_format: str, options: dict[str, str]) -> None:
+    """The columns of one day that the table lacks become its last data columns."""
     known = {column.lower() for column in spark.table(name).columns}
-    fields = spark.read.options(**options).format(file_format).load(f"{path}/{newest}").schema.fields
-    new = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields if f.name.lower() not in known]
+    fields = spark.read.options(**options).format(file_format).load(place).schema.fields
+    new = [f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in fields if f.name.lower() not in known]
     if new:
         spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(new)})")
 
