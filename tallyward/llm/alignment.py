@@ -33,6 +33,12 @@ PIECE_TOKENIZER = "piece_bpe_32k.model"
 MOST_PAIRS = 2_000_000
 # Different pairs that a task counts before it hands them on.
 HELD_PAIRS = 1_000_000
+# Bytes of ids of A that are aligned at a time (or one longer text): some 100,000 tokens, whose matrices fit in a cache.
+ALIGNED_BYTES = 256 * 1024
+
+
+def _kind(size: int) -> type:
+    return np.int32 if size < 1 << 31 else np.int64
 
 
 @dataclass
@@ -47,12 +53,19 @@ class SparseRows:
     def of_lengths(cls, lengths: np.ndarray) -> SparseRows:
         """Rows that follow one another, each over its next ``length`` columns: tokens over bytes, groups over tokens."""
         starts = np.concatenate([[0], np.cumsum(lengths)])
-        return cls(starts, np.arange(starts[-1]), int(starts[-1]))
+        return cls(starts, np.arange(starts[-1], dtype=_kind(starts[-1])), int(starts[-1]))
+
+    def rows(self) -> np.ndarray:
+        """The row of each entry."""
+        return np.repeat(np.arange(len(self.starts) - 1, dtype=_kind(self.width)), np.diff(self.starts))
 
     def transposed(self) -> SparseRows:
-        rows = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
-        order = np.argsort(self.columns, kind="stable")
-        return SparseRows(np.concatenate([[0], np.cumsum(np.bincount(self.columns, minlength=self.width))]), rows[order], len(self.starts) - 1)
+        """Counting sort by column; entries of one column stay in the order of their rows."""
+        counts = np.bincount(self.columns, minlength=self.width)
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        rows = self.rows()
+        in_order = len(rows) < 2 or (self.columns[1:] >= self.columns[:-1]).all()
+        return SparseRows(starts, rows if in_order else rows[np.argsort(self.columns, kind="stable")], len(self.starts) - 1)
 
     def times(self, other: SparseRows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Gustavson's row products ``self @ other`` as (row, column, value), in order of row and column.
@@ -61,35 +74,37 @@ class SparseRows:
         come in order here, as both matrices are made of stretches, so equal ones are neighbours and are summed.
         """
         taken = np.diff(other.starts)[self.columns]
-        row = np.repeat(np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts)), taken)
-        first = np.repeat(other.starts[self.columns] - np.concatenate([[0], np.cumsum(taken)[:-1]]), taken) if len(taken) else taken
-        column = other.columns[first + np.arange(len(first))]
+        if (taken == 1).all():  # each byte lies in one token
+            row, column = self.rows(), other.columns[other.starts[self.columns]]
+        else:
+            row = np.repeat(self.rows(), taken)
+            first = np.repeat(other.starts[self.columns] - np.concatenate([[0], np.cumsum(taken)[:-1]]), taken)
+            column = other.columns[first + np.arange(len(first))]
         new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (column[1:] != column[:-1])])) if len(row) else np.empty(0, int)
         return row[new], column[new], np.diff(np.append(new, len(row)))
 
 
 @dataclass
 class Alignment:
-    """Tokens of some documents, one document after the other, and what links them."""
+    """Tokens of some documents, one document after the other, and what links them. ``a_starts`` and ``b_starts`` hold the first token
+    of each group and, last, the number of tokens."""
 
     a_ids: np.ndarray
     b_ids: np.ndarray
-    a_group: np.ndarray
-    b_group: np.ndarray
+    a_starts: np.ndarray
+    b_starts: np.ndarray
     links: tuple[np.ndarray, np.ndarray, np.ndarray]
 
     @classmethod
     def of(cls, a_ids: np.ndarray, b_ids: np.ndarray, a_lengths: np.ndarray, b_lengths: np.ndarray) -> Alignment:
         """Both tokenizers' tokens cover the same bytes; documents end where tokens of both end."""
-        a_ends, b_ends = np.cumsum(a_lengths), np.cumsum(b_lengths)
-        group_ends = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        _, a_last, b_last = np.intersect1d(np.cumsum(a_lengths), np.cumsum(b_lengths), assume_unique=True, return_indices=True)
         links = SparseRows.of_lengths(a_lengths).times(SparseRows.of_lengths(b_lengths).transposed())
-        return cls(a_ids, b_ids, np.searchsorted(group_ends, a_ends), np.searchsorted(group_ends, b_ends), links)
+        return cls(a_ids, b_ids, np.concatenate([[0], a_last + 1]), np.concatenate([[0], b_last + 1]), links)
 
     def shared_group_links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(a token, b token, 1) for all tokens of the two that lie in one group."""
-        groups = int(self.a_group[-1]) + 1 if len(self.a_group) else 0
-        a, b = (SparseRows.of_lengths(np.bincount(g, minlength=groups)) for g in (self.a_group, self.b_group))
+        a, b = (SparseRows.of_lengths(np.diff(starts)) for starts in (self.a_starts, self.b_starts))
         return a.transposed().times(b)
 
     def keys(self) -> np.ndarray:
@@ -100,7 +115,7 @@ class Alignment:
 
 def _tokenized(batches: Iterator[pa.RecordBatch], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     a_tokens, b_tokens = vocabulary("bytes", names[0]), vocabulary("pieces", names[1])
-    for batch, values in steps(batches, "text"):
+    for batch, values in steps(batches, "text", 2 * ALIGNED_BYTES):
         texts = [" " + value.decode("utf-8", "replace") for value in values]
         a_rows, b_rows = [], []
         for text, a, b in zip(texts, a_tokens.encode(texts), b_tokens.encode(texts)):
@@ -126,7 +141,7 @@ def tokenize_both(docs: DataFrame, byte_tokenizer: str = BYTE_TOKENIZER, piece_t
 def _aligned(batches: Iterator[pa.RecordBatch], names: tuple[str, str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Alignment]]:
     """Rows, how many tokens of A and of B each of them has, and the alignment of all of them."""
     a_lengths, b_lengths = vocabulary("bytes", names[0]).lengths, vocabulary("pieces", names[1]).lengths
-    for part, a_rows in steps(batches, "a_ids"):
+    for part, a_rows in steps(batches, "a_ids", ALIGNED_BYTES):
         b_rows = part.column("b_ids").to_pylist()
         a, b = (np.frombuffer(b"".join(rows), "<u2").astype(np.int64) for rows in (a_rows, b_rows))
         sizes = [np.array([len(row) // 2 for row in rows], np.int64) for rows in (a_rows, b_rows)]
@@ -181,17 +196,12 @@ class Decimals:
 
     def groups(self, found: Alignment, a_sizes: np.ndarray, b_sizes: np.ndarray) -> list[bytes]:
         """``a1,a2|b1;a3|b2,b3`` for each row."""
-        n_a, n_b = len(found.a_ids), len(found.b_ids)
-        a_before = np.searchsorted(found.a_group, np.arange(int(found.a_group[-1]) + 2)) if n_a else np.zeros(1, int)
-        b_before = np.searchsorted(found.b_group, np.arange(len(a_before)))
-        codes = np.empty(n_a + n_b, np.int64)
-        a_places = np.arange(n_a) + b_before[found.a_group]
-        b_places = np.arange(n_b) + a_before[found.b_group + 1] if n_b else np.empty(0, int)
-        marks_a, marks_b = np.zeros(n_a, np.int64), np.zeros(n_b, np.int64)
-        marks_a[a_before[1:] - 1] = 1
-        marks_b[b_before[1:] - 1] = 2
-        codes[a_places] = found.a_ids + marks_a * self.size
-        codes[b_places] = found.b_ids + marks_b * self.size
+        in_a, in_b = np.diff(found.a_starts), np.diff(found.b_starts)
+        codes = np.empty(len(found.a_ids) + len(found.b_ids), np.int64)
+        codes[np.arange(len(found.a_ids)) + np.repeat(found.b_starts[:-1], in_a)] = found.a_ids
+        codes[np.arange(len(found.b_ids)) + np.repeat(found.a_starts[1:], in_b)] = found.b_ids
+        codes[found.a_starts[1:] + found.b_starts[:-1] - 1] += self.size  # the last token of A in its group
+        codes[found.a_starts[1:] + found.b_starts[1:] - 1] += 2 * self.size  # the last token of B
         words = list(map(self.table.__getitem__, codes.tolist()))
         ends = np.cumsum(a_sizes + b_sizes).tolist()
         return [b"".join(words[start:end])[:-1] for start, end in zip([0, *ends], ends)]
@@ -206,8 +216,8 @@ def _summed(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 def _description(part: pa.RecordBatch, a_sizes: np.ndarray, b_sizes: np.ndarray, found: Alignment, decimals: Decimals) -> dict[str, pa.Array]:
     rows = part.num_rows
     a_row = np.repeat(np.arange(rows), a_sizes)
-    group_row = a_row[np.flatnonzero(np.diff(found.a_group, prepend=-1))]
-    in_both = np.bincount(found.a_group) * np.bincount(found.b_group)
+    group_row = a_row[found.a_starts[:-1]]
+    in_both = np.diff(found.a_starts) * np.diff(found.b_starts)
     digests = [hashlib.sha256(text).hexdigest() if text else "" for text in decimals.groups(found, a_sizes, b_sizes)]
     counts = {"n_a": a_sizes, "n_b": b_sizes, "n_groups": np.bincount(group_row, minlength=rows),
               "n_links": np.bincount(a_row[found.links[0]], minlength=rows), "n_group_links": _summed(in_both, group_row, rows)}

@@ -82,14 +82,14 @@ def texts(column: pa.Array) -> list[bytes]:
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with at most ``STEP_BYTES`` of text each (or one longer text)."""
+def steps(batches: Iterator[pa.RecordBatch], column: str, most: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with at most ``most`` bytes of text each (or one longer text)."""
     for batch in batches:
         values = batch.column(column)
         sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
         for row, size in enumerate(sizes):
-            if row > start and total + size > STEP_BYTES:
+            if row > start and total + size > most:
                 part = batch.slice(start, row - start)
                 yield part, texts(part.column(column))
                 start, total = row, 0

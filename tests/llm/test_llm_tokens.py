@@ -221,5 +221,5 @@ def test_links_as_rows(odd):
 def test_documents_never_share_a_group():
     a = b = np.array([3, 4, 5], np.int64)
     found = Alignment.of(a, b, np.array([2, 1, 3]), np.array([1, 2, 3]))
-    assert found.a_group.tolist() == [0, 0, 1] and found.b_group.tolist() == [0, 0, 1]
+    assert found.a_starts.tolist() == [0, 2, 3] and found.b_starts.tolist() == [0, 2, 3]
     assert [x.tolist() for x in found.links] == [[0, 0, 1, 2], [0, 1, 1, 2], [1, 1, 1, 3]]
