@@ -743,3 +743,8 @@ ORACLES |= {
     "incremental_claims_mart": ORACLES["mart_claims_summary"],
     "incremental_overview_trend": ORACLES["overview_trend"],
 }
+ORACLES |= {
+    "register_days": ORACLES["crawl_catalog"],
+    "dq_report_counted": ORACLES["dq_report"],
+    **{f"read_raw_csv_{t}": over(doubles(_names(t) + ["false as corrupt"], f"typed_{t}"), f"typed_{t}") for t in ("patients", "conditions", "medications")},
+}

@@ -53,13 +53,48 @@ def _result(table: str, column: str, test: str, failing: Column) -> Column:
     )
 
 
-def table_checks(df: DataFrame, table: str) -> DataFrame:
+def watched_counters(table: str, key: str | None = None) -> dict[str, Column]:
+    """What a write of the table's rows can count in passing: NULLs per checked column, rows with an unlisted value.
+
+    With ``key`` the rows are those of the source of a staging model, which takes only rows that have the key.
+    """
+    _, present, accepted = DECLARED_CHECKS[table]
+    counted = F.col(key).isNotNull() if key else F.lit(True)
+    nulls = {f"nulls_{c}": F.count_if(counted & F.col(c).isNull()) for c in present}
+    return nulls | {f"unlisted_{c}": F.count_if(counted & ~F.col(c).isin(list(v))) for c, v in accepted.items()}
+
+
+def _repeated(df: DataFrame, key: str) -> DataFrame:
+    return dq_unique(df, key).agg(F.count("*").alias("repeated"))
+
+
+def _from_counters(df: DataFrame, table: str, counters: dict[str, int]) -> DataFrame:
+    """The checks of a table whose write has counted: only uniqueness scans it again, and what has unlisted values."""
+    unique, present, accepted = DECLARED_CHECKS[table]
+    known = [_result(table, c, "not_null", F.lit(counters[f"nulls_{c}"]).cast("bigint")) for c in present]
+    known += [_result(table, c, "accepted_values", F.lit(0).cast("bigint")) for c in accepted if not counters[f"unlisted_{c}"]]
+    report = df.sparkSession.range(1).select(F.inline(F.array(*known)))
+    for key in unique:
+        report = report.unionByName(_repeated(df, key).select(F.inline(F.array(_result(table, key, "unique", F.col("repeated"))))))
+    return reduce(DataFrame.unionByName, [report, *[
+        _unlisted(df, table, c, accepted[c]) for c in accepted if counters[f"unlisted_{c}"]]])
+
+
+def _unlisted(df: DataFrame, table: str, column: str, values: tuple[str, ...]) -> DataFrame:
+    unlisted = dq_accepted_values(df, column, values).agg(F.count("*").alias("unlisted"))
+    return unlisted.select(F.inline(F.array(_result(table, column, "accepted_values", F.col("unlisted")))))
+
+
+def table_checks(df: DataFrame, table: str, counters: dict[str, int] | None = None) -> DataFrame:
     """One row per declared check of a table.
 
     A failing count is the number of repeated values, NULL rows or distinct unlisted values.
     Uniqueness and presence share one scan: rows are first counted per key, combined on the
-    map side, and the counters then add up. Accepted values scan just their own column.
+    map side, and the counters then add up. Accepted values scan just their own column. With the ``counters``
+    of the table's write (``watched_counters``) only uniqueness needs a scan.
     """
+    if counters is not None:
+        return _from_counters(df, table, counters)
     unique, present, accepted = DECLARED_CHECKS[table]
     nulls = [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in present]
     results = []
@@ -67,24 +102,21 @@ def table_checks(df: DataFrame, table: str) -> DataFrame:
         (key,) = unique
         per_key = df.groupBy(key).agg(F.count("*").alias("copies"), *nulls)
         repeated = F.count_if(F.col(key).isNotNull() & (F.col("copies") > 1))
-        counters = per_key.agg(
+        counts = per_key.agg(
             repeated.alias("repeated"),
             *[F.coalesce(F.sum(f"nulls_{c}"), F.lit(0)).alias(f"nulls_{c}") for c in present])
         results.append(_result(table, key, "unique", F.col("repeated")))
     else:
-        counters = df.agg(*nulls)
+        counts = df.agg(*nulls)
     results += [_result(table, c, "not_null", F.col(f"nulls_{c}")) for c in present]
-    report = counters.select(F.inline(F.array(*results)))
-    for column, values in accepted.items():
-        unlisted = dq_accepted_values(df, column, values).agg(F.count("*").alias("unlisted"))
-        report = report.unionByName(unlisted.select(
-            F.inline(F.array(_result(table, column, "accepted_values", F.col("unlisted"))))))
-    return report
+    report = counts.select(F.inline(F.array(*results)))
+    return reduce(DataFrame.unionByName, [report, *[_unlisted(df, table, c, values) for c, values in accepted.items()]])
 
 
-def dq_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """Every declared check over the staging models and marts."""
-    return reduce(DataFrame.unionByName, [table_checks(tables[name], name) for name in DECLARED_CHECKS])
+def dq_report(tables: dict[str, DataFrame], watched: dict[str, dict[str, int]] | None = None) -> DataFrame:
+    """Every declared check over the staging models and marts; ``watched`` holds the counters of those whose write has counted."""
+    return reduce(DataFrame.unionByName, [
+        table_checks(tables[name], name, (watched or {}).get(name)) for name in DECLARED_CHECKS])
 
 
 def validate_raw(spark: SparkSession, raw: dict[str, DataFrame | None]) -> DataFrame:

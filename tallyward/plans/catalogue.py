@@ -23,7 +23,7 @@ from tallyward.operators.filters import eq_filters, in_filters, known
 from tallyward.operators.staging import STAGING_MODELS
 from tallyward.operators.transforms import TRANSFORMS, typed
 from tallyward.plans.lake_marts import LakeMarts
-from tallyward.plans.pipeline import Zones, run_pipeline, run_summary, transform_day
+from tallyward.plans.pipeline import Zones, checked_tables, run_pipeline, run_summary, transform_day
 from tallyward.plans.workspace import Workspace
 from tallyward.schemas import CORE_TABLES, GENDERS, LANDED_TABLES
 from tallyward.sources import manifest as mf
@@ -118,12 +118,12 @@ def discover_csv(ws: Workspace) -> DataFrame:
         for table, paths in found.items() if paths])
 
 
-def read_raw_csv(ws: Workspace) -> DataFrame:
+def read_raw_csv(ws: Workspace, table: str = "encounters") -> DataFrame:
     root = ws.once("sources", lambda: _write_sources(ws, ws.scratch("source")))
-    paths = z.discover_csv(ws.spark, root, "encounters")
-    raw = z.read_raw_csv(ws.spark, "encounters", *paths, corrupt_column="_corrupt_record")
+    paths = z.discover_csv(ws.spark, root, table)
+    raw = z.read_raw_csv(ws.spark, table, *paths, corrupt_column="_corrupt_record")
     clean = raw.withColumn("corrupt", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
-    return as_double(typed(clean, "encounters", keep=("corrupt",)))
+    return as_double(typed(clean, table, keep=("corrupt",)))
 
 
 def land_raw(ws: Workspace) -> DataFrame:
@@ -218,6 +218,22 @@ def crawl_catalog(ws: Workspace) -> DataFrame:
         .select(F.lit(t).alias("table_name"), "year", "month", "day", "n_rows") for t in tables])
 
 
+def register_days(ws: Workspace) -> DataFrame:
+    """The landed day, registered without a listing of the zone."""
+    def register() -> str:
+        zones, _ = _landed(ws)
+        database = _database()
+        ws.databases.append(database)
+        for table in CORE_TABLES:
+            w.register_days(ws.spark, database, table, zones.raw, [ws.as_of], "csv")
+        return database
+
+    database = ws.once("register", register)
+    return _union([
+        w.source(ws.spark, database, t).groupBy("year", "month", "day").agg(F.count("*").alias("n_rows"))
+        .select(F.lit(t).alias("table_name"), "year", "month", "day", "n_rows") for t in CORE_TABLES])
+
+
 def source_ref(ws: Workspace) -> DataFrame:
     zones, _ = _loaded(ws)
     models = w.create_staging_views(ws.spark, zones.database)
@@ -303,6 +319,21 @@ def dq_report(ws: Workspace) -> DataFrame:
     return q.dq_report(tables)
 
 
+def counted_report(ws: Workspace) -> DataFrame:
+    """The declared checks, from what loading and modelling the day have counted."""
+    def load() -> tuple[str, dict[str, dict[str, int]]]:
+        zones, _ = _transformed(ws)
+        database, watched = ws.zones(_database()).database, {}
+        w.load_warehouse(ws.spark, zones.processed, database, CORE_TABLES, ws.as_of, zones.warehouse, watched)
+        w.create_staging_views(ws.spark, database)
+        w.materialize_marts(ws.spark, database, zones.warehouse, watched=watched)
+        return database, watched
+
+    database, watched = ws.once("counted", load)
+    w.create_staging_views(ws.spark, database)
+    return q.dq_report(checked_tables(ws.spark, database), watched)
+
+
 def validate_raw(ws: Workspace) -> DataFrame:
     return q.validate_raw(ws.spark, {t: ws.raw(t) if t in CORE_TABLES else None for t in LANDED_TABLES})
 
@@ -466,9 +497,11 @@ QUERIES: dict[str, Query] = {
     "read_processed_partition": read_processed_partition,
     "load_warehouse": load_warehouse,
     "crawl_catalog": crawl_catalog,
+    "register_days": register_days,
     "source_ref": source_ref,
     "materialize": materialize,
     "processed_sizes": processed_sizes,
+    **{f"read_raw_csv_{t}": (lambda ws, t=t: read_raw_csv(ws, t)) for t in ("patients", "conditions", "medications")},
     **{f"read_raw_partition_{t}": (lambda ws, t=t: read_raw_partition(ws, t)) for t in ("patients", "encounters", "medications")},
     **{f"read_processed_partition_{t}": (lambda ws, t=t: read_processed_partition(ws, t)) for t in ("patients", "conditions", "medications")},
     **{f"load_warehouse_{t}": (lambda ws, t=t: loaded_table(ws, t)) for t in CORE_TABLES},
@@ -571,6 +604,7 @@ QUERIES: dict[str, Query] = {
         ws.staged("stg_encounters"), "encounter_id", "patient_id", "total_claim_cost"),
     "dq_accepted_values": lambda ws: q.dq_accepted_values(ws.staged("stg_patients"), "gender", GENDERS),
     "dq_report": dq_report,
+    "dq_report_counted": counted_report,
     "raw_partition_present": raw_partition_present,
     "all_raw_partitions_present": all_raw_partitions_present,
     "run_summary": run_summary_record,

@@ -6,9 +6,9 @@ from pyspark.sql.types import DecimalType
 
 MONEY = DecimalType(18, 2)
 
-# Tables the landing step looks for; the last two are landed but never transformed.
-LANDED_TABLES = ("patients", "encounters", "conditions", "medications", "procedures", "observations")
-CORE_TABLES = LANDED_TABLES[:4]
+CORE_TABLES = ("patients", "encounters", "conditions", "medications")
+# Tables the landing step looks for; besides the core ones two that are landed but never transformed.
+LANDED_TABLES = (*CORE_TABLES, "procedures", "observations")
 
 # Raw CSV header -> (processed column, type). Ids, ZIP and clinical codes stay text so that
 # leading zeros and long codes survive.

@@ -34,6 +34,12 @@ class Store:
         """Names directly below a folder; none if it is absent."""
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self.place(path))) if self.exists(path) else []
 
+    def entries(self, path: str) -> list[tuple[str, bool]]:
+        """Names directly below a folder and whether they are folders; none if it is absent."""
+        if not self.exists(path):
+            return []
+        return sorted((s.getPath().getName(), s.isDirectory()) for s in self._fs.listStatus(self.place(path)))
+
     def move(self, source: str, target: str) -> None:
         """Nothing happens if somebody else has just made the same move."""
         self._fs.mkdirs(self.place(target).getParent())

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.operators.marts import claims_mart, in_date_order, in_patient_order, patient_mart
+from tallyward.operators.quality import watched_counters
 from tallyward.operators.staging import STAGING_MODELS, stage
 from tallyward.sources.swap import Store
 from tallyward.sources.zones import CSV_OPTIONS, day_key, read_processed_partition
@@ -58,9 +59,10 @@ def _write_version(df: DataFrame, database: str, table: str, place: str, buckets
 
 
 def replace_table(
-    df: DataFrame, database: str, table: str, root: str | None = None, buckets: tuple[int, str] | None = None
+    df: DataFrame, database: str, table: str, root: str | None = None, buckets: tuple[int, str] | None = None,
+    watched: Mapping[str, Column] | None = None, counters: dict[str, int] | None = None,
 ) -> int:
-    """Replace a warehouse table and return its row count, taken while writing.
+    """Replace a warehouse table and return its row count, taken while writing; ``watched`` aggregates go to ``counters`` likewise.
 
     The rows are written to a folder of their own, then the table is pointed there: a write that fails leaves the table as it
     is, and who has begun to read it reads the old rows to the end, as the version before stays until the
@@ -72,7 +74,8 @@ def replace_table(
     place = f"{base}/{VERSION}{uuid.uuid4().hex[:12]}"
     store = Store(spark, base)
     try:
-        _write_version(df.observe(written, F.count(F.lit(1)).alias("rows")), database, table, place, buckets)
+        aggregates = [value.alias(counter) for counter, value in (watched or {}).items()]
+        _write_version(df.observe(written, F.count(F.lit(1)).alias("rows"), *aggregates), database, table, place, buckets)
     except BaseException:
         store.remove(place)
         raise
@@ -100,20 +103,29 @@ def replace_table(
     for old in store.names(base):
         if old.startswith(VERSION) and old not in kept:
             store.remove(f"{base}/{old}")
+    if counters is not None:
+        counters |= {counter: written.get[counter] for counter in watched or {}}
     return written.get["rows"]
 
 
 def load_warehouse(
     spark: SparkSession, processed_root: str, database: str, tables: Iterable[str], run_date: dt.date,
-    warehouse_root: str | None = None,
+    warehouse_root: str | None = None, watched: dict[str, dict[str, int]] | None = None,
 ) -> dict[str, int]:
-    """Replace the warehouse tables with one processed day each; rows per table."""
+    """Replace the warehouse tables with one processed day each; rows per table.
+
+    With ``watched`` the write also counts what the checks of the staging models ask for, into a dictionary per model.
+    """
     _create_database(spark, database)
-    return {
-        table: replace_table(
-            read_processed_partition(spark, processed_root, table, run_date), database, table, warehouse_root)
-        for table in tables
-    }
+    counts = {}
+    for table in tables:
+        day = read_processed_partition(spark, processed_root, table, run_date)
+        aggregates = watched_counters(f"stg_{table}", STAGING_MODELS[f"stg_{table}"][1]) if watched is not None else None
+        counters: dict[str, int] = {}
+        counts[table] = replace_table(day, database, table, warehouse_root, watched=aggregates, counters=counters)
+        if watched is not None:
+            watched[f"stg_{table}"] = counters
+    return counts
 
 
 def source(spark: SparkSession, database: str, table: str) -> DataFrame:
@@ -133,9 +145,9 @@ def create_staging_views(spark: SparkSession, database: str) -> tuple[str, ...]:
 
 def materialize_marts(
     spark: SparkSession, database: str, warehouse_root: str | None = None, patient_buckets: int | None = None,
-    marts: Iterable[str] = MARTS,
+    marts: Iterable[str] = MARTS, watched: dict[str, dict[str, int]] | None = None,
 ) -> dict[str, int]:
-    """Build the marts from the staging views into ``<database>_marts``; rows per mart.
+    """Build the marts from the staging views into ``<database>_marts``; rows per mart, and ``watched`` as in ``load_warehouse``.
 
     The claims mart is written in date order, the patient mart in order of its key, in as many files as hold rows.
     With ``patient_buckets``, chosen by the caller for the size of the mart, the patient mart is bucketed on its
@@ -152,7 +164,10 @@ def materialize_marts(
             mart = patient_mart(*[ref(spark, f"stg_{t}") for t in ("patients", "encounters", "conditions", "medications")])
             buckets = (patient_buckets, "patient_id") if patient_buckets else None
             mart = mart if buckets else in_patient_order(mart)
-        counts[name] = replace_table(mart, place, name, warehouse_root, buckets)
+        counters: dict[str, int] = {}
+        counts[name] = replace_table(mart, place, name, warehouse_root, buckets, watched_counters(name), counters)
+        if watched is not None:
+            watched[name] = counters
     return counts
 
 

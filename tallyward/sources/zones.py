@@ -18,6 +18,7 @@ from tallyward.sources.swap import COMMITTED, Store, finish_swaps, replace_folde
 # Quotes inside a quoted field are doubled, as spreadsheet and pandas exports write them.
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
 _LISTING = "path STRING, length BIGINT"
+_NO_PATTERN = re.compile(r"[\\*?\[\]{}]")
 
 
 class Snapshot(NamedTuple):
@@ -37,10 +38,31 @@ def _missing_path(error: AnalysisException) -> bool:
     return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
-def objects_under(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+# Prefixes from which on Spark lists folders by a job of its own, one task each; and how deep they are looked for.
+_LISTED_IN_TASKS, _PREFIX_DEPTH = 33, 3
+
+
+def listing_prefixes(spark: SparkSession, root: str) -> list[str]:
+    """Folders and files that together hold all below a root, enough of them that Spark lists them in tasks, one for each.
+
+    The driver lists the upper levels only, until there are enough folders. Hidden names are left out, as Spark does.
+    """
+    store, folders, files = Store(spark, root), [root], []
+    for _ in range(_PREFIX_DEPTH):
+        if not 0 < len(folders) < _LISTED_IN_TASKS:
+            break
+        below = [(f"{folder}/{name}", is_folder) for folder in folders for name, is_folder in store.entries(folder) if name[0] not in "_."]
+        folders = [path for path, is_folder in below if is_folder]
+        files += [path for path, is_folder in below if not is_folder]
+    return folders + files
+
+
+def objects_under(spark: SparkSession, path: str, names: str = "*", prefixes: list[str] | None = None) -> DataFrame:
     """Path and size of every object below a path whose name fits, without opening any; empty if it is absent."""
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(path)
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names)
+        # Names of listed folders are no patterns.
+        files = reader.load([_NO_PATTERN.sub(r"\\\g<0>", p) for p in prefixes] if prefixes else path)
         return files.select("path", "length")
     except AnalysisException as error:
         if not _missing_path(error):
@@ -54,10 +76,11 @@ def _any_case(text: str) -> str:
 
 def discover_tables(spark: SparkSession, root: str, tables: Iterable[str]) -> dict[str, list[str]]:
     """Every ``<table>.csv`` below a root, in any letter case; a directory of that name counts
-    as one file. Only objects whose own or parent name is a CSV name are looked at, and only the matching names come back."""
+    as one file. Folders are listed by tasks, one for each prefix (``listing_prefixes``). Only objects whose own or parent name is a CSV name
+    are looked at, and only the matching names come back."""
     tables = list(tables)
     pattern = rf"(?i)^(.*/({'|'.join(map(re.escape, tables))})\.csv)(?:/.*)?$"
-    hits = objects_under(spark, root, f"*{_any_case('.csv')}*").select(
+    hits = objects_under(spark, root, f"*{_any_case('.csv')}*", listing_prefixes(spark, root)).select(
         F.regexp_extract("path", pattern, 1).alias("hit"), F.lower(F.regexp_extract("path", pattern, 2)).alias("stem"))
     found = hits.where(F.col("hit") != "").distinct().collect()
     return {table: sorted(row.hit for row in found if row.stem == table.lower()) for table in tables}
