@@ -12,17 +12,18 @@ Documents without licence vocabulary cost one regular expression and are never s
 from __future__ import annotations
 
 import re
-from collections import Counter
-from math import log
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from math import floor, log, sqrt
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm.storage import written
+from tallyward.llm.storage import map_arrow, ship, steps, written
 
 SIMILARITY = 0.6
-# Share of a document's characters in licence lines from which it counts as a licence file.
-FILE_SHARE = 0.3
 # Longer lines are compared by pieces of this many characters.
 PIECE = 2000
 
@@ -89,6 +90,14 @@ HEADERS = {
     "BSD-2-Clause": [_BSD, "SPDX-License-Identifier: BSD-2-Clause", "Licensed under the BSD 2-Clause License", "License: BSD-2-Clause"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
                 "file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0", "License: MPL-2.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+                  "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+                  "non-commercial, and by any means.", "SPDX-License-Identifier: Unlicense", "License: Unlicense"],
+    "CC0-1.0": ["To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the "
+                "public domain worldwide. This software is distributed without any warranty.", "SPDX-License-Identifier: CC0-1.0", "License: CC0 1.0"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+                "SPDX-License-Identifier: EPL-2.0", "License: EPL-2.0"],
+    "Artistic-2.0": ["Licensed under the Artistic License 2.0", "SPDX-License-Identifier: Artistic-2.0", "License: Artistic-2.0"],
     "CC-BY-4.0": ["CC BY 4.0"], "CC-BY-SA-4.0": ["CC BY-SA 4.0"], "CC-BY-NC-4.0": ["CC BY-NC 4.0"],
 }
 # Shorter templates are compared with whole lines only: in running text such a mark is a mention.
@@ -97,11 +106,13 @@ SHORTEST_WINDOW = 4
 SHORT_LINE = 10
 # A document of which such a share lies in one match with a template of at least so many words is a licence text.
 WHOLE_TEXT, WHOLE_TEXT_WORDS = 0.8, 60
-_ANCHORS = {"license", "licence", "licensed", "licenced", "copyright", "reserved", "permission", "redistribution", "creative", "spdx", "gnu", "mozilla",
+# Scores of passages that one Python worker keeps.
+KEPT_SCORES = 200_000
+_ANCHORS = {"unencumbered", "license", "licence", "licensed", "licenced", "copyright", "reserved", "permission", "redistribution", "creative", "spdx", "gnu", "mozilla",
             "apache", "proprietary", "cc", "mpl", *(a + v for a in ("gpl", "lgpl", "agpl") for v in ("", "v2", "v2.1", "v3"))}
 _VOCABULARY = (r"(?i)licen[sc]e|all rights reserved|copyright|creative commons|free software|permission is hereby|"
                r"redistribution and use|proprietary and confidential")
-_HINT = _VOCABULARY + r"|\b[al]?gpl|\bcc[ -]by\b|mozilla public|permission to use|free software foundation"
+_HINT = _VOCABULARY + r"|\b[al]?gpl|\bcc[ -]by\b|mozilla public|permission to use|free software foundation|unencumbered software"
 # A run of letters and digits, with decimals as in version numbers.
 _WORD = r"[\p{L}\p{N}]+(?:\.[0-9]+)*"
 _FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|unlicense|notice)([.-][^/]*)?$"
@@ -162,74 +173,116 @@ def _split(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower())
 
 
-def _passage_templates(spark: SparkSession) -> tuple[DataFrame, DataFrame, float]:
-    """(word, template, licence, n_words, at, mass, total) with one row per anchor word of a template, (template, term, idf, v), and the idf of other terms.
-
-    ``mass`` maps a word to the squared weights of it and of the pairs it begins, ``total`` is their sum.
-    """
-    texts = [(f"{name}#{part}{i}", name, _split(text)) for part, held in (("t", TEMPLATES), ("h", HEADERS)) for name, all_ in held.items() for i, text in enumerate(all_)]
-    terms = {key: Counter([*words, *map(" ".join, zip(words, words[1:]))]) for key, _, words in texts}
-    frequency = Counter(term for counts in terms.values() for term in counts)
-    idf = {term: log((1.0 + len(texts)) / (1.0 + n)) + 1.0 for term, n in frequency.items()}
-    anchors, weights = [], []
-    for key, name, words in texts:
-        mass = Counter()
-        for term, n in terms[key].items():
-            mass[term.split(" ")[0]] += (n * idf[term]) ** 2
-            weights.append((key, term, n * idf[term]))
-        anchors += [(word, key, name, len(words), at, dict(mass), sum(mass.values())) for at, word in enumerate(words) if word in _ANCHORS]
-    return (spark.createDataFrame(anchors, "word string, template string, licence string, n_words int, at int, mass map<string,double>, total double"),
-            spark.createDataFrame([(key, term, idf[term], v) for key, term, v in weights], "template string, term string, idf double, v double"),
-            log(1.0 + len(texts)) + 1.0)
-
-
-def _passages(docs: DataFrame, anchors: DataFrame, similarity: float) -> DataFrame:
-    """(text_key, n_text, template, licence, n_words, total, line): the passages of each text that a template may fit.
-
-    By the Cauchy-Schwarz inequality a cosine is at most the root of the share that the common words have in the squared
-    weights of the template, so nothing that is similar enough is left out.
-    """
-    reach = max(len(_split(text)) for held in (TEMPLATES, HEADERS) for texts in held.values() for text in texts)
-    words = lambda text: F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
-    spots = lambda w: F.filter(F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("i"))), lambda x: x["word"].isin(*sorted(_ANCHORS)))
-    texts = docs.where(F.col("text").rlike(_HINT)).select(F.sha2("text", 256).alias("text_key"), "text", words(F.col("text")).alias("w"))
-    first = lambda x: F.greatest(x["i"] + 1 - reach, F.lit(1))
-    around = texts.select("text_key", F.size("w").alias("n_text"), F.explode(F.transform(spots(F.col("w")), lambda x: F.struct(
-        x["word"].alias("word"), (x["i"] + 1 - first(x)).alias("here"), F.slice("w", first(x), F.lit(2 * reach)).alias("near")))).alias("spot"))
-    begin = F.col("here") - F.col("at")
-    windows = (around.select("text_key", "n_text", "spot.*").join(F.broadcast(anchors.where(F.col("n_words") >= SHORTEST_WINDOW)), "word")
-               .withColumn("passage", F.slice("near", F.greatest(begin, F.lit(0)) + 1, F.col("n_words") + F.least(begin, F.lit(0)))))
-    short = F.filter(F.transform(F.filter(F.split("text", r"\r\n|\n|\r"), lambda line: line.rlike(_HINT)), words), lambda w: F.size(w) <= SHORT_LINE)
-    lines = texts.select("text_key", F.size("w").alias("n_text"), F.explode(short).alias("passage"))
-    whole = lines.withColumn("word", F.explode(F.array_distinct("passage"))).join(F.broadcast(anchors), "word")
-    kept = ["text_key", "n_text", "template", "licence", "n_words", "total", "passage", "mass"]
-    common = F.aggregate(F.array_intersect("passage", F.map_keys("mass")), F.lit(0.0), lambda sum_, word: sum_ + F.element_at("mass", word))
-    return (windows.select(*kept).unionAll(whole.select(*kept)).where(common >= (similarity ** 2 - 1e-9) * F.col("total"))
-            .select(*kept[:6], F.array_join("passage", " ").alias("line")).distinct())
+_WORDS = regex.compile(_WORD)
+_HINTED = re.compile(_HINT)
+_LINES = re.compile("\r\n|\n|\r")
+
+
+class PassageTemplates:
+    """All templates as weighted terms, found by the licence words in them."""
+
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+        texts = [(name, _split(text)) for held in (TEMPLATES, HEADERS) for name, all_ in held.items() for text in all_]
+        counts = [self._terms(words) for _, words in texts]
+        frequency = Counter(term for count in counts for term in count)
+        self.idf = {term: log((1.0 + len(texts)) / (1.0 + n)) + 1.0 for term, n in frequency.items()}
+        self.rare = log(1.0 + len(texts)) + 1.0
+        self.names = [name for name, _ in texts]
+        self.sizes = [len(words) for _, words in texts]
+        self.weights = [{term: n * self.idf[term] for term, n in count.items()} for count in counts]
+        self.totals = [sum(v * v for v in weights.values()) for weights in self.weights]
+        # The squared weights of a word and of the pairs it begins.
+        self.mass: list[dict[str, float]] = []
+        self.anchored: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for number, (_, words) in enumerate(texts):
+            mass: dict[str, float] = defaultdict(float)
+            for term, weight in self.weights[number].items():
+                mass[term.split(" ")[0]] += weight * weight
+            self.mass.append(dict(mass))
+            for at, word in enumerate(words):
+                if word in _ANCHORS:
+                    self.anchored[word].append((number, at))
+        self.known: dict[tuple[int, tuple[str, ...]], float] = {}
+
+    @staticmethod
+    def _terms(words: list[str] | tuple[str, ...]) -> Counter:
+        return Counter([*words, *map(" ".join, zip(words, words[1:]))])
+
+    def passages(self, text: str, words: list[str]) -> set[tuple[int, tuple[str, ...]]]:
+        """(template, words) of the windows that a template's licence words lay on the text, and of its short lines."""
+        found = set()
+        for i, word in enumerate(words):
+            for number, at in self.anchored.get(word, ()):
+                if self.sizes[number] >= SHORTEST_WINDOW:
+                    found.add((number, tuple(words[max(i - at, 0):i - at + self.sizes[number]])))
+        for line in set(_LINES.split(text)):
+            if _HINTED.search(line):
+                own = _WORDS.findall(line.lower())
+                if len(own) <= SHORT_LINE:
+                    found |= {(number, tuple(own)) for word in set(own) for number, _ in self.anchored.get(word, ())}
+        return found
+
+    def score(self, number: int, passage: tuple[str, ...]) -> float:
+        """Cosine of passage and template, rounded; 0 where it cannot be similar enough.
+
+        By the Cauchy-Schwarz inequality a cosine is at most the root of the share that the common words have in the squared
+        weights of the template, so nothing that is similar enough is left out.
+        """
+        key = (number, passage)
+        if key not in self.known:
+            if len(self.known) >= KEPT_SCORES:
+                self.known.clear()
+            mass, total = self.mass[number], self.totals[number]
+            score = 0.0
+            if sum(mass.get(word, 0.0) for word in set(passage)) >= (self.similarity ** 2 - 1e-9) * total:
+                weights = self.weights[number]
+                own = {term: n * self.idf.get(term, self.rare) for term, n in self._terms(passage).items()}
+                dot = sum(v * weights.get(term, 0.0) for term, v in own.items())
+                score = floor(dot / sqrt(sum(v * v for v in own.values()) * total) * 1e9 + 0.5) / 1e9
+            self.known[key] = score
+        return self.known[key]
+
+    def best(self, text: str) -> tuple[str, float, bool] | None:
+        """(licence, score, whole) of the template that explains most of a passage of the text.
+
+        Of the templates that are similar enough the one with the largest product of cosine and length of its vector wins, so a
+        header outweighs a shorter notice inside it; a licence outweighs a reservation of rights. ``whole``: the passage is
+        nearly the whole text and a licence text.
+        """
+        words = _WORDS.findall(text.lower())
+        ranked = []
+        for number, passage in self.passages(text, words):
+            score = self.score(number, passage)
+            if score >= self.similarity:
+                whole = self.sizes[number] >= WHOLE_TEXT_WORDS and len(passage) >= WHOLE_TEXT * len(words)
+                ranked.append((self.names[number] == "Proprietary", -round(score * sqrt(self.totals[number]), 6), self.names[number], -score, not whole))
+        if not ranked:
+            return None
+        _, _, name, unlike, part = min(ranked)
+        return name, -unlike, not part
+
+
+def _best_passages(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    templates = PassageTemplates(similarity)
+    for batch, values in steps(batches, "text"):
+        found = [(key, *best) for key, value in zip(batch.column("text_key").to_pylist(), values)
+                 if (best := templates.best(value.decode("utf-8", "replace")))]
+        columns = list(zip(*found)) if found else [[], [], [], []]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.bool_()))],
+            ["text_key", "passage_licence", "passage_score", "whole"])
 
 
 def passage_licences(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(text_key, passage_licence, passage_score, whole): the template that explains most of a passage of the text.
+    """(text_key, passage_licence, passage_score, whole) for each different text that has one (``PassageTemplates.best``).
 
-    Of the templates that are similar enough the one with the largest product of cosine and length of its vector wins, so a header
-    outweighs a shorter notice inside it; a licence outweighs a reservation of rights. ``whole``: the passage is nearly the whole text and a licence text.
+    ``docs`` has text and text_key. Texts are read where they lie; one short row for each that has a licence is shuffled.
     """
-    anchors, weights, rare = _passage_templates(docs.sparkSession)
-    found = written(_passages(docs, anchors, similarity), "passages")
-    idf = weights.select("term", "idf").distinct()
-    counted = written(_counts(found.select("line").distinct(), ["line"]).join(F.broadcast(idf), "term", "left").select(
-        "line", "term", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("w")), "passage-terms")
-    norms = counted.groupBy("line").agg(F.sum(F.col("w") * F.col("w")).alias("square"))
-    pairs = found.select("template", "line").distinct()
-    dots = (counted.join(F.broadcast(weights.select("template", "term", "v")), "term").groupBy("line", "template")
-            .agg(F.sum(F.col("w") * F.col("v")).alias("dot")).join(pairs, ["line", "template"]).join(norms, "line"))
-    scored = found.join(dots, ["line", "template"]).withColumn("score", F.round(F.col("dot") / F.sqrt(F.col("square") * F.col("total")), 9)).where(
-        F.col("score") >= similarity)
-    whole = (F.col("n_words") >= WHOLE_TEXT_WORDS) & (F.size(F.split("line", " ")) >= WHOLE_TEXT * F.col("n_text"))
-    best = scored.groupBy("text_key").agg(F.min(F.struct(
-        (F.col("licence") == "Proprietary").alias("reserved"), (-F.round(F.col("score") * F.sqrt("total"), 6)).alias("least"), "licence",
-        (-F.col("score")).alias("unlike"), (~whole).alias("part"))).alias("best"))
-    return best.select("text_key", F.col("best.licence").alias("passage_licence"), (-F.col("best.unlike")).alias("passage_score"), (~F.col("best.part")).alias("whole"))
+    ship(docs.sparkSession)
+    found = map_arrow(docs.select("text_key", "text"), lambda batches: _best_passages(batches, similarity),
+                      "text_key STRING, passage_licence STRING, passage_score DOUBLE, whole BOOLEAN")
+    return found.distinct()
 
 
 _DIRECTORY = "/?[^/]*$"
@@ -241,7 +294,7 @@ def _above(directory: str) -> Column:
     return F.transform(F.sequence(F.size(names), F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(names, F.lit(1), n), "/"))
 
 
-def scan_licences(docs: DataFrame, path: Column, similarity: float = SIMILARITY, file_share: float = FILE_SHARE) -> DataFrame:
+def scan_licences(docs: DataFrame, path: Column, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, path, licence, score, how (own, inherited or none), from_directory.
 
     ``licence`` is that of the document's own passage that explains most, else of its most similar line, else the one its nearest ancestor directory has from
@@ -254,22 +307,17 @@ def scan_licences(docs: DataFrame, path: Column, similarity: float = SIMILARITY,
     known = written(line_licences(licence_lines(hinted), similarity), "lines")
     named_file = F.col("path").rlike(_FILE_NAME)
     # Rows are found again by (path, text): equal ones get equal answers.
-    suspects = hinted.where(F.col("text").rlike(_VOCABULARY)).select(
-        "path", "text_key", F.length("text").alias("size"), F.explode(_candidate_lines()).alias("line"))
-    hits = written(suspects.join(known, "line"), "hits")
-    once = hits.groupBy("path", "text_key", "line").agg(
-        F.min("licence").alias("licence"), F.min("score").alias("score"), F.min("size").alias("size"))
-    own = once.groupBy("path", "text_key").agg(
-        F.min(F.struct((-F.col("score")).alias("least"), "licence")).alias("best"), (F.sum(F.length("line")) / F.min("size")).alias("share"))
-    of_lines = own.select("path", "text_key", F.col("best.licence").alias("line_own"), (-F.col("best.least")).alias("line_score"), "share")
+    suspects = hinted.where(F.col("text").rlike(_VOCABULARY)).select("path", "text_key", F.explode(_candidate_lines()).alias("line"))
+    own = suspects.join(known, "line").groupBy("path", "text_key").agg(F.min(F.struct((-F.col("score")).alias("least"), "licence")).alias("best"))
+    of_lines = own.select("path", "text_key", F.col("best.licence").alias("line_own"), (-F.col("best.least")).alias("line_score"))
     passages = passage_licences(hinted, similarity)
     # Where both agree, the better score counts.
     alike = F.col("passage_licence").isNull() | F.coalesce(F.col("passage_licence") == F.col("line_own"), F.lit(False))
     own = written(hinted.select("path", "text_key").distinct().join(of_lines, ["path", "text_key"], "left").join(passages, "text_key", "left").select(
         "path", "text_key", F.coalesce("passage_licence", "line_own").alias("own"),
         F.when(alike, F.greatest("line_score", "passage_score")).otherwise(F.col("passage_score")).alias("own_score"),
-        F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("whole", F.lit(False)).alias("whole")).where("own is not null"), "own")
-    speaking = own.where(named_file | F.col("whole") | (F.col("share") >= file_share)).withColumn(
+        F.coalesce("whole", F.lit(False)).alias("whole")).where("own is not null"), "own")
+    speaking = own.where(named_file | F.col("whole")).withColumn(
         "directory", F.regexp_replace("path", _DIRECTORY, ""))
     votes = speaking.groupBy("directory", "own").agg(F.count("*").alias("n"), F.min("own_score").alias("score"))
     declared = votes.groupBy("directory").agg(F.min(F.struct((-F.col("n")).alias("rarity"), "own", "score")).alias("most")).select(
@@ -279,7 +327,7 @@ def scan_licences(docs: DataFrame, path: Column, similarity: float = SIMILARITY,
     nearest = ancestors.join(declared, "directory").groupBy("at").agg(
         F.min(F.struct("up", "directory", "given", "given_score")).alias("near")).select("at", "near.*")
     rows = placed.select("doc_id", "path", F.sha2("text", 256).alias("text_key"), F.regexp_replace("path", _DIRECTORY, "").alias("at"))
-    answered = rows.join(own.drop("share", "whole"), ["path", "text_key"], "left").join(nearest.drop("up"), "at", "left")
+    answered = rows.join(own.drop("whole"), ["path", "text_key"], "left").join(nearest.drop("up"), "at", "left")
     mine = F.col("own").isNotNull()
     return answered.select(
         "doc_id", "path", F.coalesce("own", "given").alias("licence"), F.coalesce("own_score", "given_score").alias("score"),

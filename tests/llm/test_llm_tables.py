@@ -1,6 +1,8 @@
 """Embeddings, secrets, URL rules, archives, licences and the pipeline against brute force and planted cases."""
 
 import hashlib
+import math
+import random
 import re
 import textwrap
 import zlib
@@ -8,11 +10,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from compare import oracle_rows, spark_rows, star_connection, type_differences
+from tallyward.llm import licences
 from tallyward.llm.embedding import cover_tree, embedding_near_duplicates, linked_pairs
 from tallyward.llm.licences import HEADERS, scan_licences
 from tallyward.llm.queries import ORACLES, QUERIES
@@ -214,7 +218,8 @@ def test_licences_and_inheritance(spark):
     rows = [(1, mit, "r/LICENSE"), (2, "print(1)", "r/src/deep/a.py"), (3, "x\n# Licensed under the Apache License, Version 2.0.\n" + "code " * 50, "r/src/b.py"),
             (4, "Released under the MIT License.\n" + "text " * 50, "q/a.txt"), (5, "nothing", "q/b.txt"), (6, None, "r/c"), (7, "", None), (None, "nothing", "r/d"),
             (8, "All rights reserved.", "r/src/COPYING"), (8, "All rights reserved.", "r/src/COPYING"), (9, "the licence of a poet", "q/c"),
-            (10, "z", "r/src/e.py"), (11, "Licensed under CC BY-NC 4.0.\nshort", "n/l.txt"), (12, "z", "n/m.txt"), (13, "Licensed under CC BY-SA 4.0.", "s/LICENSE.md")]
+            (10, "z", "r/src/e.py"), (11, "Licensed under CC BY-NC 4.0.\nshort", "n/l.txt"), (12, "z", "n/m.txt"), (13, "Licensed under CC BY-SA 4.0.", "s/LICENSE.md"),
+            (14, "Copyright (c) 2020 A\n\n" + HEADERS["MIT"][0], "t/terms.txt"), (15, "z", "t/u/v.txt")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, place string").withColumn("licence", F.lit(1)).withColumn("path", F.lit("p"))
     got = scan_licences(docs, F.col("place")).collect()
     found = {r.doc_id: (r.licence, r.how, r.from_directory) for r in got}
@@ -223,7 +228,9 @@ def test_licences_and_inheritance(spark):
     assert found[2] == ("Proprietary", "inherited", "r/src") and found[10] == ("Proprietary", "inherited", "r/src")
     assert found[6] == ("MIT", "inherited", "r") and found[None] == ("MIT", "inherited", "r")
     assert found[5] == (None, "none", None) and found[7] == (None, "none", None) and found[9] == (None, "none", None)
-    assert found[11][0] == "CC-BY-NC-4.0" and found[12] == ("CC-BY-NC-4.0", "inherited", "n") and found[13][0] == "CC-BY-SA-4.0"
+    # A notice in a short document speaks for that document alone; a licence text speaks for its directory whatever its name.
+    assert found[11][0] == "CC-BY-NC-4.0" and found[12] == (None, "none", None) and found[13][0] == "CC-BY-SA-4.0"
+    assert found[14] == ("MIT", "own", None) and found[15] == ("MIT", "inherited", "t")
     assert scan_licences(docs.limit(0), F.col("place")).count() == 0
 
 
@@ -250,6 +257,51 @@ def test_licence_headers_over_lines_and_inside_them(spark):
     assert found == {i: licence for i, (_, licence) in texts.items()}
 
 
+def brute_passage(text, templates, similarity=0.6):
+    """The best template by dense vectors over all windows that share a licence word's place, without any bound."""
+    split = lambda t: regex.findall(r"[\p{L}\p{N}]+(?:\.[0-9]+)*", t.lower())
+    terms = lambda w: Counter([*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))])
+    frequency = Counter(t for _, words in templates for t in terms(words))
+    weight = lambda t: math.log((1 + len(templates)) / (1 + frequency[t])) + 1
+    words, lines = split(text), [split(line) for line in re.split("\r\n|\n|\r", text) if re.search(licences._HINT, line)]
+    found = []
+    for name, own in templates:
+        windows = [words[max(i - at, 0):i - at + len(own)] for at, a in enumerate(own) if a in licences._ANCHORS and len(own) >= 4
+                   for i, w in enumerate(words) if w == a]
+        windows += [line for line in lines if len(line) <= 10 and set(line) & set(own) & licences._ANCHORS]
+        b = {t: n * weight(t) for t, n in terms(own).items()}
+        for window in windows:
+            a = {t: n * weight(t) for t, n in terms(window).items()}
+            norm = math.sqrt(sum(v * v for v in b.values()))
+            score = sum(v * b.get(t, 0) for t, v in a.items()) / norm / math.sqrt(sum(v * v for v in a.values()))
+            if score >= similarity:
+                whole = len(own) >= 60 and len(window) >= 0.8 * len(words)
+                found.append((name == "Proprietary", -round(score * norm, 6), name, -round(score, 9), not whole))
+    return (min(found)[2], -min(found)[3], not min(found)[4]) if found else None
+
+
+def test_passages_against_brute_force(spark, sf_dir):
+    split = lambda t: re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", t.lower())
+    templates = [(name, split(text)) for held in (licences.TEMPLATES, HEADERS) for name, texts in held.items() for text in texts]
+    rng = random.Random(4)
+    rows = {str(n): text for n, (name, texts) in enumerate(HEADERS.items()) for text in texts[:1]}
+    for n, (name, words) in enumerate(templates):
+        cut = [w for w in words if rng.random() < 0.85]
+        rows[f"t{n}"] = "\n".join([" ".join(rng.choices(["rivers", "license", "gnu", "and", "the"], k=12)), " ".join(cut), "Copyright 2020\rsome one"])
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(licences._HINT)).select(F.col("doc_id").cast("string").alias("text_key"), "text")
+    docs = docs.unionByName(spark.createDataFrame([*rows.items(), ("again", rows["0"]), ("empty", ""), ("null", None)], "text_key string, text string"))
+    found = {r.text_key: tuple(r)[1:] for r in licences.passage_licences(docs).collect()}
+    expected = {r.text_key: best for r in docs.collect() if (best := brute_passage(r.text or "", templates))}
+    assert found == expected and len(found) > 60
+
+
+def test_few_documents_inherit_without_licence_files(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    how = {r.how: r["count"] for r in scan_licences(docs, path).groupBy("how").count().collect()}
+    assert how.get("inherited", 0) < 0.01 * sum(how.values()) and how["own"] > 10
+
+
 # --- pipeline
 
 def test_pipeline_stages(spark, sf_dir):
