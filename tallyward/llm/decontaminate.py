@@ -5,13 +5,13 @@ says how far the search may jump without missing a window; where it says zero, t
 suffix of some windows, its bucket lists them, and each is compared word by word. Many stretches
 of the text advance together as numpy lanes.
 
-Documents are not shuffled. The benchmark reaches the tasks in blocks of at most ``BLOCK_BYTES``; a
-larger benchmark means one more narrow pass for each block, and the passes add up their hits.
+Documents are not shuffled. The benchmark reaches the tasks in blocks of about ``BLOCK_BYTES`` of text, each different text
+once; the tables take some six to ten times that. A larger benchmark means one more narrow pass for each block, and the passes
+add up their hits.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -26,6 +26,8 @@ from tallyward.llm.storage import free_name, map_arrow, steps, texts
 
 WINDOW = 10
 BLOCK_BYTES = 32 * 1024**2
+# What an item takes besides its text.
+ITEM_BYTES = 100
 _LANE = 128
 # Separators become spaces, A-Z lower case; bytes of non-ASCII letters stay.
 _FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -35,25 +37,54 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLDED).split()
 
 
+def _mixed(stream: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of the window at each start."""
+    value = np.zeros(len(starts), np.uint64)
+    for offset in range(length):
+        value = (value ^ stream[starts + offset].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+    return value
+
+
+def different_windows(stream: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of the different windows, number of its window for each start). Equal hashes are compared word by word."""
+    mixed = _mixed(stream, starts, length)
+    order = np.argsort(mixed, kind="stable")
+    new = np.concatenate([[True], mixed[order][1:] != mixed[order][:-1]]) if len(order) else np.empty(0, bool)
+    group = np.cumsum(new, dtype=np.int32) - 1
+    first = starts[order[new]]
+    if all((stream[starts[order] + offset] == stream[first[group] + offset]).all() for offset in range(length)):
+        number = np.empty(len(starts), np.int32)
+        number[order] = group
+        return first, number
+    _, index, number = np.unique(stream[starts[:, None] + np.arange(length)], axis=0, return_index=True, return_inverse=True)
+    return starts[index], number.astype(np.int32)
+
+
 class WuManber:
-    """Windows of one length, searched in an array of word numbers (0: in no window)."""
-
-    def __init__(self, patterns: np.ndarray):
-        self.patterns = patterns
-        self.length = patterns.shape[1]
-        self.block = min(2, self.length)
-        self.mask = (1 << max(12, int(patterns.size).bit_length() + 2)) - 1
-        self.shift = np.full(self.mask + 1, self.length - self.block + 1, np.int32)
-        for end in range(self.block - 1, self.length):
-            np.minimum.at(self.shift, self._blocks(patterns, end), self.length - 1 - end)
-        suffix = self._blocks(patterns, self.length - 1)
-        self.order = np.argsort(suffix, kind="stable")
-        self.bucket = np.searchsorted(suffix[self.order], np.arange(self.mask + 2))
-
-    def _blocks(self, rows: np.ndarray, end) -> np.ndarray:
-        value = rows[..., end].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    """Windows of one length, searched in an array of word numbers (0: in no window).
+
+    Windows are places in a ``stream`` of word numbers, so a word of the benchmark is stored once, not once for each
+    window that holds it. A matrix of windows, one a row, will do as well.
+    """
+
+    def __init__(self, stream: np.ndarray, starts: np.ndarray | None = None, length: int = 0):
+        if starts is None:
+            starts, length, stream = np.arange(len(stream)) * stream.shape[1], stream.shape[1], stream.ravel()
+        self.stream, self.starts, self.length = stream, starts.astype(np.int32), length
+        self.block = min(2, length)
+        self.mask = (1 << max(12, len(starts).bit_length())) - 1
+        self.shift = np.full(self.mask + 1, length - self.block + 1, np.int16)
+        for end in range(self.block - 1, length):
+            np.minimum.at(self.shift, self._blocks(stream, self.starts + end), np.int16(length - 1 - end))
+        suffix = self._blocks(stream, self.starts + (length - 1))
+        self.order = np.argsort(suffix, kind="stable").astype(np.int32)
+        self.bucket = np.searchsorted(suffix[self.order], np.arange(self.mask + 2)).astype(np.int32)
+
+    def _blocks(self, words: np.ndarray, end: np.ndarray) -> np.ndarray:
+        value = words[end].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         if self.block == 2:
-            value ^= rows[..., end - 1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            value ^= words[end - 1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         return ((value >> np.uint64(29)) & np.uint64(self.mask)).astype(np.int64)
 
     def search(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,37 +98,58 @@ class WuManber:
             here = jump == 0
             if here.any():
                 ends, key = at[here], block[here]
-                count = self.bucket[key + 1] - self.bucket[key]
+                count = (self.bucket[key + 1] - self.bucket[key]).astype(np.int64)
                 which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - self.bucket[key], count)
                 pattern = self.order[which]
                 begin = np.repeat(ends, count) - self.length + 1
                 same = np.ones(len(begin), bool)
                 for offset in range(self.length):
-                    same[same] = text[begin[same] + offset] == self.patterns[pattern[same], offset]
+                    same[same] = text[begin[same] + offset] == self.stream[self.starts[pattern[same]] + offset]
                 starts.append(begin[same])
                 found.append(pattern[same])
-            at = at + np.maximum(jump, 1)
+            at = at + np.maximum(jump, 1).astype(np.int64)
             going = at < stop
             at, stop = at[going], stop[going]
         return (np.concatenate(starts), np.concatenate(found)) if starts else (np.empty(0, int), np.empty(0, int))
 
 
 class Benchmark:
-    """Search tables of some benchmark items: word numbers, windows by length, items of each window."""
+    """Search tables of some benchmark items: word numbers, different windows by length, texts of each window, items of each text."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.numbers: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        place: dict[bytes, int] = {}
+        self.items: list[set[str]] = []
         for item, text in items:
-            row = tuple(self.numbers.setdefault(word, len(self.numbers) + 1) for word in words_of(text))
-            width = min(window, len(row))
-            for i in range(len(row) - width + 1 if row else 0):
-                owners[row[i:i + width]].update([] if item is None else [item])
-        by_length: dict[int, list[tuple[int, ...]]] = defaultdict(list)
-        for pattern in owners:
-            by_length[len(pattern)].append(pattern)
-        self.searches = [WuManber(np.array(rows, np.int32)) for _, rows in sorted(by_length.items())]
-        self.owners = [[sorted(owners[row]) for row in rows] for _, rows in sorted(by_length.items())]
+            if text not in place:
+                place[text] = len(self.items)
+                self.items.append(set())
+            if item is not None:
+                self.items[place[text]].add(item)
+        # A zero behind each text keeps windows from reaching across.
+        rows = [np.fromiter((self.numbers.setdefault(w, len(self.numbers) + 1) for w in chain(words_of(text), (b"",))), np.int32) for text in place]
+        stop = self.numbers.get(b"", 0)
+        stream = np.concatenate(rows) if rows else np.empty(0, np.int32)
+        stream[stream == stop] = 0
+        sizes = np.array([len(row) - 1 for row in rows], np.int64)
+        first = np.cumsum(sizes + 1) - sizes - 1
+        widths = np.minimum(sizes, window)
+        self.searches: list[WuManber] = []
+        self.owners: list[tuple[np.ndarray, np.ndarray]] = []
+        for width in sorted(set(widths.tolist()) - {0}):
+            these = np.flatnonzero(widths == width)
+            count = sizes[these] - width + 1
+            text = np.repeat(these, count).astype(np.int32)
+            starts = (np.arange(count.sum()) + np.repeat(first[these] - np.cumsum(count) + count, count)).astype(np.int32)
+            different, number = different_windows(stream, starts, width)
+            self.searches.append(WuManber(stream, different, width))
+            order = np.argsort(number, kind="stable")
+            self.owners.append((np.searchsorted(number[order], np.arange(len(different) + 1)).astype(np.int32), text[order]))
+
+    def nbytes(self) -> int:
+        """Bytes of the arrays; the stream counts once."""
+        arrays = [a for s in self.searches for a in (s.starts, s.shift, s.order, s.bucket)] + [a for pair in self.owners for a in pair]
+        return sum(a.nbytes for a in arrays) + (self.searches[0].stream.nbytes if self.searches else 0)
 
     def scan(self, documents: list[list[bytes]]) -> list[tuple[np.ndarray, set[str]]]:
         """For each document which words are hit, and the items with occurring windows."""
@@ -107,16 +159,20 @@ class Benchmark:
         text = np.fromiter(chain.from_iterable(
             chain(map(self.numbers.get, words, repeat(0)), (0,)) for words in documents), np.int32, int(sizes.sum()) + len(sizes))
         change = np.zeros(len(text) + 1, np.int64)
-        items: dict[int, set[str]] = defaultdict(set)
-        for search, owners in zip(self.searches, self.owners):
+        items: list[set[str]] = [set() for _ in documents]
+        for search, (begin, texts_of) in zip(self.searches, self.owners):
             starts, patterns = search.search(text)
             np.add.at(change, starts, 1)
             np.add.at(change, starts + search.length, -1)
-            owner = np.searchsorted(first, starts, "right") - 1
-            for document, pattern in set(zip(owner.tolist(), patterns.tolist())):
-                items[document].update(owners[pattern])
+            document = np.searchsorted(first, starts, "right") - 1
+            met = np.unique(document * len(search.starts) + patterns)
+            document, pattern = met // max(1, len(search.starts)), met % max(1, len(search.starts))
+            count = (begin[pattern + 1] - begin[pattern]).astype(np.int64)
+            which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - begin[pattern], count)
+            for owner, number in np.unique(np.stack([np.repeat(document, count), texts_of[which]], axis=1), axis=0).tolist():
+                items[owner] |= self.items[number]
         hit = np.cumsum(change) > 0
-        return [(hit[f:f + n], items.get(i, set())) for i, (f, n) in enumerate(zip(first.tolist(), sizes.tolist()))]
+        return [(hit[f:f + n], found) for f, n, found in zip(first.tolist(), sizes.tolist(), items)]
 
 
 def _scan(batches: Iterator[pa.RecordBatch], tables: Broadcast, text: str, name: str) -> Iterator[pa.RecordBatch]:
@@ -139,13 +195,15 @@ _FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The benchmark's items in blocks of about ``BLOCK_BYTES``, each small enough to send to every task."""
-    known = items.where("text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
-    size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    """The benchmark's different items in blocks of about ``BLOCK_BYTES``, each small enough to send to every task.
+
+    The items of a text that many have are dealt to all blocks, the text with them.
+    """
+    known = items.where("text is not null").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
+    size = known.agg(F.coalesce(F.sum(F.octet_length("text") + ITEM_BYTES), F.lit(0))).first()[0]
     count = max(1, -(-size // BLOCK_BYTES))
     for block in range(count):
-        part = known.where(F.pmod(F.xxhash64("text"), F.lit(count)) == block) if count > 1 else known
-        # Bounded: a block holds BLOCK_BYTES of text on average, the benchmark as a whole never leaves the cluster at once.
+        part = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == block) if count > 1 else known
         rows = part.toArrow()
         yield list(zip(rows.column("item").to_pylist(), texts(rows.column("text").combine_chunks())))
 

@@ -79,6 +79,25 @@ def test_short_items_overlaps_and_documents_that_touch():
         assert (len(hit), int(hit.sum()), len(names)) == brute_hits(text, [(i, b.decode()) for i, b in items], 10)
 
 
+def test_tables_are_a_few_times_the_text():
+    rng = np.random.default_rng(2)
+    words = [f"w{n:x}".encode() for n in range(60_000)]
+    texts = [b" ".join(words[i] for i in row) for row in (rng.pareto(1.1, (1600, 700)) * 40 % len(words)).astype(int)]
+    size = sum(map(len, texts))
+    index = Benchmark([(str(n), text) for n, text in enumerate(texts)] + [(f"again{n}", texts[0]) for n in range(5000)])
+    assert size > 4_000_000 and index.nbytes() < 10 * size  # 32 MB: below 320 MB, and the words
+    hit, items = index.scan([words_of(texts[0][:400]), words_of(texts[7])])[1]
+    assert hit.all() and "7" in items
+    assert len(index.scan([words_of(texts[0])])[0][1]) >= 5001
+
+
+def test_windows_that_repeat_are_stored_once():
+    index = Benchmark([("1", b"a b c d e f g h i j k"), ("2", b"x a b c d e f g h i j"), ("3", b"a b c d e f g h i j k"), ("4", b"q")])
+    assert [len(s.starts) for s in index.searches] == [1, 3]
+    hit, items = index.scan([words_of(b"0 a b c d e f g h i j 0")])[0]
+    assert hit.tolist() == [False, *[True] * 10, False] and items == {"1", "2", "3"}
+
+
 def test_contamination_of_odd_rows_and_blocks(spark, odd, empty, monkeypatch):
     import tallyward.llm.decontaminate as module
 
