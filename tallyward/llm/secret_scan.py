@@ -2,13 +2,19 @@
 
 Everything is built-in SQL functions and the forest of Spark's ML library. A document without a candidate
 costs one regular expression; of the others only the candidates, with 40 characters on either side, are
-shuffled, and equal texts under one path are judged once. Features are the candidate's length,
-entropy and character transitions, the share of it that dictionary words cover, its path and the
-neighbouring words.
+shuffled, and equal texts under one path are judged once. A candidate is a whole value: what stands between quotes or up to a
+space behind a word like ``token`` and ``=`` or ``:``, the password of a URL, a private key from its first to its last line, what follows
+``bearer``, or any long run with a digit. Features are its length, entropy and character transitions (class changes, and how
+unlikely its letter pairs are in the corpus), the share of it that dictionary words cover, its path and the neighbouring
+words with the log-odds that labelled findings give them.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from math import log2
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -21,13 +27,27 @@ THRESHOLD = 0.5
 REDACTED = "<SECRET>"
 CONTEXT = 40
 # Documents whose ids and first words dress the labelled findings, in hash order.
-SAMPLE_DOCUMENTS = 300
+SAMPLE_DOCUMENTS = 160
 TREES, DEPTH, SEED = 40, 8, 7
 
-_ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
+_ASSIGNED = (r"(?i:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|(?:api|access|private|auth|encryption|account)[_-]?key|connection[_-]?string)"
+             r"[\"']?\s{0,3}[:=]\s{0,3}")
 _RUN = r"[A-Za-z0-9+/_~-]"
-_LONG = rf"(?<![A-Za-z0-9+/_~\x01-])(?=[A-Za-z+/_~-]*+[0-9]){_RUN}{{16,}}+={{0,2}}"
-_ANY = rf"{_ASSIGNED}{_RUN}{{6}}|{_LONG}"
+_LONG = rf"(?<![A-Za-z0-9+/_.~-])(?=[A-Za-z+/_.~-]*+[0-9]){_RUN}[A-Za-z0-9+/_.~-]{{14,}}{_RUN}={{0,2}}"
+_PEM = (r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----(?:[\s\S]{0,20000}?-----END [A-Z0-9 ]{0,30}PRIVATE KEY-----"
+        r"|(?:\s{1,4}[A-Za-z0-9+/=]{16,})*)")
+# In pairs what stands before a candidate and the candidate; of two that begin at one place the first counts.
+_KINDS = [
+    ("", _PEM),
+    (r"://[^\s/:@\"']{1,64}:", r"[^\s/@\"']{3,}(?=@)"),
+    (_ASSIGNED + '"', r'[^"\n]{4,}(?=")'),
+    (_ASSIGNED + "'", r"[^'\n]{4,}(?=')"),
+    (_ASSIGNED + r"[\"']?", r"[^\s\"']{5,}[^\s\"'.,;:!?)\]}]"),
+    (r"(?i:\b(?:bearer|basic))\s{1,3}", r"(?=[A-Za-z+/_.~-]*+[0-9=]|[A-Z]*+[a-z]+[A-Z])[A-Za-z0-9+/_.~-]{8,}={0,2}"),
+    ("", _LONG),
+]
+_ANY = "|".join(f"({before})({value})" for before, value in _KINDS)
+_MARKED = ("".join(f"${2 * n + 1}" for n in range(len(_KINDS))) + "\x01" + "".join(f"${2 * n + 2}" for n in range(len(_KINDS))) + "\x02")
 
 # Common words, longest first where one starts another.
 _DICTIONARY = (
@@ -44,19 +64,50 @@ _DICTIONARY = (
     "simple site size social software source sport start state static status storage store story string style support "
     "system table team template test text theme time title token tool topic total travel true type update upload user "
     "value version video view water week width window with word work world year your").split()
+# Letter pairs, words and neighbours that are learnt from the findings at most.
+MOST_PAIRS, MOST_WORDS, MOST_NEIGHBOURS = 1500, 200, 300
 _BENIGN = r"(?i)(sha-?\d*|commit|digest|checksum|md5|etag|uuid|guid|integrity|hash|version|build|isbn|card|phone|order|invoice|ref|revision|image|file|tracking|serial|id)\W{0,3}$"
-_PLACEHOLDER = r"(?i)example|dummy|change_?me|placeholder|your[_-]|sample|x{4,}|0{6,}|1234|abcd|test|todo|redacted"
+_PLACEHOLDER = r"(?i)^[<$%{\[(]|[<>{}]|environ|getenv|process\.env|\(\)|^(none|null|true|false|undefined)$|example|dummy|change_?me|placeholder|your[_-]|sample|x{4,}|0{6,}|1234|abcd|test|todo|redacted"
 _TEST_PATH = r"(?i)(^|[/_.-])(tests?|examples?|samples?|docs?|fixtures?|mocks?|node_modules|vendor|lock|min)([/_.-]|$)"
 
-FEATURES = ["length", "entropy", "transitions", "distinct", "digits", "uppers", "vowels", "hexadecimal", "dictionary",
+FEATURES = ["length", "entropy", "transitions", "surprise", "neighbours", "spaces", "punctuation", "distinct", "digits", "uppers", "vowels", "hexadecimal", "dictionary",
             "known_prefix", "assigned", "benign", "placeholder", "quoted", "near_words", "test_path", "path_depth"]
 
 
+@dataclass
+class Learned:
+    """What features know from the findings' own surroundings: log-probabilities of letter pairs, frequent words, log-odds of words beside a secret."""
+
+    pairs: dict[str, float]
+    words: list[str]
+    odds: dict[str, float]
+
+
+def learn(findings: DataFrame) -> Learned:
+    """Counts over the contexts of labelled findings; only the most frequent pairs and words, a bounded number, reach the driver."""
+    known = findings.where("label in (0, 1)").select(
+        "label", F.regexp_extract_all(F.lower(F.concat_ws(" ", "before", "after")), F.lit(r"\p{L}+"), F.lit(0)).alias("words"))
+    words = known.select("label", F.explode("words").alias("word"))
+    each = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.col("word").substr(i, F.lit(2)))
+    counted = words.where("length(word) > 1").select(F.explode(each).alias("pair")).groupBy("pair").count()
+    total = counted.agg(F.sum("count")).first()[0] or 1
+    pairs = {r["pair"]: log2(r["count"] / total) for r in counted.orderBy(F.desc("count"), "pair").limit(MOST_PAIRS).collect()}
+    frequent = words.where("length(word) >= 4").groupBy("word").count().orderBy(F.desc("count"), "word").limit(MOST_WORDS).collect()
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    beside = known.select("label", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(
+        F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0")).where("n1 + n0 >= 5")
+    ratio = F.log((F.col("n1") + 1) / (sizes.get(1, 0) + 2)) - F.log((F.col("n0") + 1) / (sizes.get(0, 0) + 2))
+    odds = beside.select("word", ratio.alias("odds")).orderBy(F.desc(F.abs("odds")), "word").limit(MOST_NEIGHBOURS).collect()
+    return Learned(pairs, sorted(r["word"] for r in frequent), {r["word"]: r["odds"] for r in odds})
+
+
+NOTHING_LEARNT = Learned({}, [], {})
+
+
 def candidates(docs: DataFrame, keep: list[str], path: Column) -> DataFrame:
     """One row per candidate string: columns ``keep``, path, text_key, ordinal, gap, candidate, before, after.
 
-    A candidate is a run of at least 16 letters, digits and ``+/_~-`` with a digit in it, or one of at least six after a
-    word like ``token`` and ``=`` or ``:``. ``gap`` is the number of characters since the candidate before.
+    ``gap`` is the number of characters since the candidate before.
     """
     found = docs.where(F.col("text").rlike(_ANY)).select(
         *keep, F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.sha2("text", 256).alias("text_key"), parts("text").alias("parts"))
@@ -69,11 +120,14 @@ def candidates(docs: DataFrame, keep: list[str], path: Column) -> DataFrame:
 def parts(text: str) -> Column:
     """The text cut before and after each candidate: candidates are at every second place."""
     plain = F.translate(F.col(text), "\x01\x02", "  ")
-    assigned = F.regexp_replace(plain, rf"({_ASSIGNED})({_RUN}{{6,}}+={{0,2}})", "$1\x01$2\x02")
-    return F.split(F.regexp_replace(assigned, rf"({_LONG})(?!\x02)", "\x01$1\x02"), "[\x01\x02]")
+    return F.split(F.regexp_replace(plain, _ANY, _MARKED), "[\x01\x02]")
+
+
+def _table(values: dict[str, float]) -> Column:
+    return F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*map(F.lit, values.values()))) if values else F.expr("map('', 0.0D)")
 
 
-def features(findings: DataFrame) -> DataFrame:
+def features(findings: DataFrame, learned: Learned = NOTHING_LEARNT) -> DataFrame:
     """``findings`` (candidate, before, after, path) with the columns ``FEATURES``; nulls count as empty."""
     c, before, after, path = (F.coalesce(F.col(n), F.lit("")) for n in ("candidate", "before", "after", "path"))
     size = F.greatest(F.length(c), F.lit(1))
@@ -84,15 +138,25 @@ def features(findings: DataFrame) -> DataFrame:
     kinds = F.array_distinct(chars)
     entropy = F.aggregate(kinds, F.lit(0.0), lambda total, kind: total - (
         F.size(F.filter(chars, lambda x: x == kind)) / size) * F.log2(F.size(F.filter(chars, lambda x: x == kind)) / size))
-    covered = F.length(F.regexp_replace(F.lower(c), "|".join(sorted(_DICTIONARY, key=lambda w: (-len(w), w))), ""))
+    dictionary = {*_DICTIONARY, *learned.words}
+    covered = F.length(F.regexp_replace(F.lower(c), "|".join(sorted(dictionary, key=lambda w: (-len(w), w))), ""))
+    lower = F.lower(c)
+    both = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: lower.substr(i, F.lit(2))),
+                    lambda pair: pair.rlike(r"^\p{L}{2}$"))
+    rarest = min(learned.pairs.values(), default=0.0) - 1
+    pairs, odds = _table(learned.pairs), _table(learned.odds)
+    surprise = F.aggregate(both, F.lit(0.0), lambda sum_, pair: sum_ - F.coalesce(F.try_element_at(pairs, pair), F.lit(rarest)))
+    near = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", before, after)), F.lit(r"\p{L}+"), F.lit(0)))
+    evidence = F.aggregate(near, F.lit(0.0), lambda sum_, word: sum_ + F.coalesce(F.try_element_at(odds, word), F.lit(0.0)))
     flag = lambda condition: F.coalesce(condition.cast("double"), F.lit(0.0))
     columns = {
         "length": F.least(F.length(c), F.lit(400)).cast("double"), "entropy": entropy,
-        "transitions": F.length(classes) / size, "distinct": F.size(kinds) / size,
+        "transitions": F.length(classes) / size, "surprise": surprise / F.greatest(F.size(both), F.lit(1)), "neighbours": evidence,
+        "spaces": share(" "), "punctuation": share(r"[^\p{L}\p{N}\s]"), "distinct": F.size(kinds) / size,
         "digits": share("[0-9]"), "uppers": share("[A-Z]"), "vowels": share("[aeiouAEIOU]"),
         "hexadecimal": flag(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")), "dictionary": 1 - covered / size,
-        "known_prefix": flag(c.rlike("^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abp]-|sk_live_|rk_live_|AIza|eyJ)")),
-        "assigned": flag(before.rlike(_ASSIGNED + "$") | before.rlike(r"(?i)(bearer|basic)\s+$")),
+        "known_prefix": flag(c.rlike("^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|npm_|xox[abp]-|sk_live_|rk_live_|AIza|eyJ|SG[.]|-----BEGIN)")),
+        "assigned": flag(before.rlike(_ASSIGNED + "[\"']?$") | before.rlike(r"(?i)(bearer|basic)\s+$") | before.rlike(r"://[^\s/:@]{1,64}:$")),
         "benign": flag(before.rlike(_BENIGN)), "placeholder": flag(c.rlike(_PLACEHOLDER)),
         "quoted": flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
         "near_words": F.regexp_count(F.concat(before, after), F.lit(r"\p{L}{3,}")).cast("double"),
@@ -117,46 +181,81 @@ def labelled_findings(docs: DataFrame, path: Column, sample: int = SAMPLE_DOCUME
         "regexp_replace(base64(unhex(sha2(concat('b', id), 256))), '[=]', '') as b43",
         "cast(pmod(xxhash64(id), 9000000000000000L) + 1000000000000000L as string) as d16",
         "regexp_replace(lower(left(words, 24)), '[^a-z]+', '_') as slug", "pmod(xxhash64(id), 40) as turn")
+    values = values.selectExpr(
+        "*", "substr('!@#$%&*?^', cast(1 + turn % 9 as int), 1) as mark", "initcap(replace(left(slug, 7), '_', '')) as name",
+        "rpad(replace(slug, '_', ''), 18, 'quietriverstones') as joined", "array_join(transform(sequence(1, 6), i -> "
+        "left(base64(unhex(concat(sha2(concat(id, cast(i as string)), 256), sha2(concat('p', id, cast(i as string)), 256)))), 64)), '\n') as lines")
     quote, tail = "'\"'", "concat('\" ', left(words, 30))"
     row = lambda value, before, after, label: (
         f"struct({value} as candidate, concat(right(words, 20), ' ', {before}) as before, {after} as after, {label} as label)")
-    rows = [row(value, f"concat('{word}', {quote})", tail, 1) for value in ("h40", "h32", "left(b43, 24 + turn div 3)", "concat('a', left(b43, 19))")
-            for word in ("token = ", "api_key: ", "secret=", "password = ")]
-    rows += [row(value, "'token='", "concat(' ', words)", 1) for value in ("h64", "h40", "left(b43, 12)")]
+    # Values without a word beside them that says what they are are told by their own look: what a key is called is one sign among others.
+    words = ("token = ", "api_key: ", "secret=", "password = ", "pwd: ", "client_secret = ", "passphrase=")
+    rows = [row(value, f"concat('{word}', {quote})", tail, 1) for word in words for value in (
+        "h40", "left(b43, 24 + turn div 3)", "concat('a', left(b43, 19))", "concat(left(b43, 6), mark, substr(b43, 8, 9), mark, left(d16, 2))",
+        "concat(name, left(d16, 3), mark, turn)", "joined", "concat(replace(left(slug, 14), '_', '-'), mark, left(joined, 7), turn % 10)",
+        "concat(left(joined, 3), '.', substr(joined, 4, 3), '.', substr(joined, 7, 11))")]
+    rows += [row(value, f"'{word}'", "concat(' ', words)", 1) for word in ("token=", "password: ", "api-key=") for value in (
+        "h64", "left(b43, 12)", "concat(left(b43, 8), mark, left(d16, 4))")]
     rows += [row(f"concat('{prefix}', {value})", f"'{word}'", "concat(' ', words)", 1) for prefix, value in (
-        ("AKIA", "upper(left(h32, 16))"), ("ghp_", "left(b43, 36)"), ("sk_live_", "left(b43, 24)")) for word in ("", "use ", "key ")]
+        ("AKIA", "upper(left(h32, 16))"), ("ghp_", "left(b43, 36)"), ("sk_live_", "left(b43, 24)"),
+        ("SG.", "concat(left(b43, 22), '.', b43)"), ("eyJ", "concat(left(b43, 33), '.eyJ', b43, '.', left(b43, 40))")) for word in ("", "use ", "key ")]
+    rows += [row(value, f"concat('{scheme}://', left(slug, 5), ':')", "concat('@host.', left(slug, 4), '/x ', left(words, 20))", 1)
+             for scheme in ("postgres", "https", "redis") for value in ("left(b43, 14)", "concat(lower(name), left(d16, 2), 'pass')", "left(h32, 16)")]
+    rows += [row(value, f"'Authorization: {word} '", "concat(' ', words)", 1) for word, value in (
+        ("Bearer", "left(b43, 40)"), ("Basic", "base64(cast(concat(name, ':', left(b43, 9)) as binary))"), ("bearer", "h40"))]
+    rows += [row("concat('-----BEGIN RSA PRIVATE KEY-----\n', lines, '\n-----END RSA PRIVATE KEY-----')", "''", "concat(' ', words)", 1)]
     rows += [row(value, f"'{word}'", "concat(' ', words)", 0) for value, word in (
         ("h40", "commit "), ("h64", "sha256:"), ("h32", "md5 "), ("h40", "revision "), ("h64", "digest: "), ("h32", "etag "),
         ("concat_ws('-', left(h32, 8), substr(h32, 9, 4), substr(h32, 13, 4), substr(h32, 17, 4), right(h32, 12))", "uuid "),
         ("d16", ""), ("d16", "card "), ("d16", "order "), ("concat(left(d16, 4), '-', substr(d16, 5, 4), '-', substr(d16, 9, 4), '-', right(d16, 4))", ""),
         ("concat(slug, '_', turn)", ""), ("concat(slug, '-', left(d16, 4))", "file "), ("concat('IMG_', left(d16, 8), '_', right(d16, 6))", ""),
         ("concat('article/', slug, '/', turn)", "see /"), ("concat('get_user_', slug, '_v', turn)", ""),
+        ("concat('www.', replace(slug, '_', '-'), turn, '.com/', left(slug, 6))", "https://"), ("concat(replace(slug, '_', '.'), turn, '.tar.gz')", "file "),
+        *[(f"left(concat(d16, d16), {n})", word) for n, word in ((16, ""), (17, "no "), (18, ""), (20, "tel "), (16, "id "), (19, ""))],
+        ("concat('/usr/share/', slug, '/', left(d16, 3), '.png')", ""), ("concat('v', turn, '.', left(d16, 3), '.0-rc.1-', left(slug, 8))", "version "),
+        ("concat(left(d16, 4), '-01-', left(d16, 2), 'T10:', turn)", "date "), ("concat(left(d16, 5), '.', right(d16, 10))", ""),
         ("concat(repeat(left(h32, 1), 18), turn)", ""), ("concat(replace(slug, '_', ''), replace(slug, '_', ''), turn)", ""))]
-    rows += [row(value, f"concat('{word}', {quote})", tail, 0) for word in ("token = ", "password: ", "api_key=") for value in (
+    rows += [row(value, f"concat('{word}', {quote})", tail, 0) for word in ("token = ", "password: ", "api_key=", "secret = ") for value in (
         "concat('your_token_here_', turn)", "concat('changeme', turn)", "concat('example', left(d16, 6))", "concat(repeat('x', 16), turn)",
-        "'placeholder_value'", "concat(repeat('0', 12), turn)", "'default_password'", "concat(slug, '_name')")]
-    return values.select("path", F.expr(f"inline(array({', '.join(rows)}))"))
+        "'placeholder_value'", "concat(repeat('0', 12), turn)", "'default_password'", "concat(slug, '_name')", "concat('$', '{', upper(slug), '}')",
+        "concat('<', slug, '>')", "left(words, 30)", "concat('enter your ', left(words, 12))", "concat('os.environ.get(', slug, ')')", "'********'")]
+    rows += [row(value, f"'{word}'", "concat(' ', words)", 0) for word in ("token: ", "password: ", "secret: ") for value in (
+        "concat(left(slug, 9), 'ing')", "'required'", "concat('get_', left(slug, 8), '()')", "concat('$', upper(left(slug, 8)))", "'undefined'")]
+    rows += [row(value, f"'{word} '", "concat(' ', words)", 0) for word, value in (("basic", "concat(left(slug, 8), '101')"), ("Bearer", "'<token_123>'"))]
+    values = written(values, "dressed")
+    # Few rows at a time: generated code has a limit.
+    some = [rows[at:at + 20] for at in range(0, len(rows), 20)]
+    return reduce(DataFrame.unionAll, [values.select("path", F.expr(f"inline(array({', '.join(part)}))")) for part in some])
+
+
+@dataclass
+class SecretModel:
+    """The forest, None without findings of both classes, and what its features have learnt."""
+
+    forest: RandomForestClassificationModel | None
+    learned: Learned
 
 
-def fit_forest(findings: DataFrame) -> RandomForestClassificationModel | None:
+def fit_forest(findings: DataFrame) -> SecretModel:
     """The forest of labelled ``findings`` (candidate, before, after, path, label 0 / 1); other labels are left out.
 
     Findings without both classes teach nothing: there is no forest, and every candidate counts as a secret.
     """
-    rows = findings.where("label in (0, 1)").select("candidate", "before", "after", "path", F.col("label").cast("double"))
+    known = written(findings.where("label in (0, 1)").select("candidate", "before", "after", "path", F.col("label").cast("double")), "labelled")
+    learned = learn(known)
     # One ordered file: bootstrap samples depend on where the rows lie. The sample is bounded.
-    ordered = written(features(rows).coalesce(1).sortWithinPartitions(*FEATURES, "label"), "findings")
+    ordered = written(features(known, learned).coalesce(1).sortWithinPartitions(*FEATURES, "label"), "findings")
     if ordered.select("label").distinct().count() < 2:
-        return None
+        return SecretModel(None, learned)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="feature_vector", labelCol="label")
     fitted = forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="feature_vector").transform(ordered))
     # Read back, the model is free of its training summary, which holds on to the session and cannot be sent to tasks.
     path = scratch(findings.sparkSession, "forest")
     fitted.save(path)
-    return RandomForestClassificationModel.load(path)
+    return SecretModel(RandomForestClassificationModel.load(path), learned)
 
 
-def judge(found: DataFrame, forest: RandomForestClassificationModel | None) -> DataFrame:
+def judge(found: DataFrame, model: SecretModel) -> DataFrame:
     """(path, text_key, ordinal, start, length, candidate, score) for each candidate of each different text and path."""
     once = found.groupBy("path", "text_key", "ordinal").agg(
         F.first("gap").alias("gap"), F.first("candidate").alias("candidate"), F.first("before").alias("before"), F.first("after").alias("after"))
@@ -165,10 +264,10 @@ def judge(found: DataFrame, forest: RandomForestClassificationModel | None) -> D
     placed = once.withColumn("start", (F.sum(F.col("gap") + size).over(order) - size).cast("long"))
     marked = features(placed.select(
         "path", "text_key", "ordinal", "start", F.col("candidate").alias("value"), "candidate", "before", "after",
-        F.col("path").alias("at_path")).withColumn("chars", size.cast("long")))
-    if forest is None:
+        F.col("path").alias("at_path")).withColumn("chars", size.cast("long")), model.learned)
+    if model.forest is None:
         return marked.select("path", "text_key", "ordinal", "start", F.col("chars").alias("length"), F.col("value").alias("candidate"), F.lit(1.0).alias("score"))
-    scored = forest.transform(VectorAssembler(inputCols=FEATURES, outputCol="feature_vector").transform(marked))
+    scored = model.forest.transform(VectorAssembler(inputCols=FEATURES, outputCol="feature_vector").transform(marked))
     return scored.select("path", "text_key", "ordinal", "start", F.col("chars").alias("length"), F.col("value").alias("candidate"),
                          vector_to_array("probability")[1].alias("score"))
 
@@ -180,9 +279,9 @@ def scan_secrets(docs: DataFrame, path: Column, findings: DataFrame | None = Non
     ``labelled_findings``. Null and empty texts have no candidates, null paths are empty, a null doc_id stays null,
     repeated rows repeat their candidates, an empty table gives an empty result.
     """
-    forest = fit_forest(labelled_findings(docs, path) if findings is None else findings)
+    model = fit_forest(labelled_findings(docs, path) if findings is None else findings)
     found = written(candidates(docs, ["doc_id"], path), "candidates")
-    judged = judge(found, forest)
+    judged = judge(found, model)
     return found.select("doc_id", "path", "text_key", "ordinal").join(judged, ["path", "text_key", "ordinal"]).select(
         "doc_id", "ordinal", "start", "length", "candidate", "score", (F.col("score") >= THRESHOLD).alias("is_secret"))
 
@@ -190,11 +289,11 @@ def scan_secrets(docs: DataFrame, path: Column, findings: DataFrame | None = Non
 def redact_secrets(docs: DataFrame, path: Column, findings: DataFrame | None = None) -> DataFrame:
     """``docs`` with every secret replaced by ``<SECRET>``; all rows and columns stay.
 
-    Only documents with candidates are shuffled. Where a text changes, ``n_chars`` (if there is one) is its new
+    Null and empty texts stay, an empty table gives an empty result. Only documents with candidates are shuffled. Where a text changes, ``n_chars`` (if there is one) is its new
     length and the control characters 1 and 2 become spaces.
     """
-    forest = fit_forest(labelled_findings(docs, path) if findings is None else findings)
-    judged = judge(candidates(docs, [], path), forest)
+    model = fit_forest(labelled_findings(docs, path) if findings is None else findings)
+    judged = judge(candidates(docs, [], path), model)
     flagged = judged.where(F.col("score") >= THRESHOLD).groupBy("path", "text_key").agg(F.collect_list("ordinal").alias("secret_at"))
     key, at, where = (free_name(docs.columns, n) for n in ("text_key", "secret_at", "secret_path"))
     suspect = F.coalesce(F.col("text").rlike(_ANY), F.lit(False))
