@@ -1,9 +1,10 @@
 """Language identification in two levels.
 
-The family is predicted first; then one-versus-one linear support vector machines tell the languages of
-that family apart. Features are the square roots of the shares of hashed letter n-grams (1 to 3 letters,
+The family is predicted first, by one machine for each family against the rest; then one-versus-one linear support vector
+machines tell the languages of that family apart. A code that no listed family has is a family alone and needs no further machine, so the
+model grows with the languages, by ``4 * WIDTH`` bytes each, and not with their square. Features are the square roots of the shares of hashed letter n-grams (1 to 3 letters,
 lower-cased, runs of other characters as one space) of the whole text. The fit takes a bounded sample of
-labelled rows (about ``ROWS_PER_LANGUAGE``, by hash of the id, and ``MOST_ROWS`` in all).
+labelled rows (about ``ROWS_PER_LANGUAGE``, by hash of the id, and ``MOST_ROWS`` in all) of the ``MOST_LANGUAGES`` most frequent values.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from tallyward.llm.storage import fold, map_arrow, steps
 
 ROWS_PER_LANGUAGE = 600
 MOST_ROWS = 12_000
+# Languages that are learnt at most: their counts are broadcast, and 128 KB of weights for each family reach every task.
+MOST_LANGUAGES = 400
 WIDTH = 1 << 15
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
@@ -96,18 +99,43 @@ class OneVersusOne:
         return self.classes[best], float(sure[best])
 
 
+class OneVersusRest:
+    """A machine for each class against all others; the largest margin wins, of equal ones the first name."""
+
+    def __init__(self, rows: list, labels: list[str]):
+        self.classes = sorted(set(labels))
+        of = np.array(labels)
+        self.weights = np.zeros((WIDTH, len(self.classes)), np.float32)
+        self.biases = np.zeros(len(self.classes))
+        for number, name in enumerate(self.classes if len(self.classes) > 1 else []):
+            weights, self.biases[number] = dual_coordinate_descent(rows, np.where(of == name, 1.0, -1.0), WIDTH, cost=10.0)
+            self.weights[:, number] = weights
+
+    def predict(self, row: tuple[np.ndarray, np.ndarray]) -> tuple[str, float]:
+        """The class and how sure its machine is, at least one half (1 if there is no other class)."""
+        if len(self.classes) == 1:
+            return self.classes[0], 1.0
+        margins = row[1] @ self.weights[row[0]] + self.biases
+        best = int(np.argmax(margins))
+        return self.classes[best], max(0.5, sigmoid(2 * float(margins[best])))
+
+
 @dataclass
 class LanguageModel:
-    families: OneVersusOne
+    families: OneVersusRest
     languages: dict[str, OneVersusOne]
 
     @classmethod
     def fit(cls, rows: list, labels: list[str]) -> LanguageModel:
         family = [_FAMILY.get(label.lower(), label) for label in labels]
         inside = {f: [i for i, x in enumerate(family) if x == f] for f in set(family)}
-        return cls(OneVersusOne(rows, family),
+        return cls(OneVersusRest(rows, family),
                    {f: OneVersusOne([rows[i] for i in at], [labels[i] for i in at]) for f, at in inside.items()})
 
+    def nbytes(self) -> int:
+        """Bytes of the weights, which are sent to every task."""
+        return self.families.weights.nbytes + sum(pair[2].nbytes for machines in self.languages.values() for pair in machines.pairs)
+
     def predict(self, text: bytes) -> tuple[str, float]:
         row = letter_shares(text)
         if not len(row[0]) or not self.families.classes:
@@ -129,10 +157,10 @@ def fit_language(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, mo
     """The model from rows outside the held-out fold; at most ``most_rows`` rows of at most ``WIDTH`` numbers reach the driver."""
     known = docs.select("doc_id", "lang").where("doc_id is not null and lang is not null").where(
         fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    # Counts are combined before the shuffle; a language with most of the rows is no group of its own anywhere.
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # Counts are combined before the shuffle, and a bounded number of them is sent to the rows: a language with most of them is no group anywhere.
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    sample = (known.join(counts, "lang").where(place < rows_per_language / F.col("n")).select("doc_id", "lang").distinct()
+    sample = (known.join(F.broadcast(counts), "lang").where(place < rows_per_language / F.col("n")).select("doc_id", "lang").distinct()
               .orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(most_rows))
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"])
     found = map_arrow(rows.select("lang", "text"), _share_rows, "lang STRING, grams ARRAY<INT>, shares ARRAY<DOUBLE>").toArrow()

@@ -104,7 +104,8 @@ def training_ids(labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Dat
 def fit_quality(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> NaiveBayesSvm:
     """The model; at most ``2 * rows_per_class`` rows of at most ``WIDTH`` numbers reach the driver."""
     sample = F.broadcast(training_ids(labels, rows_per_class))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").dropDuplicates(["doc_id"]).select("label", "text")
+    # Of several rows of an id the one with the least text teaches: the same fit whenever it is repeated.
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
     found = map_arrow(rows, _indicator_rows, "label INT, grams ARRAY<INT>").toArrow()
     grams = [row.values.to_numpy(zero_copy_only=False) for row in found.column("grams").combine_chunks()] if len(found) else []
     order = sorted(range(len(grams)), key=lambda i: grams[i].tobytes())  # the same fit whatever the order of arrival

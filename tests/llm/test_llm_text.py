@@ -1,5 +1,6 @@
 """Decontamination, packing, quality and language against brute force, exact round trips and held-out labels."""
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyward.llm.decontaminate import Benchmark, WuManber, contamination, drop_contaminated, words_of
-from tallyward.llm.language import identify_language, letter_shares
+from tallyward.llm.language import LanguageModel, fit_language, identify_language, letter_shares
 from tallyward.llm.linear import dual_coordinate_descent
 from tallyward.llm.packing import TIERS, pack_documents, tokenizer_path, word_tokens
-from tallyward.llm.quality import indicators, keep_good, score_quality
+from tallyward.llm.quality import HASHED, REPEATED_PAIRS, fit_quality, indicators, keep_good, score_quality, with_quality
 from tallyward.llm.storage import table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -200,6 +201,33 @@ def test_quality_of_held_out_rows(spark):
     assert np.mean([r.predicted == r.quality for r in held]) > 0.93
 
 
+def test_quality_against_a_plain_recomputation(spark, docs, sf_dir):
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), rows_per_class=50)
+    rows = {r.doc_id: (r.text, r.score) for r in with_quality(docs.select("doc_id", "text"), model).limit(80).collect()}
+    for text, score in rows.values():
+        data, seen = (text or "").encode(), set()
+        for size in range(1, 5):
+            for i in range(len(data) - size + 1):
+                gram = int.from_bytes(data[i:i + size], "big")
+                seen.add((gram + size) * 2654435761 % 2**32 >> 16)
+        words = data.split()
+        share = sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words) - 1)
+        seen |= {HASHED + n for n, bound in enumerate(REPEATED_PAIRS) if share > bound}
+        norm = max(sum(float(model.ratio[g]) ** 2 for g in seen) ** 0.5, 1e-12)
+        margin = sum(float(model.scaled[g]) for g in seen) / norm + model.bias
+        assert abs(score - 1 / (1 + math.exp(-2 * margin))) < 1e-9
+
+
+def test_quality_fit_is_repeatable_with_repeated_ids_and_disagreeing_labels(spark, docs, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    some = labels.select("doc_id").where("doc_id is not null").orderBy("doc_id").limit(8)
+    again = docs.join(some, "doc_id").withColumn("text", F.concat(F.lit("zz "), F.col("text")))
+    flipped = labels.join(some.limit(3), "doc_id").withColumn("quality", 1 - F.col("quality"))
+    fits = [fit_quality(part, labels.unionByName(flipped), 30) for part in (
+        docs.unionByName(again), again.unionByName(docs).repartition(7), docs.unionByName(again).unionByName(again))]
+    assert all(np.array_equal(fits[0].scaled, fit.scaled) and fits[0].bias == fit.bias for fit in fits[1:])
+
+
 def test_quality_odd_rows(spark, odd, empty, docs, sf_dir):
     labels = table(spark, sf_dir, "labels")
     none = labels.limit(0)
@@ -217,6 +245,69 @@ def test_language_of_held_out_rows(docs):
     assert np.mean([r.lang == r.lang_pred for r in held]) > 0.95
 
 
+def plain_shares(text):
+    """Square roots of the shares of hashed n-grams, letter by letter."""
+    letters = [c if c.isalpha() else " " for c in text.lower()]
+    letters = [c for i, c in enumerate(letters) if c != " " or i == 0 or letters[i - 1] != " "]
+    counts = Counter()
+    for size in range(1, 4):
+        for i in range(len(letters) - size + 1):
+            gram = 0
+            for place in range(size):
+                gram = (gram * 0x01000193 + ord(letters[i + place]) * (place + 1 if place else 1)) % 2**32 if place else ord(letters[i])
+            counts[(gram * 2654435761) % 2**32 >> 17] += 1
+    total = sum(counts.values())
+    return {number: (n / total) ** 0.5 for number, n in counts.items()}
+
+
+def test_language_against_a_plain_recomputation(docs):
+    model = fit_language(docs, rows_per_language=40)
+    for row in docs.where("text is not null").limit(60).collect():
+        shares = plain_shares(row.text)
+        if not shares:
+            continue
+        found, values = letter_shares(row.text.encode())
+        assert {int(n): round(v, 9) for n, v in zip(found, values)} == {n: round(v, 9) for n, v in shares.items()}
+        margins = [sum(v * float(model.families.weights[n, c]) for n, v in shares.items()) + model.families.biases[c] for c in range(len(model.families.classes))]
+        family = model.families.classes[int(np.argmax(margins))]
+        duels = model.languages[family]
+        votes, sure = Counter(), dict.fromkeys(duels.classes, 1.0)
+        for a, b, weights, bias in duels.pairs:
+            chance = 1 / (1 + math.exp(-2 * (sum(v * float(weights[n]) for n, v in shares.items()) + bias)))
+            votes[duels.classes[a if chance >= 0.5 else b]] += 1
+            sure[duels.classes[a]], sure[duels.classes[b]] = min(sure[duels.classes[a]], chance), min(sure[duels.classes[b]], 1 - chance)
+        best = max(duels.classes, key=lambda c: (votes[c], sure[c]))
+        # Weights are rounded to 32 bits: margins agree to some digits.
+        language, score = model.predict(row.text.encode())
+        assert language == best and abs(score - max(0.5, 1 / (1 + math.exp(-2 * max(margins)))) * sure[best]) < 1e-4
+
+
+def test_many_languages_make_a_bounded_model():
+    rng = np.random.default_rng(8)
+    codes = [f"x{n:03d}" for n in range(150)] + ["de", "en", "nl", "fr", "es"]
+    rows, labels = [], []
+    for code in codes:
+        marks = rng.choice(1 << 15, 40, replace=False)
+        for _ in range(3):
+            grams = np.unique(np.concatenate([rng.choice(marks, 30), rng.choice(1 << 15, 5)])).astype(np.int32)
+            rows.append((grams, np.full(len(grams), len(grams) ** -0.5)))
+            labels.append(code)
+    model = LanguageModel.fit(rows, labels)
+    assert model.nbytes() <= (152 + 4) * 4 * (1 << 15) < 21_000_000
+    right = 0
+    for (grams, shares), code in zip(rows, labels):
+        family, _ = model.families.predict((grams, shares))
+        right += model.languages[family].predict((grams, shares))[0] == code
+    assert right > 0.97 * len(rows)
+
+
+def test_language_with_clashing_columns_and_skew(spark, docs):
+    mixed = docs.select("doc_id", "text", F.when(F.col("doc_id") % 3 > 0, "en").otherwise(F.col("lang")).alias("lang")).withColumns(
+        {"score": F.lit(1), "lang_pred": F.lit("x"), "held_out": F.lit(None).cast("string")})
+    assert identify_language(mixed).columns == ["doc_id", "held_out", "lang_pred", "score"]
+    assert identify_language(mixed).count() == docs.count()
+
+
 def test_language_odd_rows(odd, empty, docs):
     rows = {(r.doc_id, r.lang_pred) for r in identify_language(odd.select("doc_id", "text", "lang")).collect()}
     assert {(1, "und"), (2, "und"), (3, "und"), (7, "und")} <= rows
