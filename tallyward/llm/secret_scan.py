@@ -12,7 +12,6 @@ words with the log-odds that labelled findings give them.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from math import log2
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -124,7 +123,10 @@ def parts(text: str) -> Column:
 
 
 def _table(values: dict[str, float]) -> Column:
-    return F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*map(F.lit, values.values()))) if values else F.expr("map('', 0.0D)")
+    """A literal map; its keys are letters."""
+    if not values:
+        return F.expr("map('', 0.0D)")
+    return F.expr("map({})".format(", ".join(f"'{key}', {value!r}D" for key, value in values.items())))
 
 
 def features(findings: DataFrame, learned: Learned = NOTHING_LEARNT) -> DataFrame:
@@ -185,47 +187,54 @@ def labelled_findings(docs: DataFrame, path: Column, sample: int = SAMPLE_DOCUME
         "*", "substr('!@#$%&*?^', cast(1 + turn % 9 as int), 1) as mark", "initcap(replace(left(slug, 7), '_', '')) as name",
         "rpad(replace(slug, '_', ''), 18, 'quietriverstones') as joined", "array_join(transform(sequence(1, 6), i -> "
         "left(base64(unhex(concat(sha2(concat(id, cast(i as string)), 256), sha2(concat('p', id, cast(i as string)), 256)))), 64)), '\n') as lines")
-    quote, tail = "'\"'", "concat('\" ', left(words, 30))"
-    row = lambda value, before, after, label: (
-        f"struct({value} as candidate, concat(right(words, 20), ' ', {before}) as before, {after} as after, {label} as label)")
-    # Values without a word beside them that says what they are are told by their own look: what a key is called is one sign among others.
-    words = ("token = ", "api_key: ", "secret=", "password = ", "pwd: ", "client_secret = ", "passphrase=")
-    rows = [row(value, f"concat('{word}', {quote})", tail, 1) for word in words for value in (
+    # Values by the SQL that makes them, each with what stands before it (``{user}``: a name), how it ends and its label.
+    found: list[tuple[str, str, str, int]] = []
+
+    def add(label: int, end: str, befores: tuple[str, ...], *made: str) -> None:
+        found.extend((value, before, end, label) for before in befores for value in made)
+
+    add(1, "quoted", ('token = "', 'api_key: "', 'secret="', 'password = "', 'pwd: "', 'client_secret = "', 'passphrase="'),
         "h40", "left(b43, 24 + turn div 3)", "concat('a', left(b43, 19))", "concat(left(b43, 6), mark, substr(b43, 8, 9), mark, left(d16, 2))",
         "concat(name, left(d16, 3), mark, turn)", "joined", "concat(replace(left(slug, 14), '_', '-'), mark, left(joined, 7), turn % 10)",
-        "concat(left(joined, 3), '.', substr(joined, 4, 3), '.', substr(joined, 7, 11))")]
-    rows += [row(value, f"'{word}'", "concat(' ', words)", 1) for word in ("token=", "password: ", "api-key=") for value in (
-        "h64", "left(b43, 12)", "concat(left(b43, 8), mark, left(d16, 4))")]
-    rows += [row(f"concat('{prefix}', {value})", f"'{word}'", "concat(' ', words)", 1) for prefix, value in (
-        ("AKIA", "upper(left(h32, 16))"), ("ghp_", "left(b43, 36)"), ("sk_live_", "left(b43, 24)"),
-        ("SG.", "concat(left(b43, 22), '.', b43)"), ("eyJ", "concat(left(b43, 33), '.eyJ', b43, '.', left(b43, 40))")) for word in ("", "use ", "key ")]
-    rows += [row(value, f"concat('{scheme}://', left(slug, 5), ':')", "concat('@host.', left(slug, 4), '/x ', left(words, 20))", 1)
-             for scheme in ("postgres", "https", "redis") for value in ("left(b43, 14)", "concat(lower(name), left(d16, 2), 'pass')", "left(h32, 16)")]
-    rows += [row(value, f"'Authorization: {word} '", "concat(' ', words)", 1) for word, value in (
-        ("Bearer", "left(b43, 40)"), ("Basic", "base64(cast(concat(name, ':', left(b43, 9)) as binary))"), ("bearer", "h40"))]
-    rows += [row("concat('-----BEGIN RSA PRIVATE KEY-----\n', lines, '\n-----END RSA PRIVATE KEY-----')", "''", "concat(' ', words)", 1)]
-    rows += [row(value, f"'{word}'", "concat(' ', words)", 0) for value, word in (
-        ("h40", "commit "), ("h64", "sha256:"), ("h32", "md5 "), ("h40", "revision "), ("h64", "digest: "), ("h32", "etag "),
-        ("concat_ws('-', left(h32, 8), substr(h32, 9, 4), substr(h32, 13, 4), substr(h32, 17, 4), right(h32, 12))", "uuid "),
-        ("d16", ""), ("d16", "card "), ("d16", "order "), ("concat(left(d16, 4), '-', substr(d16, 5, 4), '-', substr(d16, 9, 4), '-', right(d16, 4))", ""),
-        ("concat(slug, '_', turn)", ""), ("concat(slug, '-', left(d16, 4))", "file "), ("concat('IMG_', left(d16, 8), '_', right(d16, 6))", ""),
-        ("concat('article/', slug, '/', turn)", "see /"), ("concat('get_user_', slug, '_v', turn)", ""),
-        ("concat('www.', replace(slug, '_', '-'), turn, '.com/', left(slug, 6))", "https://"), ("concat(replace(slug, '_', '.'), turn, '.tar.gz')", "file "),
-        *[(f"left(concat(d16, d16), {n})", word) for n, word in ((16, ""), (17, "no "), (18, ""), (20, "tel "), (16, "id "), (19, ""))],
-        ("concat('/usr/share/', slug, '/', left(d16, 3), '.png')", ""), ("concat('v', turn, '.', left(d16, 3), '.0-rc.1-', left(slug, 8))", "version "),
-        ("concat(left(d16, 4), '-01-', left(d16, 2), 'T10:', turn)", "date "), ("concat(left(d16, 5), '.', right(d16, 10))", ""),
-        ("concat(repeat(left(h32, 1), 18), turn)", ""), ("concat(replace(slug, '_', ''), replace(slug, '_', ''), turn)", ""))]
-    rows += [row(value, f"concat('{word}', {quote})", tail, 0) for word in ("token = ", "password: ", "api_key=", "secret = ") for value in (
+        "concat(left(joined, 3), '.', substr(joined, 4, 3), '.', substr(joined, 7, 11))")
+    add(1, "plain", ("token=", "password: ", "api-key="), "h64", "left(b43, 12)", "concat(left(b43, 8), mark, left(d16, 4))")
+    add(1, "plain", ("", "use ", "key "), "concat('AKIA', upper(left(h32, 16)))", "concat('ghp_', left(b43, 36))", "concat('sk_live_', left(b43, 24))",
+        "concat('SG.', left(b43, 22), '.', b43)", "concat('eyJ', left(b43, 33), '.eyJ', b43, '.', left(b43, 40))")
+    add(1, "host", ("postgres://{user}:", "https://{user}:", "redis://{user}:"), "left(b43, 14)", "concat(lower(name), left(d16, 2), 'pass')", "left(h32, 16)")
+    add(1, "plain", ("Authorization: Bearer ",), "left(b43, 40)", "h40")
+    add(1, "plain", ("Authorization: Basic ",), "base64(cast(concat(name, ':', left(b43, 9)) as binary))")
+    for kind, lines, before in (("RSA ", "lines", ""), ("EC ", "left(lines, 90)", "key "), ("", "left(lines, 40)", "pem: ")):
+        add(1, "plain", (before,), f"concat('-----BEGIN {kind}PRIVATE KEY-----\\n', {lines}, '\\n-----END {kind}PRIVATE KEY-----')")
+    for before, value in (
+            ("commit ", "h40"), ("sha256:", "h64"), ("md5 ", "h32"), ("revision ", "h40"), ("digest: ", "h64"), ("etag ", "h32"),
+            ("uuid ", "concat_ws('-', left(h32, 8), substr(h32, 9, 4), substr(h32, 13, 4), substr(h32, 17, 4), right(h32, 12))"),
+            ("", "d16"), ("card ", "d16"), ("order ", "d16"), ("", "concat(left(d16, 4), '-', substr(d16, 5, 4), '-', substr(d16, 9, 4), '-', right(d16, 4))"),
+            ("", "concat(slug, '_', turn)"), ("file ", "concat(slug, '-', left(d16, 4))"), ("", "concat('IMG_', left(d16, 8), '_', right(d16, 6))"),
+            ("see /", "concat('article/', slug, '/', turn)"), ("", "concat('get_user_', slug, '_v', turn)"),
+            ("https://", "concat('www.', replace(slug, '_', '-'), turn, '.com/', left(slug, 6))"), ("file ", "concat(replace(slug, '_', '.'), turn, '.tar.gz')"),
+            ("", "left(concat(d16, d16), 16)"), ("no ", "left(concat(d16, d16), 17)"), ("", "left(concat(d16, d16), 18)"), ("tel ", "left(concat(d16, d16), 20)"),
+            ("id ", "left(concat(d16, d16), 16)"), ("", "left(concat(d16, d16), 19)"), ("", "concat('/usr/share/', slug, '/', left(d16, 3), '.png')"),
+            ("version ", "concat('v', turn, '.', left(d16, 3), '.0-rc.1-', left(slug, 8))"), ("date ", "concat(left(d16, 4), '-01-', left(d16, 2), 'T10:', turn)"),
+            ("", "concat(left(d16, 5), '.', right(d16, 10))"), ("", "concat(repeat(left(h32, 1), 18), turn)"),
+            ("", "concat(replace(slug, '_', ''), replace(slug, '_', ''), turn)"), ("basic ", "concat(left(slug, 8), '101')"), ("Bearer ", "'<token_123>'")):
+        add(0, "plain", (before,), value)
+    add(0, "quoted", ('token = "', 'password: "', 'api_key="', 'secret = "'),
         "concat('your_token_here_', turn)", "concat('changeme', turn)", "concat('example', left(d16, 6))", "concat(repeat('x', 16), turn)",
         "'placeholder_value'", "concat(repeat('0', 12), turn)", "'default_password'", "concat(slug, '_name')", "concat('$', '{', upper(slug), '}')",
-        "concat('<', slug, '>')", "left(words, 30)", "concat('enter your ', left(words, 12))", "concat('os.environ.get(', slug, ')')", "'********'")]
-    rows += [row(value, f"'{word}'", "concat(' ', words)", 0) for word in ("token: ", "password: ", "secret: ") for value in (
-        "concat(left(slug, 9), 'ing')", "'required'", "concat('get_', left(slug, 8), '()')", "concat('$', upper(left(slug, 8)))", "'undefined'")]
-    rows += [row(value, f"'{word} '", "concat(' ', words)", 0) for word, value in (("basic", "concat(left(slug, 8), '101')"), ("Bearer", "'<token_123>'"))]
-    values = written(values, "dressed")
-    # Few rows at a time: generated code has a limit.
-    some = [rows[at:at + 20] for at in range(0, len(rows), 20)]
-    return reduce(DataFrame.unionAll, [values.select("path", F.expr(f"inline(array({', '.join(part)}))")) for part in some])
+        "concat('<', slug, '>')", "left(words, 30)", "concat('enter your ', left(words, 12))", "concat('os.environ.get(', slug, ')')", "'********'")
+    add(0, "plain", ("token: ", "password: ", "secret: "), "concat(left(slug, 9), 'ing')", "'required'", "concat('get_', left(slug, 8), '()')",
+        "concat('$', upper(left(slug, 8)))", "'undefined'")
+    makers = sorted({value for value, *_ in found})
+    dressed = values.select("path", "words", "slug", F.array(*[F.expr(f"cast({maker} as string)") for maker in makers]).alias("made"))
+    contexts = F.array(*[F.struct(F.lit(makers.index(value)).alias("at"), F.lit(before).alias("before"), F.lit(end).alias("end"), F.lit(label).alias("label"))
+                         for value, before, end, label in found])
+    ends = (F.when(F.col("end") == "quoted", F.concat(F.lit('" '), F.left("words", F.lit(30))))
+            .when(F.col("end") == "host", F.concat(F.lit("@host."), F.left("slug", F.lit(4)), F.lit("/x "), F.left("words", F.lit(20))))
+            .otherwise(F.concat(F.lit(" "), F.col("words"))))
+    before = F.replace("before", F.lit("{user}"), F.left("slug", F.lit(5)))
+    return written(dressed, "dressed").select("*", F.inline(contexts)).select(
+        "path", F.get("made", "at").alias("candidate"), F.concat(F.right("words", F.lit(20)), F.lit(" "), before).alias("before"),
+        ends.alias("after"), "label")
 
 
 @dataclass
