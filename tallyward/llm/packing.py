@@ -264,7 +264,7 @@ def pack_documents(docs: DataFrame, tiers: tuple[int, ...] = TIERS, step_tokens:
 
     ``tiers`` are powers of two. doc_id, start (the document's ids before the piece), length, ids_crc32, doc_tokens (with the closing id), sequence_id, offset (in the sequence), window (its
     size) and step_group. Each id of each document is in exactly one piece. Null and empty texts
-    consist of the closing id alone; repeated rows are documents of their own; a null doc_id stays null;
+    consist of the closing id alone; texts of any length are tokenized whole; an empty table gives an empty result; repeated rows are documents of their own; a null doc_id stays null;
     other columns are not read. At most one sequence of each input split is not full.
     """
     if not tiers or any(w < 1 or w & (w - 1) for w in tiers):

@@ -91,7 +91,7 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule] | None = None, default: st
 
     The winning rule gives the verdict; its name is in ``rule`` if it is a listed one (rank above 0), else in ``pattern``.
     A URL without a fitting rule, or null, gets ``default``. Columns of these names are replaced; all rows
-    stay, repeated ones too.
+    stay, repeated ones too; an empty table gives an empty result. URLs of any length are judged whole.
     """
     rules = LISTED + PATTERNS if rules is None else rules
     added = ["host", "path", "rule", "verdict", "pattern"]

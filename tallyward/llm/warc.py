@@ -101,7 +101,8 @@ def write_archives(pages: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES)
 
     Of pages with equal payloads of at least 100 bytes the one with the smallest page_id is the response (all of them, if that
     row repeats), the others revisit it; shorter payloads are all responses. A null html is an empty payload, a page with
-    a null page_id never is what others revisit.
+    a null page_id never is what others revisit. Payloads of any length go through in chunks. An empty table gives files without
+    records; columns besides page_id, url and html are not read.
     """
     chunks = page_chunks(pages, chunk_bytes)
     first = F.col("chunk_no") == 1
