@@ -1,4 +1,8 @@
-"""A corpus pipeline of the training-data operators: filter, deduplicate, decontaminate, redact, pack."""
+"""A corpus pipeline of the training-data operators: filter, deduplicate, decontaminate, redact, pack.
+
+All stages read whole texts of any length; a null text counts as empty and stays null, other columns may hold nulls, and an
+empty table gives an empty result. The first four keep the columns of their input, also extra ones whose names they use themselves.
+"""
 
 from __future__ import annotations
 
@@ -14,27 +18,29 @@ from tallyward.llm.storage import ship, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the NB-SVM, learnt from ``labels``, rejects go."""
+    """Documents that the NB-SVM, learnt from ``labels``, rejects go; repeated rows go or stay together. A tie (0.5) stays, and so does
+    everything if the labels do not hold both classes."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates stays: that of the smallest doc_id."""
+    """One document of each group of SimHash near-duplicates stays: that of the smallest doc_id, one row of it if it repeats. Texts
+    without words are near-duplicates of one another."""
     return drop_near_duplicates(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a ``benchmark`` item go."""
+    """Documents that hold ten consecutive words of a ``benchmark`` item (all of a shorter one) go; an empty benchmark drops none."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by ``<SECRET>``; all documents stay."""
+    """Secrets in the texts are replaced by ``<SECRET>``; all documents stay, and n_chars follows the text."""
     return redact_secrets(docs, F.col("source"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 tokens, with their token ids."""
+    """Pieces of the documents in sequences of at most 2048 tokens, with their token ids; an empty text is its closing id alone."""
     return pack_documents(docs, with_ids=True)
 
 
