@@ -29,8 +29,9 @@ CONTEXT = 40
 SAMPLE_DOCUMENTS = 160
 TREES, DEPTH, SEED = 40, 8, 7
 
-_ASSIGNED = (r"(?i:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|(?:api|access|private|auth|encryption|account)[_-]?key|connection[_-]?string)"
-             r"[\"']?\s{0,3}[:=]\s{0,3}")
+_CALLED = (r"(?i:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|(?:api|access|private|auth|encryption|account)[_-]?key|connection[_-]?string)"
+           r"[\"']?\s{0,3}")
+_ASSIGNED = _CALLED + r"[:=]\s{0,3}"
 _RUN = r"[A-Za-z0-9+/_~-]"
 _LONG = rf"(?<![A-Za-z0-9+/_.~-])(?=[A-Za-z+/_.~-]*+[0-9]){_RUN}[A-Za-z0-9+/_.~-]{{14,}}{_RUN}={{0,2}}"
 _PEM = (r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----(?:[\s\S]{0,20000}?-----END [A-Z0-9 ]{0,30}PRIVATE KEY-----"
@@ -39,10 +40,9 @@ _PEM = (r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----(?:[\s\S]{0,20000}?-----END
 _KINDS = [
     ("", _PEM),
     (r"://[^\s/:@\"']{1,64}:", r"[^\s/@\"']{3,}(?=@)"),
-    (_ASSIGNED + '"', r'[^"\n]{4,}(?=")'),
-    (_ASSIGNED + "'", r"[^'\n]{4,}(?=')"),
-    (_ASSIGNED + r"[\"']?", r"[^\s\"']{5,}[^\s\"'.,;:!?)\]}]"),
-    (r"(?i:\b(?:bearer|basic))\s{1,3}", r"(?=[A-Za-z+/_.~-]*+[0-9=]|[A-Z]*+[a-z]+[A-Z])[A-Za-z0-9+/_.~-]{8,}={0,2}"),
+    # Looked for from the sign that assigns, which is rare, back to what is called so.
+    (rf"(?=[:=])(?<={_CALLED})[:=]\s{{0,3}}[\"']?", r"""(?<=")[^"\n]{4,}(?=")|(?<=')[^'\n]{4,}(?=')|[^\s"']{5,}[^\s"'.,;:!?)\]}]"""),
+    (r"(?=[Bb])(?i:\b(?:bearer|basic))\s{1,3}", r"(?=[A-Za-z+/_.~-]*+[0-9=]|[A-Z]*+[a-z]+[A-Z])[A-Za-z0-9+/_.~-]{8,}={0,2}"),
     ("", _LONG),
 ]
 _ANY = "|".join(f"({before})({value})" for before, value in _KINDS)
