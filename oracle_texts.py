@@ -698,10 +698,11 @@ ORACLES: dict[str, str] = {
         "select gender, count(*) as n_records from patients where gender not in ('M', 'F') group by 1", "patients"),
     "dq_report": over(f"select *, failing = 0 as passed from ({CHECKS})", *ALL),
     "raw_partition_present": over(
-        "select 'patients' as table_name, cast(count(*) > 0 as bigint) as n_rows from raw_patients", "raw_patients"),
+        per_table("select '{t}' as table_name, cast(count(*) > 0 as bigint) as n_rows from raw_{t}"), *RAW_NAMES),
     "all_raw_partitions_present": over(
-        per_table("select '{t}' as table_name, case when count(*) > 0 then 'PASS' else 'FAIL' end as status from raw_{t}", CORE[:3])
-        + " union all select 'medications', 'FAIL'", *RAW_NAMES[:3]),
+        per_table("select '{t}' as table_name, case when count(*) > 0 then 'PASS' else 'FAIL' end as status from raw_{t}",
+                  ("patients", "encounters", "conditions"))
+        + " union all select 'medications', 'FAIL'", "raw_patients", "raw_encounters", "raw_conditions"),
     "run_summary": over(
         f"select {AS_OF} as run_date, true as has_raw, table_name, case when n_rows > 0 then 'PASS' else 'FAIL' end as status, "
         f"n_rows > 0 as has_bytes from ({RAW_COUNTS})", *RAW_NAMES),

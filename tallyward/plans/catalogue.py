@@ -340,8 +340,7 @@ def validate_raw(ws: Workspace) -> DataFrame:
 
 def raw_partition_present(ws: Workspace) -> DataFrame:
     zones, _ = _landed(ws)
-    found = z.raw_partition_present(ws.spark, zones.raw, "patients", ws.as_of)
-    return _counted(ws, {"patients": int(found > 0)})
+    return _counted(ws, {t: int(z.raw_partition_present(ws.spark, zones.raw, t, ws.as_of) > 0) for t in CORE_TABLES})
 
 
 def all_raw_partitions_present(ws: Workspace) -> DataFrame:
