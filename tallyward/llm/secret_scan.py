@@ -302,11 +302,14 @@ def redact_secrets(docs: DataFrame, path: Column, findings: DataFrame | None = N
     length and the control characters 1 and 2 become spaces.
     """
     model = fit_forest(labelled_findings(docs, path) if findings is None else findings)
-    judged = judge(candidates(docs, [], path), model)
+    key, at, where, flag = (free_name(docs.columns, n) for n in ("text_key", "secret_at", "secret_path", "suspect"))
+    # Written once with whether a text has candidates, so that it is searched once and not for each use.
+    searched = written(docs.withColumn(flag, F.coalesce(F.col("text").rlike(_ANY), F.lit(False))).withColumn(
+        where, F.when(F.col(flag), F.coalesce(path.cast("string"), F.lit("")))), "searched")
+    suspects = searched.where(F.col(flag))
+    judged = judge(candidates(suspects, [], F.col(where)), model)
     flagged = judged.where(F.col("score") >= THRESHOLD).groupBy("path", "text_key").agg(F.collect_list("ordinal").alias("secret_at"))
-    key, at, where = (free_name(docs.columns, n) for n in ("text_key", "secret_at", "secret_path"))
-    suspect = F.coalesce(F.col("text").rlike(_ANY), F.lit(False))
-    marked = docs.where(suspect).withColumn(where, F.coalesce(path.cast("string"), F.lit(""))).withColumn(key, F.sha2("text", 256))
+    marked = suspects.withColumn(key, F.sha2("text", 256))
     joined = marked.join(flagged.toDF(where, key, at), [where, key], "left")
     clean = F.array_join(F.transform(parts("text"), lambda part, i: F.when(
         F.array_contains(F.col(at), F.when(i % 2 == 1, ((i + 1) / 2).cast("int")).otherwise(0)), REDACTED).otherwise(part)), "")
@@ -315,4 +318,4 @@ def redact_secrets(docs: DataFrame, path: Column, findings: DataFrame | None = N
     columns = {"text": text} | ({"n_chars": F.when(changed, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)}
                                 if "n_chars" in docs.columns else {})
     redacted = joined.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
-    return docs.where(~suspect).unionByName(redacted)
+    return searched.where(~F.col(flag)).select(*docs.columns).unionByName(redacted)
