@@ -3,8 +3,8 @@
 A line with licence vocabulary is compared with every template as a sparse TF-IDF vector: terms of line and template meet
 in a join on the term, products add up to the cosine. Headers and licence texts run over many lines or stand inside a long
 one: windows of words as long as a template, laid so that a word of the licence vocabulary lies where the template has it, are compared
-with that template in the same way. A document whose licence lines make up a good part of it, or whose file
-name says so, is a licence file and speaks for its directory; a document without a licence of its own takes
+with that template in the same way. A document that is a licence text nearly as a whole, or whose file
+name says so, and on demand one whose licence lines make up a good part of it, is a licence file and speaks for its directory; a document without a licence of its own takes
 that of the nearest directory above it, found by joining the directories of its path with those that have one.
 Documents without licence vocabulary cost one regular expression and are never shuffled with their text.
 """
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tallyward.llm.storage import map_arrow, ship, steps, written
 
 SIMILARITY = 0.6
+# Share of a document's characters in licence lines from which it may be taken for a licence file (``file_share``).
+FILE_SHARE = 0.3
 # Longer lines are compared by pieces of this many characters.
 PIECE = 2000
 
@@ -294,12 +296,13 @@ def _above(directory: str) -> Column:
     return F.transform(F.sequence(F.size(names), F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(names, F.lit(1), n), "/"))
 
 
-def scan_licences(docs: DataFrame, path: Column, similarity: float = SIMILARITY) -> DataFrame:
+def scan_licences(docs: DataFrame, path: Column, similarity: float = SIMILARITY, file_share: float | None = None) -> DataFrame:
     """One row per document: doc_id, path, licence, score, how (own, inherited or none), from_directory.
 
     ``licence`` is that of the document's own passage that explains most, else of its most similar line, else the one its nearest ancestor directory has from
     its licence files (the most frequent one there, then the first by name). Null and empty texts have no licence of their own, a
     null path is the empty one, at the top; a null doc_id stays null; repeated rows give repeated results; an empty table gives an empty result.
+    With ``file_share`` a document with at least that share of its characters in different licence lines counts as a licence file too.
     """
     placed = docs.select("doc_id", "text", F.coalesce(path.cast("string"), F.lit("")).alias("path"))
     # The one pass that looks for vocabulary; what follows reads these texts only.
@@ -307,17 +310,22 @@ def scan_licences(docs: DataFrame, path: Column, similarity: float = SIMILARITY)
     known = written(line_licences(licence_lines(hinted), similarity), "lines")
     named_file = F.col("path").rlike(_FILE_NAME)
     # Rows are found again by (path, text): equal ones get equal answers.
-    suspects = hinted.where(F.col("text").rlike(_VOCABULARY)).select("path", "text_key", F.explode(_candidate_lines()).alias("line"))
-    own = suspects.join(known, "line").groupBy("path", "text_key").agg(F.min(F.struct((-F.col("score")).alias("least"), "licence")).alias("best"))
-    of_lines = own.select("path", "text_key", F.col("best.licence").alias("line_own"), (-F.col("best.least")).alias("line_score"))
+    suspects = hinted.where(F.col("text").rlike(_VOCABULARY)).select(
+        "path", "text_key", F.length("text").alias("size"), F.explode(F.array_distinct(_candidate_lines())).alias("line"))
+    once = suspects.join(known, "line").groupBy("path", "text_key", "line").agg(
+        F.min("licence").alias("licence"), F.min("score").alias("score"), F.min("size").alias("size"))
+    own = once.groupBy("path", "text_key").agg(
+        F.min(F.struct((-F.col("score")).alias("least"), "licence")).alias("best"), (F.sum(F.length("line")) / F.min("size")).alias("share"))
+    of_lines = own.select("path", "text_key", F.col("best.licence").alias("line_own"), (-F.col("best.least")).alias("line_score"), "share")
     passages = passage_licences(hinted, similarity)
     # Where both agree, the better score counts.
     alike = F.col("passage_licence").isNull() | F.coalesce(F.col("passage_licence") == F.col("line_own"), F.lit(False))
     own = written(hinted.select("path", "text_key").distinct().join(of_lines, ["path", "text_key"], "left").join(passages, "text_key", "left").select(
         "path", "text_key", F.coalesce("passage_licence", "line_own").alias("own"),
         F.when(alike, F.greatest("line_score", "passage_score")).otherwise(F.col("passage_score")).alias("own_score"),
-        F.coalesce("whole", F.lit(False)).alias("whole")).where("own is not null"), "own")
-    speaking = own.where(named_file | F.col("whole")).withColumn(
+        F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("whole", F.lit(False)).alias("whole")).where("own is not null"), "own")
+    mostly = F.lit(False) if file_share is None else F.col("share") >= file_share
+    speaking = own.where(named_file | F.col("whole") | mostly).withColumn(
         "directory", F.regexp_replace("path", _DIRECTORY, ""))
     votes = speaking.groupBy("directory", "own").agg(F.count("*").alias("n"), F.min("own_score").alias("score"))
     declared = votes.groupBy("directory").agg(F.min(F.struct((-F.col("n")).alias("rarity"), "own", "score")).alias("most")).select(
@@ -327,7 +335,7 @@ def scan_licences(docs: DataFrame, path: Column, similarity: float = SIMILARITY)
     nearest = ancestors.join(declared, "directory").groupBy("at").agg(
         F.min(F.struct("up", "directory", "given", "given_score")).alias("near")).select("at", "near.*")
     rows = placed.select("doc_id", "path", F.sha2("text", 256).alias("text_key"), F.regexp_replace("path", _DIRECTORY, "").alias("at"))
-    answered = rows.join(own.drop("whole"), ["path", "text_key"], "left").join(nearest.drop("up"), "at", "left")
+    answered = rows.join(own.drop("share", "whole"), ["path", "text_key"], "left").join(nearest.drop("up"), "at", "left")
     mine = F.col("own").isNotNull()
     return answered.select(
         "doc_id", "path", F.coalesce("own", "given").alias("licence"), F.coalesce("own_score", "given_score").alias("score"),

@@ -13,7 +13,7 @@ from tallyward.llm.conversation_repair import damage_conversations, repair_conve
 from tallyward.llm.decontaminate import contamination
 from tallyward.llm.embedding import embedding_near_duplicates
 from tallyward.llm.language import identify_language
-from tallyward.llm.licences import TEMPLATES, scan_licences
+from tallyward.llm.licences import FILE_SHARE, TEMPLATES, scan_licences
 from tallyward.llm.packing import pack_documents
 from tallyward.llm.quality import score_quality
 from tallyward.llm.secret_scan import scan_secrets
@@ -54,9 +54,9 @@ def op7_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licence_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths of their own: they lie as ``source/language/id.txt``."""
+    """Documents have no paths of their own: they lie as ``source/language/id.txt``; one that is mostly licence lines speaks for its directory."""
     path = F.concat_ws("/", F.col("source"), F.col("lang"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return scan_licences(table(spark, sf_dir, "documents"), path)
+    return scan_licences(table(spark, sf_dir, "documents"), path, file_share=FILE_SHARE)
 
 
 def op9_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,11 +152,11 @@ _TEMPLATE_ROWS = ", ".join(f"('{name}#{i}', '{name}', '{text}')" for name, texts
 _LICENCE_WORDS = ("(?i)licen[sc]e|all rights reserved|copyright|creative commons|free software|permission is hereby|redistribution and use|"
                   "proprietary and confidential")
 
-# The paths of op8 name no licence file and no document is a licence text as a whole, so none inherits; no line with licence words is longer than a piece.
+# The paths of op8 have no directories but source/language that could hold a licence file, and no line with licence words is longer than a piece.
 OP8_SQL = f"""
 with placed as (
-  select doc_id, concat_ws('/', source, lang, doc_id || '.txt') as path, coalesce(text, '') as text from documents),
-cut as (select doc_id, unnest(regexp_split_to_array(text, '\\r\\n|\\n|\\r')) as line from placed),
+  select doc_id, concat_ws('/', source, lang, doc_id || '.txt') as path, concat_ws('/', source, lang) as directory, coalesce(text, '') as text from documents),
+cut as (select doc_id, length(text) as size, unnest(regexp_split_to_array(text, '\\r\\n|\\n|\\r')) as line from placed),
 candidates as (select * from cut where regexp_matches(line, '{_LICENCE_WORDS}')),
 lines as (select distinct line from candidates),
 templates as (select * from (values {_TEMPLATE_ROWS}) as t(template, licence, line)),
@@ -178,12 +178,17 @@ scored as (
 known as (
   select line, licence, score from scored where score >= 0.6
   qualify row_number() over (partition by line order by score desc, licence) = 1),
-hits as (select distinct doc_id, line, licence, score from candidates join known using (line)),
+hits as (select distinct doc_id, size, line, licence, score from candidates join known using (line)),
 own as (
-  select doc_id, first(licence order by score desc, licence) as own, max(score) as own_score from hits group by doc_id)
-select p.doc_id, p.path, o.own as licence, o.own_score as score, case when o.own is not null then 'own' else 'none' end as how,
-  cast(null as varchar) as from_directory
-from placed p left join own o using (doc_id)
+  select doc_id, first(licence order by score desc, licence) as own, max(score) as own_score, sum(length(line)) / any_value(size) as share
+  from hits group by doc_id),
+votes as (
+  select directory, own, count(*) as n, min(own_score) as score from own join placed using (doc_id) where share >= 0.3 group by directory, own),
+declared as (select * from votes qualify row_number() over (partition by directory order by n desc, own, score) = 1)
+select p.doc_id, p.path, coalesce(o.own, d.own) as licence, coalesce(o.own_score, d.score) as score,
+  case when o.own is not null then 'own' when d.own is not null then 'inherited' else 'none' end as how,
+  case when o.own is null then d.directory end as from_directory
+from placed p left join own o using (doc_id) left join declared d on p.directory = d.directory
 """
 
 OP9_SQL = f"""

@@ -364,6 +364,18 @@ def test_few_documents_inherit_without_licence_files(spark):
     assert how.get("inherited", 0) < 0.01 * sum(how.values()) and how["own"] > 10
 
 
+def test_documents_of_licence_lines_speak_for_their_directory(spark, tmp_path):
+    notice = "Licensed under CC BY-NC 4.0."
+    rows = [(1, f"{notice}\nshort", "web", "en"), (2, "z", "web", "en"), (3, f"{notice}\n" + "text " * 50, "web", "de"), (4, "z", "web", "de"),
+            (5, "\n".join([notice] * 9) + "\n" + "long " * 40, "web", "fr"), (6, None, "web", "fr"), (7, "", "web", "en"), (8, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.licence, r.how, r.from_directory) for r in QUERIES["op8_licence_inheritance"](spark, str(tmp_path)).collect()}
+    own, none = ("CC-BY-NC-4.0", "own", None), (None, "none", None)
+    # A line that comes again counts once.
+    assert found == {1: own, 2: ("CC-BY-NC-4.0", "inherited", "web/en"), 3: own, 4: none, 5: own, 6: none, 7: ("CC-BY-NC-4.0", "inherited", "web/en"), 8: none}
+
+
 # --- pipeline
 
 def test_pipeline_stages(spark, sf_dir):
