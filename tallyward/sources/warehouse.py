@@ -48,11 +48,11 @@ def table_location(spark: SparkSession, name: str) -> str:
 def _write_version(df: DataFrame, database: str, table: str, place: str, buckets: tuple[int, str] | None) -> None:
     """The rows as Parquet below ``place``; bucketed files need a table of their own, whose entry is dropped again."""
     if not buckets:
-        df.write.parquet(place)
+        df.write.option("compression", "zstd").parquet(place)
         return
     name = _quoted(database, f"{table}__{uuid.uuid4().hex[:8]}")
     try:
-        (df.repartition(*buckets).write.format("parquet").bucketBy(*buckets).sortBy(buckets[1])
+        (df.repartition(*buckets).write.format("parquet").option("compression", "zstd").bucketBy(*buckets).sortBy(buckets[1])
             .option("path", place).saveAsTable(name))
     finally:
         df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")

@@ -20,7 +20,7 @@ DAYS_AT_ONCE = 32
 def read_changed_days(spark: SparkSession, root: str, table: str, max_files: int | None = None) -> DataFrame:
     """Stream of the days of one landed table that new files belong to. The files are not opened."""
     reader = (spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true")
-              .option("ignoreMissingFiles", "true").option("pathGlobFilter", "*.csv"))
+              .option("ignoreMissingFiles", "true").option("pathGlobFilter", "*.csv*"))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     part = lambda name: F.regexp_extract("path", rf"/{name}=(\d+)/", 1).cast("int").alias(name)

@@ -66,3 +66,11 @@ def test_a_cached_mart_shows_the_new_rows_after_a_refresh(spark, database, tmp_p
     w.refresh_marts(spark, database)
     assert spark.table("swapped_marts.mart_claims_summary").count() == 4
     spark.sql("DROP DATABASE swapped_marts CASCADE")
+
+
+@pytest.mark.parametrize("buckets", [None, (2, "id")])
+def test_warehouse_files_are_written_with_zstd(spark, database, tmp_path, buckets):
+    assert w.replace_table(spark.range(5), database, "t", str(tmp_path), buckets) == 5
+    files = list(tmp_path.rglob("*.parquet"))
+    assert files and all(".zstd." in f.name for f in files)
+    assert rows(spark) == [(i,) for i in range(5)]

@@ -230,3 +230,13 @@ def test_a_crawl_adds_new_columns(spark, tmp_path):
         w.crawl_catalog(spark, database, root, ["t"], file_format)
         assert sorted(map(tuple, spark.table(f"{database}.t").select("Id", "extra", "day").collect())) == [("a", None, 5), ("b", "new", 6)]
         spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+def test_landed_days_are_compressed_and_cut_into_files_that_tasks_share(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(z.CSV_WRITE_OPTIONS, "maxRecordsPerFile", "40")
+    rows = [(str(i), f'say "{i}", or\tnot' if i % 3 else None) for i in range(100)]
+    landed = z.land_raw(spark.createDataFrame(rows, "Id string, STATE string").coalesce(1), str(tmp_path), "patients", AS_OF)
+    files = list(tmp_path.rglob("part-*"))
+    assert len(files) == 3 and all(f.name.endswith(".csv.gz") for f in files) and landed.rows == 100
+    back = z.read_raw_partition(spark, str(tmp_path), "patients", AS_OF)
+    assert sorted(map(tuple, back.collect()), key=lambda r: int(r[0])) == rows
