@@ -17,7 +17,9 @@ from tallyward.operators.marts import claims_mart, patient_mart
 from tallyward.operators.measures import claims_rollup
 from tallyward.operators.staging import stage
 from tallyward.operators.transforms import TRANSFORMS
+from tallyward.plans.catalogue import QUERIES
 from tallyward.plans.lake_marts import LakeMarts
+from tallyward.plans.workspace import Workspace
 from tallyward.schemas import CORE_TABLES
 from tallyward.sources import zones as z
 
@@ -143,3 +145,15 @@ def test_pages_from_the_rollup_read_no_mart(ws):
     for page in PAGES:
         files = page(ws.rollup()).inputFiles()
         assert files and all("claims_rollup" in f for f in files)
+
+
+def test_the_lake_joins_each_raw_table_once(spark, sf_dir, tmp_path, monkeypatch):
+    read = []
+    raw = Workspace.raw
+    monkeypatch.setattr(Workspace, "raw", lambda self, table: read.append(table) or raw(self, table))
+    workspace = Workspace(spark, sf_dir, AS_OF, RUN_TS, str(tmp_path))
+    try:
+        assert QUERIES["incremental_rollup"](workspace).count() > 0
+        assert sorted(read) == ["conditions", "encounters", "medications", "patients"]
+    finally:
+        workspace.close()
