@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.operators.increments import merge_partials, newest_rows, patient_mart_of, patient_partials
-from tallyward.operators.marts import claims_mart, in_date_order
+from tallyward.operators.marts import claims_mart, claims_mart_in_date_order
 from tallyward.operators.measures import claims_rollup, merge_rollups
 from tallyward.operators.staging import stage
 from tallyward.operators.transforms import TRANSFORMS
@@ -81,8 +81,8 @@ class LakeMarts:
         days |= {row.run_date for row in seen.join(moved, "patient_id", "left_semi").select("run_date").distinct().collect()}
         replace_folders(self.spark, self.root, [DIMENSION], lambda staged: fresh.write.parquet(f"{staged}/{DIMENSION}"))
         for day in sorted(days):
-            claims = claims_mart(self._day("encounters", day), self._kept_dimension())
-            write_processed(in_date_order(claims), self.root, "claims", day)
+            claims = claims_mart_in_date_order(self._day("encounters", day), self._kept_dimension())
+            write_processed(claims, self.root, "claims", day)
             written = read_processed_partition(self.spark, self.root, "claims", day)
             write_processed(claims_rollup(written), self.root, "rollup", day)
         return sorted(days)

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.operators.marts import claims_mart, in_date_order, in_patient_order, patient_mart
+from tallyward.operators.marts import claims_mart_in_date_order, in_patient_order, patient_mart
 from tallyward.operators.quality import watched_counters
 from tallyward.operators.staging import STAGING_MODELS, stage
 from tallyward.sources.swap import Store
@@ -159,7 +159,7 @@ def materialize_marts(
     for name in marts:
         buckets = None
         if name == "mart_claims_summary":
-            mart = in_date_order(claims_mart(ref(spark, "stg_encounters"), ref(spark, "stg_patients")))
+            mart = claims_mart_in_date_order(ref(spark, "stg_encounters"), ref(spark, "stg_patients"))
         else:
             mart = patient_mart(*[ref(spark, f"stg_{t}") for t in ("patients", "encounters", "conditions", "medications")])
             buckets = (patient_buckets, "patient_id") if patient_buckets else None

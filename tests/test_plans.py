@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyward.operators.dedupe import one_row_per_key
-from tallyward.operators.marts import claims_mart, in_date_order, in_patient_order, patient_mart
+from tallyward.operators.marts import claims_mart, claims_mart_in_date_order, in_date_order, in_patient_order, patient_mart
 from tallyward.plans.catalogue import QUERIES
 from tallyward.sources.star_schema import star_table
 
@@ -153,3 +153,12 @@ def test_few_of_many_files_hold_the_newest_claims_or_one_patient(spark, ws, tmp_
     some = patients.agg(F.min("patient_id")).first()[0]
     files = patients.groupBy(F.input_file_name()).agg(F.min("patient_id").alias("low"), F.max("patient_id").alias("high"))
     assert files.count() >= 12 and files.where(F.lit(some).between(F.col("low"), F.col("high"))).count() == 1
+
+
+def test_tier_and_group_are_added_behind_the_exchange_of_the_claims(spark, ws):
+    staged = ws.staged("stg_encounters"), ws.staged("stg_patients")
+    ordered, mart = claims_mart_in_date_order(*staged), claims_mart(*staged)
+    (shuffled,) = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: rangepartitioning", plan(ordered))
+    assert "cost_tier" not in shuffled and "age_group" not in shuffled
+    assert ordered.schema == mart.schema
+    assert ordered.exceptAll(mart).count() == mart.exceptAll(ordered).count() == 0
