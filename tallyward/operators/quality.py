@@ -69,15 +69,19 @@ def _repeated(df: DataFrame, key: str) -> DataFrame:
 
 
 def _from_counters(df: DataFrame, table: str, counters: dict[str, int]) -> DataFrame:
-    """The checks of a table whose write has counted: only uniqueness scans it again, and what has unlisted values."""
+    """The checks of a table whose write has counted, in the order of ``table_checks``: only uniqueness scans it again, and
+    what has unlisted values."""
     unique, present, accepted = DECLARED_CHECKS[table]
-    known = [_result(table, c, "not_null", F.lit(counters[f"nulls_{c}"]).cast("bigint")) for c in present]
-    known += [_result(table, c, "accepted_values", F.lit(0).cast("bigint")) for c in accepted if not counters[f"unlisted_{c}"]]
-    report = df.sparkSession.range(1).select(F.inline(F.array(*known)))
-    for key in unique:
-        report = report.unionByName(_repeated(df, key).select(F.inline(F.array(_result(table, key, "unique", F.col("repeated"))))))
-    return reduce(DataFrame.unionByName, [report, *[
-        _unlisted(df, table, c, accepted[c]) for c in accepted if counters[f"unlisted_{c}"]]])
+
+    def known(*results: Column) -> DataFrame:
+        return df.sparkSession.range(1).select(F.inline(F.array(*results)))
+
+    parts = [_repeated(df, key).select(F.inline(F.array(_result(table, key, "unique", F.col("repeated"))))) for key in unique]
+    parts.append(known(*[_result(table, c, "not_null", F.lit(counters[f"nulls_{c}"]).cast("bigint")) for c in present]))
+    parts += [
+        _unlisted(df, table, c, values) if counters[f"unlisted_{c}"]
+        else known(_result(table, c, "accepted_values", F.lit(0).cast("bigint"))) for c, values in accepted.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _unlisted(df: DataFrame, table: str, column: str, values: tuple[str, ...]) -> DataFrame:

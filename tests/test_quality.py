@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 from conftest import AS_OF, RUN_TS
 from frames import raw, tables
 from tallyward.operators.marts import claims_mart, patient_mart
-from tallyward.operators.quality import dq_accepted_values, dq_not_null, dq_report, dq_unique, validate_raw
+from tallyward.operators.quality import (
+    dq_accepted_values, dq_not_null, dq_report, dq_unique, validate_raw, watched_counters,
+)
 
 
 @pytest.fixture(scope="module")
@@ -61,6 +63,14 @@ def test_an_unlisted_value_fails_that_check_alone(clean, table, column):
     assert failed(dq_report(broken)) == {f"accepted_values {table}.{column}": 1}
 
 
+def test_counted_checks_come_in_the_order_of_scanned_ones(clean):
+    watched = {}
+    for table, df in clean.items():
+        counters = watched_counters(table)
+        watched[table] = df.agg(*[value.alias(name) for name, value in counters.items()]).first().asDict()
+    assert dq_report(clean, watched).collect() == dq_report(clean).collect()
+
+
 def test_single_checks(spark):
     df = spark.createDataFrame([("a", "M"), ("a", None), (None, "X"), (None, "X"), ("b", "F")], "k string, g string")
     assert [tuple(r) for r in dq_unique(df, "k").collect()] == [("a", 2)]
